@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "strandloom", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -57,3 +58,11 @@ def wide(df: DataFrame, per_slot: int = 1) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df if have >= cores * per_slot else df.repartition(cores * per_slot)
+
+
+def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``most_rows`` rows, else unmarked.
+
+    Beyond the limit the join is an ordinary shuffled one with the same result.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
