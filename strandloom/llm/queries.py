@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import p2_sample, p3_split, p4_splits
+from strandloom.llm import p2_sample, p3_split, p4_splits, p5_clusters
 
 QUERIES = {
     "p2_found": p2_sample.p2_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p3_pieces": p3_split.p3_pieces,
     "p4_found": p4_splits.p4_found,
     "p4_split": p4_splits.p4_split,
+    "p5_found": p5_clusters.p5_found,
+    "p5_clusters": p5_clusters.p5_clusters,
 }
 
 SQL: dict[str, str] = {}
