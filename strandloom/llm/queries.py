@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import p2_sample, p3_split, p4_splits, p5_clusters
+from strandloom.llm import p1_neighbours, p2_sample, p3_split, p4_splits, p5_clusters
 
 QUERIES = {
+    "p1_found": p1_neighbours.p1_found,
     "p2_found": p2_sample.p2_found,
     "p2_report": p2_sample.p2_report,
     "p2_sample": p2_sample.p2_sample,
