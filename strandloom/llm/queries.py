@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import p1_neighbours, p2_sample, p3_split, p4_splits, p5_clusters
+from strandloom.llm import p1_neighbours, p2_sample, p3_split, p4_splits, p5_clusters, p6_leaks, p7_mixture, p8_reading
 
 QUERIES = {
     "p1_found": p1_neighbours.p1_found,
@@ -15,6 +15,13 @@ QUERIES = {
     "p4_split": p4_splits.p4_split,
     "p5_found": p5_clusters.p5_found,
     "p5_clusters": p5_clusters.p5_clusters,
+    "p6_found": p6_leaks.p6_found,
+    "p6_leaks": p6_leaks.p6_leaks,
+    "p7_found": p7_mixture.p7_found,
+    "p7_shares": p7_mixture.p7_shares,
+    "p7_mixture": p7_mixture.p7_mixture,
+    "p8_found": p8_reading.p8_found,
+    "p8_report": p8_reading.p8_report,
 }
 
 SQL: dict[str, str] = {}
