@@ -1,0 +1,65 @@
+"""Simulated reads: deterministic draws by hash, so a seed gives the same reads on any cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandloom.functions.seq import circular_slice, clean_seq
+from strandloom.operators.ranking import global_rank
+
+
+def uniform(seed: int, *cols: Column) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def species_subset(records: DataFrame, species: str, n: int, seed: int = 1) -> DataFrame:
+    """Records of ``n`` species drawn without replacement; all for 0 or more than there are."""
+    if n <= 0:
+        return records
+    chosen = records.select(species).where(F.col(species).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), species), species).limit(n)
+    return records.join(chosen, species, "left_semi")
+
+
+def read_quotas(files: DataFrame, key: str, total: int, seed: int = 1) -> DataFrame:
+    """``(key, quota)``: one read per file, the rest spread in proportion to hashed weights, together ``total``.
+
+    A deterministic variant of random increments; no file gets more than twice the mean before rounding.
+    """
+    rows = files.select(key).distinct().withColumn("_w", 1 + uniform(seed, F.col(key)))
+    rows = global_rank(rows, [F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key)], "_r")
+    sums = rows.agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_s"))
+    rest = F.greatest(F.lit(total) - F.col("_n"), F.lit(0))
+    rows = rows.crossJoin(F.broadcast(sums)).withColumn("_x", rest * F.col("_w") / F.col("_s")).withColumn("_f", F.floor("_x"))
+    left = rows.agg((F.lit(total) - F.first("_n") - F.sum("_f")).alias("_left"))
+    return rows.crossJoin(F.broadcast(left)).select(key, (1 + F.col("_f") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0)).cast("int").alias("quota"))
+
+
+def simulate_reads(records: DataFrame, group: str, record: str, seq_col: str, quotas: DataFrame, shortest: int = 200, longest: int = 800, seed: int = 1) -> DataFrame:
+    """``(read_no, group, record, start, stop, seq)``: circular slices of records chosen by length.
+
+    Every draw of a group falls on the running sum of its records' lengths; the length is uniform up to the
+    record's own. Records without bases take no part. Reads are numbered in a global shuffle.
+    """
+    known = records.select(group, record, clean_seq(F.col(seq_col)).alias("seq")).where(F.col(group).isNotNull() & (F.length("seq") > 0))
+    order = W.partitionBy(group).orderBy(record)
+    sized = known.withColumn("hi", F.sum(F.length("seq")).over(order)).withColumn("lo", F.col("hi") - F.length("seq"))
+    total = known.groupBy(group).agg(F.sum(F.length("seq")).alias("bases"))
+    draws = quotas.join(total, group).select(group, "bases", F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("draw"))
+    draws = draws.withColumn("at", F.floor(uniform(seed, F.col(group), F.col("draw")) * F.col("bases")))
+    hit = draws.join(sized, group).where("at >= lo and at < hi")
+    n = F.length("seq")
+    top = F.least(F.lit(longest), n)
+    low = F.when(top < shortest, F.lit(1)).otherwise(F.lit(shortest))
+    size = low + F.floor(uniform(seed + 1, F.col(group), F.col("draw")) * (top - low + 1))
+    start = F.floor(uniform(seed + 2, F.col(group), F.col("draw")) * n)
+    reads = hit.withColumn("size", size).withColumn("start", start)
+    reads = reads.select(group, record, "draw", "start", F.pmod(F.col("start") + F.col("size"), n).alias("stop"), circular_slice(F.col("seq"), F.col("start"), F.col("size")).alias("seq"))
+    return global_rank(reads, [F.xxhash64(F.lit(seed + 3), F.col(group), F.col("draw")), F.col(group), F.col("draw")], "read_no")
+
+
+def qualities(seq: Column, seed: int = 1) -> Column:
+    """FASTQ qualities 20..40 (offset 33) of a read's length."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.char(F.lit(53) + F.pmod(F.xxhash64(F.lit(seed), seq, i), F.lit(21)))), "")

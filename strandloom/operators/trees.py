@@ -1,0 +1,199 @@
+"""Trees of a few thousand names at most: built on the driver from distances that Spark computed.
+
+The number of leaves is the number of taxa or clusters, never of records; ``leaves_of`` checks it.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
+MOST_LEAVES = 5_000
+
+
+@dataclass
+class Node:
+    """A tree node: a leaf has a title and no children."""
+
+    title: str = ""
+    children: list[Node] = field(default_factory=list)
+    length: float = 0.0
+
+
+def leaves_of(distances: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Sorted names and the full matrix of ``(a, b, d)``; refuses more than ``MOST_LEAVES`` names."""
+    names = distances.selectExpr("explode(array(a, b)) as name").distinct().limit(MOST_LEAVES + 1)
+    titles = sorted(r["name"] for r in names.collect())
+    if len(titles) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} leaves")
+    rows = distances.toPandas()
+    at = {t: i for i, t in enumerate(titles)}
+    d = np.zeros((len(titles), len(titles)))
+    i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
+    d[i, j] = d[j, i] = rows["d"]
+    return titles, d
+
+
+def upgma(titles: list[str], d: np.ndarray) -> Node:
+    """Average-linkage tree; equal distances go to the smallest pair of cluster numbers, branch lengths are height differences."""
+    nodes = {i: Node(t) for i, t in enumerate(titles)}
+    size, height = dict.fromkeys(nodes, 1), dict.fromkeys(nodes, 0.0)
+    dist = {i: {j: d[i, j] for j in nodes if j != i} for i in nodes}
+    new = len(titles)
+    while len(nodes) > 1:
+        x, i, j = min((dist[i][j], i, j) for i in nodes for j in dist[i] if i < j)
+        nodes[i].length, nodes[j].length = x / 2 - height[i], x / 2 - height[j]
+        nodes[new] = Node(children=[nodes.pop(i), nodes.pop(j)])
+        row = {m: (dist[i][m] * size[i] + dist[j][m] * size[j]) / (size[i] + size[j]) for m in nodes if m != new}
+        for m, v in row.items():
+            dist[m][new] = v
+            dist[m].pop(i), dist[m].pop(j)
+        del dist[i], dist[j]
+        dist[new], size[new], height[new] = row, size[i] + size[j], x / 2
+        new += 1
+    return next(iter(nodes.values()))
+
+
+def neighbour_joining(titles: list[str], d: np.ndarray) -> Node:
+    """Neighbour joining; negative branch lengths become 0."""
+    nodes = [Node(t) for t in titles]
+    d = d.astype(float).copy()
+    while len(nodes) > 2:
+        n, total = len(nodes), d.sum(1)
+        q = (n - 2) * d - total[:, None] - total[None, :]
+        q[np.tril_indices(n)] = np.inf
+        i, j = np.unravel_index(np.argmin(q), q.shape)
+        left = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
+        nodes[i].length, nodes[j].length = max(0.0, left), max(0.0, d[i, j] - left)
+        joined = (d[i] + d[j] - d[i, j]) / 2
+        keep = [m for m in range(n) if m not in (i, j)]
+        d = np.pad(d[np.ix_(keep, keep)], ((0, 1), (0, 1)))
+        d[-1, :-1] = d[:-1, -1] = np.maximum(joined[keep], 0)
+        nodes = [nodes[m] for m in keep] + [Node(children=[nodes[i], nodes[j]])]
+    if len(nodes) == 2:
+        nodes[0].length = nodes[1].length = max(0.0, d[0, 1]) / 2
+        return Node(children=nodes)
+    return nodes[0] if nodes else Node()
+
+
+def spectral_labels(d: np.ndarray, k: int | None = None, seed: int = 13) -> np.ndarray:
+    """Clusters by normalised-Laplacian eigenvectors of a Gaussian similarity (width: median positive distance).
+
+    Without ``k`` the largest eigengap between 2 and n / 2 clusters decides; k-means++ with five starts.
+    """
+    n = len(d)
+    if n < 3:
+        return np.zeros(n, int)
+    positive = d[d > 0]
+    width = float(np.median(positive)) if len(positive) else 1.0
+    w = np.exp(-(d**2) / (2 * width**2))
+    np.fill_diagonal(w, 0)
+    scale = 1 / np.sqrt(np.maximum(w.sum(1), 1e-12))
+    values, vectors = np.linalg.eigh(np.eye(n) - scale[:, None] * w * scale[None, :])
+    if not k:
+        most = max(2, n // 2)
+        k = int(np.argmax(np.diff(values[1 : most + 1]))) + 2 if most > 2 else 2
+    u = vectors[:, : min(k, n)]
+    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(n, int))
+    for _ in range(5):
+        centres = u[[rng.integers(n)]]
+        while len(centres) < min(k, n):
+            gap = ((u[:, None] - centres[None]) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, u[rng.choice(n, p=gap / gap.sum())] if gap.sum() > 0 else u[rng.integers(n)]])
+        for _ in range(200):
+            near = ((u[:, None] - centres[None]) ** 2).sum(2)
+            label = near.argmin(1)
+            now = np.array([u[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+            if np.allclose(now, centres):
+                break
+            centres = now
+        cost = near.min(1).sum()
+        if cost < best[0] - 1e-12:
+            best = (cost, label)
+    _, order = np.unique(best[1], return_inverse=True)
+    return order
+
+
+def spectral_hierarchy(titles: list[str], d: np.ndarray, most_leaves: int = 7, most_children: int = 7, levels: int = 5) -> Node:
+    """Clusters are split until they hold at most ``most_leaves``; too many clusters are grouped by average distance."""
+
+    def grow(members: list[int], level: int) -> Node:
+        if len(members) <= most_leaves or level >= levels:
+            return Node(children=[Node(titles[m]) for m in members])
+        label = spectral_labels(d[np.ix_(members, members)])
+        parts = [[m for m, l in zip(members, label, strict=True) if l == c] for c in range(label.max() + 1)]
+        if len(parts) < 2:
+            half = len(members) // 2
+            parts = [members[:half], members[half:]]
+        if len(parts) > most_children:
+            mean = np.array([[d[np.ix_(a, b)].mean() if a is not b else 0.0 for b in parts] for a in parts])
+            group = spectral_labels(mean, most_children)
+            parts = [sum((p for p, g in zip(parts, group, strict=True) if g == c), []) for c in range(group.max() + 1)]
+        return Node(children=[grow(p, level + 1) for p in parts])
+
+    return grow(list(range(len(titles))), 1)
+
+
+def newick(node: Node, digits: int = 6, lengths: bool = True) -> str:
+    """Newick text; titles with special characters are quoted."""
+
+    def quoted(t: str) -> str:
+        return "'" + t.replace("'", "''") + "'" if re.search(r"[\s()\[\]{}:;,']", t) else t
+
+    def text(n: Node, root: bool = False) -> str:
+        inner = "(" + ",".join(text(c) for c in n.children) + ")" if n.children else ""
+        return inner + quoted(n.title) + (f":{n.length:.{digits}f}" if lengths and not root else "")
+
+    return text(node, True) + ";"
+
+
+def pathways(node: Node, root: str = "Root") -> list[str]:
+    """One ``Root>0>1>leaf`` per leaf, in tree order."""
+    if not node.children:
+        return [f"{root}>{node.title}"]
+    out = []
+    for i, c in enumerate(node.children):
+        out += pathways(c, f"{root}>{i}")
+    return out
+
+
+def parse_newick(text: str) -> Node:
+    """The inverse of ``newick``; ValueError for unbalanced text."""
+    pieces = re.findall(r"'(?:[^']|'')*'|[(),:;]|[^(),:;'\s]+", text)
+    at = 0
+
+    def node() -> Node:
+        nonlocal at
+        out = Node()
+        if pieces[at] == "(":
+            while pieces[at] in "(,":
+                at += 1
+                out.children.append(node())
+            if pieces[at] != ")":
+                raise ValueError("brackets do not match")
+            at += 1
+        if pieces[at] not in "(),:;":
+            out.title = pieces[at].strip("'").replace("''", "'")
+            at += 1
+        if pieces[at] == ":":
+            out.length = float(pieces[at + 1])
+            at += 2
+        return out
+
+    try:
+        tree = node()
+        if pieces[at] != ";":
+            raise ValueError("text goes on behind the tree")
+    except IndexError as e:
+        raise ValueError("text ends early") from e
+    return tree
+
+
+def tree_frame(spark: SparkSession, tree: Node) -> DataFrame:
+    """``(path, leaf)`` rows of a built tree."""
+    rows = [(p, p.rsplit(">", 1)[1]) for p in pathways(tree)]
+    return spark.createDataFrame(rows, "path string, leaf string")

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from strandloom.plans import markers, registry_hits, seqs, words
+
+QUERIES: dict = {**seqs.QUERIES, **words.QUERIES, **markers.QUERIES, **registry_hits.QUERIES}
+SQL: dict[str, str] = {**seqs.SQL, **words.SQL, **markers.SQL, **registry_hits.SQL}
