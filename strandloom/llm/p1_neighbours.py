@@ -11,14 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.llm import words
-from strandloom.llm.levels import ENTRIES, as_binary, as_rows, bit_words, packed_vectors, thermometer, unpacked
-from strandloom.llm.permutation import close_pairs, nearest_pivots, posting_keys
-from strandloom.llm.runs import by_key, salted, whole_keys
+from strandloom.llm.levels import ENTRIES, as_binary, as_rows, bit_words, distances, packed_vectors, thermometer, unpacked
+from strandloom.llm.permutation import close_pairs, footrule_block, nearest_pivots, posting_keys
+from strandloom.llm.runs import by_key, run_bounds, salted, whole_keys
 from strandloom.session import cut_lineage, table, wide
 
 NEIGHBOURS = 5
 LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
+FEW = 24  # rows up to which an inverted file is compared pair by pair
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
 
 
@@ -60,14 +61,41 @@ def _first_copies(df: DataFrame, key: list[str], k: int = NEIGHBOURS) -> DataFra
 
 
 def _best_per_row(row: np.ndarray, other: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (far, other) of every row."""
+    """Positions of the k smallest (far, other) of every row; a pair that several files gave counts once."""
     at = np.lexsort((other, far, row))
-    r = row[at]
+    r, o = row[at], other[at]
+    again = np.concatenate([[False], (r[1:] == r[:-1]) & (o[1:] == o[:-1])]) if len(r) else np.zeros(0, bool)
+    at, r = at[~again], r[~again]
     start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
     place = np.arange(len(r)) - np.repeat(start, np.diff(np.concatenate([start, [len(r)]])))
     return at[place < k]
 
 
+def _best_in_file(at: slice, ids: np.ndarray, levels: np.ndarray, order: np.ndarray, side: np.ndarray, pivots: int, most_footrule: int, limit: int, k: int) -> list[np.ndarray]:
+    """``(row, other, distance)`` of the k nearest others of every row of one inverted file, in blocks of bounded size.
+
+    A block's footrule distances say which rows are candidates; their exact distances come from one matrix product.
+    """
+    n, own, t, rank = at.stop - at.start, side[at], thermometer(levels[at]), np.argsort(np.argsort(ids[at]))
+    of_rank = at.start + np.argsort(rank)
+    mixed = own.max() == 1 and own.min() == 0
+    out = []
+    step = max(1, 1_000_000 // n)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        far = distances(t[lo:hi], t)
+        ok = (footrule_block(order[at][lo:hi], order[at], pivots) <= most_footrule) & (far <= limit)
+        ok[np.arange(hi - lo), np.arange(lo, hi)] = False
+        if mixed:
+            ok &= own[lo:hi, None] != own[None, :]
+        score = np.where(ok, far * n + rank[None, :], np.iinfo(np.int32).max)
+        best = np.partition(score, k - 1, axis=1)[:, :k] if n > k else score
+        row, col = np.nonzero(best != np.iinfo(np.int32).max)
+        hit = best[row, col]
+        out.append(np.stack([at.start + lo + row, of_rank[hit % n], hit // n]))
+    return out
+
+
 def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, prefix: int = 4, most_footrule: int = 68, k: int = NEIGHBOURS, limit: int = LEVEL_LIMIT) -> DataFrame:
     """Neighbour pairs of level vectors ``(id, vec)`` (see ``levels.packed_vectors``) within ``limit`` level steps.
 
@@ -95,17 +123,22 @@ def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, pref
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            ids = rows.column("id").to_numpy()
-            bits = bit_words(unpacked(as_rows(rows.column("vec"), ENTRIES // 4)))
+            keys, side, ids = (rows.column(c).to_numpy() for c in ("key", "side", "id"))
+            levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
+            bounds = run_bounds(keys)
+            few = np.diff(bounds) <= FEW
             found = [np.zeros((3, 0), np.int64)]
-            for i, j, _ in close_pairs(rows.column("key").to_numpy(), rows.column("side").to_numpy(), order, most_footrule):
-                far = np.zeros(len(i), np.int64)
-                for w in range(bits.shape[1]):
-                    far += np.bitwise_count(bits[i, w] ^ bits[j, w])
-                ok = far <= limit
-                both = np.stack([np.concatenate([i[ok], j[ok]]), np.concatenate([j[ok], i[ok]]), np.concatenate([far[ok], far[ok]])])
-                found.append(both[:, _best_per_row(ids[both[0]], ids[both[1]], both[2], k + 1)])
+            small_files = np.flatnonzero(np.repeat(few, np.diff(bounds)))
+            if len(small_files):
+                bits = bit_words(levels[small_files])
+                for i, j, _ in close_pairs(keys[small_files], side[small_files], order[small_files], most_footrule):
+                    far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    ok = far <= limit
+                    i, j, far = small_files[i[ok]], small_files[j[ok]], far[ok]
+                    found.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])]))
+            for r in np.flatnonzero(~few):
+                found += _best_in_file(slice(bounds[r], bounds[r + 1]), ids, levels, order, side, pivots, most_footrule, limit, k + 1)
             x, y, far = np.concatenate(found, 1)
             best = _best_per_row(ids[x], ids[y], far, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[best]]), pa.array(ids[y[best]]), pa.array(far[best].astype(np.float64))], ["x", "y", "far"])
@@ -180,7 +213,7 @@ def sequence_neighbours(records: DataFrame, depth: int = 12, prefix: int = 6, mo
     smallest ids, so copies never compete for these places. Null and empty sequences and those
     without a word take no part; repeats and ties are fine.
     """
-    named = records.where("id is not null and seq is not null")
+    named = records.select("id", "seq").where("id is not null and seq is not null")
     sketches = cut_lineage(sequence_sketches(wide(named), depth=depth, prefix=prefix))
     points = cut_lineage(_first_copies(sketches, ["h1", "h2"], k))
     reps = sketches.join(points.select(F.col("rep").alias("id")), "id", "left_semi")

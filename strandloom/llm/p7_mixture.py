@@ -49,6 +49,7 @@ def source_sizes(docs: DataFrame, targets: DataFrame) -> DataFrame:
     underscore; documents without a source, or of a source without target, do not count.
     """
     sums = docs.where("source is not null").groupBy(source_key(F.col("source")).alias("k")).agg(F.sum("tokens").alias("size"))
+    sums = cut_lineage(sums)  # a row per spelling-free source name: the count behind `small` must not tokenise again
     wanted = targets.select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("k"))
     return wanted.join(small(sums), "k", "left").select("source", "target_share", "max_repeats", F.coalesce("size", F.lit(0)).alias("size"))
 
@@ -84,7 +85,7 @@ def water_filled(sizes: DataFrame, total: float | None = None) -> DataFrame:
 def mix_sources(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """``(id, copy, source, tokens)``: every document floor(epochs) times and a seeded fraction once more."""
     amounts = plan.select(source_key(F.col("source")).alias("k"), F.col("source").alias("mix_source"), "epochs")
-    known = docs.where("source is not null").withColumn("k", source_key(F.col("source"))).join(small(amounts), "k")
+    known = docs.select(id_col, "source", "tokens").where("source is not null").withColumn("k", source_key(F.col("source"))).join(small(amounts), "k")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     whole = F.floor("epochs")
     copies = (whole + F.when(draw < F.col("epochs") - whole, 1).otherwise(0)).cast("int")
