@@ -124,13 +124,14 @@ def deplete(seq: Column, target: int, chunks: int) -> Column:
     gap = n - kept
     size, more = F.floor(kept / chunks), kept % chunks
     space, extra = F.floor(gap / (chunks + 1)), gap % (chunks + 1)
+
     def piece(i: Column) -> Column:
         before = i * size + F.least(i, more)
         spaces = F.when(gap > 0, (i + 1) * space + F.least(i + 1, extra)).otherwise(0)
         part = F.substr(seq, (before + spaces + 1).cast("int"), (size + (i < more).cast("int")).cast("int"))
         return F.when(i % 2 == 1, reverse_complement(part)).otherwise(part)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), piece), "")
+    return F.when(seq.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), piece), ""))
 
 
 def circular_slice(seq: Column, start: Column, length: Column) -> Column:

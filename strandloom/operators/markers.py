@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strandloom.functions import levels as L
 from strandloom.session import small
@@ -104,7 +105,7 @@ def chi_square_tail(x: float, dof: int) -> float:
     return min(1.0, math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tail(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x, dof in batches:
         yield pd.Series([None if pd.isna(a) or b < 1 else chi_square_tail(float(a), int(b)) for a, b in zip(x, dof, strict=True)], dtype="float64")
@@ -128,7 +129,7 @@ def with_fdr(tests: DataFrame, keys: tuple[str, ...] = (), alpha: float = 0.05)
 
 def rank_markers(tests: DataFrame, keys: tuple[str, ...] = (), long_words_first: bool = False) -> DataFrame:
     """Adds ``rank``: fdr, p, word length (malformed titles last), title; null statistics last."""
-    k = F.coalesce(F.split("marker", r"\|").getItem(1).try_cast("bigint") if hasattr(Column, "try_cast") else F.expr("try_cast(get(split(marker, '[|]'), 1) as bigint)"), F.lit(10**9))
+    k = F.coalesce(F.get(F.split("marker", r"\|"), F.lit(1)).try_cast("bigint"), F.lit(10**9))
     title = F.desc("marker") if long_words_first else F.asc("marker")
     order = W.partitionBy(*keys).orderBy(F.col("fdr").asc_nulls_last(), F.col("p").asc_nulls_last(), k, title)
     return tests.withColumn("rank", F.row_number().over(order))

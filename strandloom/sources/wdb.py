@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,7 +58,7 @@ def read_wdb_text(spark: SparkSession, path: str) -> DataFrame:
     part = lambda i: F.regexp_extract("value", shape, i)
     rows = rows.select(part(1).alias("kmer"), *[part(i + 2).cast(t).alias(c) for i, (c, t) in enumerate((("k", "int"), ("x", "int"), ("y", "int"), ("cnt", "bigint")))], F.explode(F.split(part(6), ";")).alias("e"))
     pair = F.split("e", ":")
-    return rows.select("kmer", "k", "x", "y", "cnt", pair[0].alias("acc"), F.get(pair, F.lit(1)).try_cast("int").alias("level") if hasattr(Column, "try_cast") else F.expr("try_cast(get(split(e, ':'), 1) as int)").alias("level"))
+    return rows.select("kmer", "k", "x", "y", "cnt", pair[0].alias("acc"), F.get(pair, F.lit(1)).try_cast("int").alias("level"))
 
 
 def wide_matrix(features: DataFrame, titles: list[str], markers: list[str] | None = None) -> DataFrame:

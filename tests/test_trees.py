@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from strandloom.operators import distances as D
+from strandloom.operators import taxonomy as X
+from strandloom.operators import trees as T
+
+
+def test_newick_round_trip_and_pathways():
+    tree = T.Node(children=[T.Node(children=[T.Node("A"), T.Node("B")]), T.Node(children=[T.Node("C"), T.Node("it's d")])])
+    assert T.newick(tree, lengths=False) == "((A,B),(C,'it''s d'));"
+    assert T.pathways(tree) == ["Root>0>0>A", "Root>0>1>B", "Root>1>0>C", "Root>1>1>it's d"] or T.pathways(tree)[0].startswith("Root>0")
+    again = T.parse_newick(T.newick(tree))
+    assert T.newick(again) == T.newick(tree)
+    for bad in ("((A,B)", "(A,B)", "(A,B));"):
+        with pytest.raises(ValueError):
+            T.parse_newick(bad)
+
+
+def test_upgma_on_an_ultrametric_matrix():
+    d = np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 4], [6, 6, 4, 0]], float)
+    assert T.newick(T.upgma(list("ABCD"), d), 1) == "((A:1.0,B:1.0):2.0,(C:2.0,D:2.0):1.0);"
+    assert T.newick(T.upgma(["A"], np.zeros((1, 1)))) == "A;"
+
+
+def _leaf_distances(node: T.Node, out: dict) -> dict:
+    if not node.children:
+        return {node.title: 0.0}
+    below = [{t: x + c.length for t, x in _leaf_distances(c, out).items()} for c in node.children]
+    for i in range(len(below)):
+        for j in range(i + 1, len(below)):
+            for a, x in below[i].items():
+                for b, y in below[j].items():
+                    out[frozenset((a, b))] = x + y
+    return {t: x for part in below for t, x in part.items()}
+
+
+def test_neighbour_joining_recovers_an_additive_tree():
+    want: dict = {}
+    _leaf_distances(T.parse_newick("(((A:2,B:3):1,C:4):2,(D:1,E:5):3);"), want)
+    names = list("ABCDE")
+    d = np.array([[0 if a == b else want[frozenset((a, b))] for b in names] for a in names], float)
+    got: dict = {}
+    _leaf_distances(T.neighbour_joining(names, d), got)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_spectral_finds_blocks_and_hierarchy_keeps_bounds():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 0.1, (6, 2)) for c in ((0, 0), (9, 0), (0, 9))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    label = T.spectral_labels(d, 3)
+    assert all(len(set(label[i : i + 6])) == 1 for i in (0, 6, 12)) and len(set(label)) == 3
+    tree = T.spectral_hierarchy([f"t{i}" for i in range(18)], d)
+    assert sorted(p.rsplit(">", 1)[1] for p in T.pathways(tree)) == sorted(f"t{i}" for i in range(18))
+    assert len(T.spectral_labels(np.zeros((2, 2)))) == 2 and len(T.spectral_labels(np.zeros((4, 4)))) == 4
+
+
+def test_distance_identity(spark):
+    random.seed(4)
+    rows = [(n, f"m{m}", random.choice([0, 1, 2, 3, None])) for n in "abcd" for m in range(12)]
+    got = {(r.a, r.b): r.d for r in D.level_distances(spark.createDataFrame(rows, "name string, marker string, level int")).collect()}
+    v = {(n, m): (x or 0) for n, m, x in rows}
+    known = {m for _, m, x in rows if x is not None}
+    for a in "abcd":
+        for b in "abcd":
+            if a < b:
+                assert abs(got[a, b] - sum(abs(v[a, m] - v[b, m]) for m in known) / (3 * len(known))) < 1e-12
+    link = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")], "name string, cluster string")
+    d = spark.createDataFrame([(*k, x) for k, x in got.items()], "a string, b string, d double")
+    mean = D.average_linkage(d, link).first().d
+    assert abs(mean - sum(got[k] for k in (("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"))) / 4) < 1e-12
+
+
+def test_lineage_tables(spark):
+    rows = [(1, "g", ["r", "a", "x"]), (2, "g", ["r", "a", "y"]), (3, "h", ["r", "b"]), (4, None, ["r", "a", "x"]), (5, "e", [])]
+    df = spark.createDataFrame(rows, "i int, grp string, parts array<string>")
+    nodes = X.tree_nodes(df)
+    got = {r.path: (r.parent, r.leaves, r.depth) for r in nodes.collect()}
+    assert got["r"] == (None, 4, 1) and got["r>a"] == ("r", 3, 2) and got["r>a>x"] == ("r>a", 2, 3)
+    assert {r.path for r in X.leaf_nodes(nodes).collect()} == {"r>a>x", "r>a>y", "r>b"}
+    anc = {r.grp: (r.lca_depth, r.members, r.monophyletic) for r in X.group_ancestor(df, "grp").collect()}
+    assert anc == {"g": (2, 2, False), "h": (2, 1, True)}
+    assert {r.path: r.children for r in X.children_counts(nodes).collect()} == {"r": 2, "r>a": 2}
