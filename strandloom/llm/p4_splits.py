@@ -38,14 +38,18 @@ def balanced_bins(weights: DataFrame, bins: int = 256) -> DataFrame:
 
     Largest differencing in parallel rounds: items are ranked by weight and the heaviest is
     combined with the lightest, the second with the second lightest and so on; the sums are
-    ranked again until ``bins`` remain. Every round halves the list with a distributed rank.
+    ranked again until ``bins`` remain. Every round halves the list with a distributed rank; only the
+    first one combines no more of the lightest than leaves ``bins`` times a power of two.
     ``weights(item, weight)`` with one row per item; ties fall to the smaller item.
     """
     now = cut_lineage(weights.select(F.col("item").cast("bigint").alias("bin"), F.col("weight").cast("bigint").alias("weight")))
     placed = now.select(F.col("bin").alias("item"), "bin")
     n = now.count()
     while n > bins:
-        keep = max(0, 2 * bins - n)  # in the last round only the lightest are combined
+        aim = bins
+        while 2 * aim < n:
+            aim *= 2
+        keep = 2 * aim - n
         ranked = global_rank(now, [F.desc("weight"), F.col("bin")], "r")
         ranked = ranked.withColumn("to", F.when(F.col("r") <= keep, F.col("r")).otherwise(F.least(F.col("r"), F.lit(keep + n + 1) - F.col("r"))))
         placed = cut_lineage(placed.join(ranked.select("bin", "to"), "bin").select("item", F.col("to").alias("bin")))

@@ -193,11 +193,12 @@ def longest_run(passage: list[str], text: list[str], inserted: int = 30) -> int:
             if not (-1 <= gap <= 2 and -1 <= extra <= inserted) or (gap < 0 and extra < gap):
                 continue
             equal, stretches, begin = best[x]
-            if gap == extra and 0 < gap <= 2 and all(one_letter_apart(passage[i + m + g], text[q + m + g]) for g in range(gap)):
+            alike = 0 < gap <= extra and all(one_letter_apart(passage[i + m + g], text[p - gap + g]) for g in range(gap))
+            if alike and gap == extra:
                 now = (equal + n + gap, stretches, begin)
             else:
-                now = (equal + n + min(gap, 0), stretches + 1, begin)
-            if now[0] - 4 * now[1] > mine[0] - 4 * mine[1]:
+                now = (equal + n + (gap if alike else min(gap, 0)), stretches + 1, begin)
+            if now[0] - 4 * now[1] >= mine[0] - 4 * mine[1]:
                 mine = now
         best.append(mine)
         if mine[0] >= 5 * mine[1]:

@@ -53,7 +53,7 @@ _VOWEL[[ord(c) for c in "aeiouy"]] = True
 
 def speech(text: Column) -> Column:
     """The text without markup and without interruptions in brackets."""
-    return F.regexp_replace(text, r"<[^<>]{0,300}>|\[[^\[\]]{0,300}\]|\([^()]{0,300}\)|­", " ")
+    return F.regexp_replace(text, r"<[^<>]{0,1000}>|\[[^\[\]]{0,1000}\]|\([^()]{0,1000}\)|­", " ")
 
 
 def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
