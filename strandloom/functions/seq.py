@@ -95,11 +95,11 @@ def mismatches(a: Column, b: Column) -> Column:
 
 
 def count_word(seq: Column, word: Column, both: str | None = None) -> Column:
-    """Overlapping occurrences; ``both`` = max, min or average combines the word with its reverse complement."""
+    """Overlapping occurrences of a word of letters; ``both`` = max, min or average combines the word with its reverse complement. Null for an empty word."""
 
+    # a match of nothing before each occurrence: overlapping ones count, in one pass of the regex engine
     def occurrences(w: Column) -> Column:
-        last = F.length(seq) - F.length(w) + 1
-        return F.when(last >= 1, F.size(F.filter(F.sequence(F.lit(1), last), lambda i: F.substr(seq, i, F.length(w)) == w))).otherwise(F.lit(0))
+        return F.when(F.length(w) > 0, F.regexp_count(seq, F.concat(F.lit("(?="), w, F.lit(")"))))
 
     if both is None:
         return occurrences(word)

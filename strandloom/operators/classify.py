@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import levels as L
 from strandloom.operators.kmers import word_counts
-from strandloom.session import cut_lineage, small
+from strandloom.session import cut_lineage, each_of, small
 
 
 def strand_counts(counts: DataFrame, markers: DataFrame, method: str = "max") -> DataFrame:
@@ -25,7 +25,7 @@ def strand_counts(counts: DataFrame, markers: DataFrame, method: str = "max") ->
     if method not in combine:
         raise ValueError(f"unknown method {method}")
     reads = counts.groupBy("id").agg(F.first("length").alias("length"))
-    cells = reads.crossJoin(small(wanted.select("marker").distinct(), 70_000))
+    cells = each_of(reads, wanted.select("marker").distinct(), "marker")
     return cells.join(found.select("id", "marker", combine[method].alias("cnt")), ["id", "marker"], "left").select("id", "marker", F.coalesce("cnt", F.lit(0)).alias("cnt"), "length")
 
 
@@ -49,6 +49,12 @@ def agreement(values: DataFrame, model: DataFrame, keys: tuple[str, ...] = ()) -
     return joined.groupBy("id", *keys, "label").agg((F.sum(match) / (4.0 * F.count(F.lit(1)))).alias("score"))
 
 
+def product_score(values: DataFrame, model: DataFrame) -> DataFrame:
+    """``(id, label, score)``: mean product of model mean and value, moved by (v + 2) / 4; not confined to 0..1."""
+    joined = values.join(small(model, 200_000), "marker")
+    return joined.groupBy("id", "label").agg(((F.avg(F.col("mean") * F.col("value")) + 2) / 4).alias("score"))
+
+
 def descend(values: DataFrame, model: DataFrame, edges: DataFrame, accuracy: float = 0.5, specificity: float = 0.7, most_levels: int = 6) -> DataFrame:
     """``(id, taxon, identity, path, species_level)``: hits of reads on their way down a tree of node models.
 

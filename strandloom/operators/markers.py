@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from strandloom.functions import levels as L
-from strandloom.session import small
+from strandloom.session import each_of, small
 
 
 def marker_title(kmer: Column, k: Column, x: Column, y: Column) -> Column:
@@ -30,7 +30,7 @@ def dense_features(genomes: DataFrame, markers: DataFrame, levels: DataFrame, de
     ``genomes(name, ...)``, ``markers(marker)``, ``levels(name, marker, level)``. The product of genomes and a marker
     list is the definition of a matrix; the markers (at most 4^k words) are the side that is checked and broadcast.
     """
-    cells = genomes.crossJoin(small(markers.select("marker").distinct(), 70_000))
+    cells = each_of(genomes, markers.select("marker").distinct(), "marker")
     known = levels.select("name", "marker", L.on_scale(F.col("level"), L.VALUES).alias("value"))
     return cells.join(known, ["name", "marker"], "left").withColumn("value", F.coalesce("value", F.lit(default)))
 
@@ -70,8 +70,8 @@ def chi_square(features: DataFrame, label: str = "taxon", keys: tuple[str, ...]
     o, r, c = (F.col(x).cast("double") for x in "orc")
     sums = cells.groupBy(*by).agg(
         F.sum("o").alias("n"),
-        F.countDistinct(label).alias("rows"),
-        F.countDistinct("value").alias("cols"),
+        F.size(F.collect_set(label)).alias("rows"),
+        F.size(F.collect_set("value")).alias("cols"),
         F.sum(o * o / (r * c)).alias("q"),
         F.min("r").alias("r0"),
         F.min("c").alias("c0"),

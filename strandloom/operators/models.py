@@ -74,7 +74,7 @@ def class_statistics(features: DataFrame) -> DataFrame:
     sizes = features.groupBy("taxon").agg(F.countDistinct("name").alias("n"))
     balance = sizes.agg(F.sum("n").alias("genomes"), F.count(F.lit(1)).alias("classes"), (F.max("n") / F.min("n")).alias("balance"))
     cells = features.agg(F.count_if(F.col("value") == 0).alias("z"), F.count(F.lit(1)).alias("c"), F.count_if(F.col("value").isNull()).alias("m"))
-    return balance.crossJoin(F.broadcast(cells)).select("genomes", "classes", "balance", (F.col("z") / F.col("c")).alias("sparsity"), (F.col("m") / F.col("c")).alias("missing"))
+    return balance.crossJoin(F.broadcast(cells)).select("genomes", "classes", "balance", F.try_divide("z", "c").alias("sparsity"), F.try_divide("m", "c").alias("missing"))
 
 
 def cluster_quality(features: DataFrame, k: int, seed: int = 42) -> float:

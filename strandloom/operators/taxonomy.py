@@ -45,3 +45,31 @@ def group_ancestor(leaves: DataFrame, group: str, parts: str = "parts") -> DataF
     whole = own.withColumn("_n", F.max("members").over(W.partitionBy(group))).where("members = _n")
     deepest = whole.groupBy(group).agg(F.max("depth").alias("lca_depth"), F.first("_n").alias("members"), F.max_by("path", "depth").alias("path"))
     return deepest.join(total.select("path", "all"), "path").select(group, "lca_depth", "members", (F.col("all") == F.col("members")).alias("monophyletic"))
+
+
+def branch_metrics(nodes: DataFrame, length: str | None = None) -> DataFrame:
+    """``(path, ends, longest, shortest, average, total)``: distances from each inner node to the end nodes below it.
+
+    ``length`` is the column of branch lengths (1 each if None). A node's distance to the root is a sum over its
+    prefixes, so all distances come from one join of prefixes and one aggregation.
+    """
+    own = F.col(length).cast("double") if length else F.lit(1.0)
+    base = nodes.select("path", "depth", "is_end", own.alias("_own"))
+    prefix = F.explode(F.sequence(F.lit(1), F.col("depth")))
+    steps = base.select("path", "depth", F.split("path", ">").alias("_p"), prefix.alias("_i")).select("path", "_i", F.array_join(F.slice("_p", F.lit(1), F.col("_i")), ">").alias("up"))
+    lengths = base.select(F.col("path").alias("up"), "_own")
+    at = steps.join(lengths, "up").groupBy("path").agg(F.sum("_own").alias("_root"))
+    ends = base.where("is_end").select("path").join(at, "path").withColumnRenamed("_root", "_end")
+    below = steps.where("up <> path").join(ends, "path").join(at.select(F.col("path").alias("up"), "_root"), "up")
+    gap = F.col("_end") - F.col("_root")
+    return below.groupBy(F.col("up").alias("path")).agg(F.count(F.lit(1)).alias("ends"), F.max(gap).alias("longest"), F.min(gap).alias("shortest"), F.avg(gap).alias("average"), F.sum(gap).alias("total"))
+
+
+def depth_cuts(nodes: DataFrame, sectors: int = 4) -> DataFrame:
+    """``(sector, path, leaves)``: the maximal subtrees below each of ``sectors`` - 1 equal-count depths.
+
+    The depths are exact quantiles of the nodes' depths; a subtree's root lies at or below the depth and its parent above.
+    """
+    edges = nodes.agg(F.percentile("depth", F.array(*[F.lit(i / sectors) for i in range(1, sectors)])).alias("e"))
+    cut = edges.select(F.posexplode("e").alias("sector", "edge"))  # a row per sector
+    return F.broadcast(cut).join(nodes, (F.col("depth") >= F.col("edge")) & (F.col("depth") - 1 < F.col("edge"))).select((F.col("sector") + 1).alias("sector"), "path", "leaves")

@@ -21,6 +21,11 @@ def word_domain(spark: SparkSession, k: int, geometry: str = "lower") -> DataFra
     return words.withColumn("pos", pos).withColumn("marker", F.concat_ws("|", "kmer", F.col("k").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")))
 
 
+def word_domain_size(k: int) -> int:
+    """Words with x <= y: all palindromes of an even length and half of the rest."""
+    return (4**k + (4 ** (k // 2) if k % 2 == 0 else 0)) // 2
+
+
 def taxon_form(taxon: Column) -> Column:
     """A genus name without case, blanks and a final ``sp.``; null for placeholders."""
     name = F.regexp_replace(F.regexp_replace(F.lower(taxon), r"\s+", ""), r"sp\.$", "")
@@ -35,8 +40,10 @@ def vector_features(values: DataFrame, k: int = 4) -> DataFrame:
     """
     domain = word_domain(values.sparkSession, k).select("marker", "pos")
     rows = values.where(F.size("level_values") > 0).select(F.col("value_id").alias("name"), taxon_form(F.col("taxon")).alias("taxon"), "level_values")
-    cells = rows.crossJoin(small(domain, 70_000))
-    code = F.trim(F.get("level_values", F.col("pos")))
+    size = word_domain_size(k)
+    cells = rows.select("name", "taxon", "level_values", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pos"))
+    cells = cells.select("name", "taxon", "pos", F.trim(F.get("level_values", F.col("pos"))).alias("code")).join(small(domain, 70_000), "pos")
+    code = F.col("code")
     level = None
     for i, (a, b) in enumerate(zip(L.CODES, L.VALUES, strict=True)):
         hit = code.isin(a, str(b))

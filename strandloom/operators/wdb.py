@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import levels as L
 from strandloom.functions.names import accession_form
 from strandloom.functions.seq import word_at
+from strandloom.operators.ranking import global_rank
 
 
 def clean_words(rows: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def geometry(words: DataFrame, kind: str) -> DataFrame:
 
 def genome_ids(words: DataFrame) -> DataFrame:
     """Registry ``(acc, genome_id)``: ids from 1 in the order of accessions; one row per genome."""
-    return words.select("acc").distinct().withColumn("genome_id", F.row_number().over(W.orderBy("acc")))
+    return global_rank(words.select("acc").distinct(), [F.col("acc")], "genome_id")
 
 
 def replace_genome(words: DataFrame, new: DataFrame) -> DataFrame:

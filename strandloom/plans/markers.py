@@ -137,12 +137,14 @@ def taxon_distance(spark, d):
 @query(f"{_PROFILE}, n AS (SELECT f.name, p.name AS taxon, sum(abs(f.level - p.level)) AS d FROM features f JOIN profile p ON f.marker = p.marker GROUP BY ALL) SELECT name, arg_min(taxon, (d, taxon)) AS nearest, min(d)::BIGINT AS steps FROM n GROUP BY name")
 def nearest_profile(spark, d):
     """The taxon profile nearest to each vector."""
-    f = features(spark, d).select("name", "marker", "level")
-    p = taxon_levels(spark, d).groupBy("marker").agg(F.collect_list(F.struct(F.col("name").alias("taxon"), F.col("level").alias("at"))).alias("profiles"))
-    joined = f.join(F.broadcast(cut_lineage(p)), "marker")  # 136 markers, one entry per taxon each
-    each = joined.select("name", "level", F.explode("profiles").alias("p"))
-    steps = each.groupBy("name", F.col("p.taxon").alias("taxon")).agg(F.sum(F.abs(F.col("level") - F.col("p.at"))).alias("steps"))
-    return steps.groupBy("name").agg(F.min_by("taxon", F.struct("steps", "taxon")).alias("nearest"), F.min("steps").alias("steps"))
+    as_array = lambda df: df.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("marker", "level"))).alias("l"))  # noqa: E731  # 136 markers each
+    p = as_array(taxon_levels(spark, d)).select(F.col("name").alias("taxon"), F.col("l.level").alias("at"))
+    v = as_array(features(spark, d).select("name", "marker", "level")).select("name", F.col("l.level").alias("level"))
+    one = cut_lineage(p).agg(F.collect_list(F.struct("taxon", "at")).alias("p"))  # one row, an entry per taxon
+    pairs = v.crossJoin(F.broadcast(one)).select("name", "level", F.explode("p").alias("p")).select("name", "level", "p.taxon", "p.at")
+    steps = F.aggregate(F.zip_with("level", "at", lambda a, b: F.abs(a - b)), F.lit(0), lambda x, y: x + y).cast("bigint")
+    near = pairs.select("name", "taxon", steps.alias("steps"))
+    return near.groupBy("name").agg(F.min_by("taxon", F.struct("steps", "taxon")).alias("nearest"), F.min("steps").alias("steps"))
 
 
 def _taxon_tree(spark, d, build):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.functions import text
 from strandloom.functions.names import accession_form
 from strandloom.operators import classify, taxonomy
 from strandloom.operators.vectors import taxon_form
@@ -130,3 +131,31 @@ def confusion(spark, d):
     called = h.groupBy("record_id").agg(F.max_by("taxon", F.struct("identity_score", "hit_id")).alias("called"))
     truth = table(spark, d, "fasta_records").select("record_id", taxon_form(F.split("description", " ")[0]).alias("truth"))
     return truth.join(called, "record_id").groupBy("truth", "called").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LEAVES}, e AS (SELECT path, depth FROM nodes WHERE is_end) SELECT n.path, count(*) AS ends, max(e.depth - n.depth)::DOUBLE AS longest, min(e.depth - n.depth)::DOUBLE AS shortest, round(avg(e.depth - n.depth), 6) AS average, sum(e.depth - n.depth)::DOUBLE AS total FROM nodes n JOIN e ON starts_with(e.path, n.path || '>') GROUP BY n.path")
+def branch_metrics(spark, d):
+    """Steps from each inner lineage node to the end nodes below it."""
+    nodes = cut_lineage(taxonomy.tree_nodes(leaves(spark, d)))
+    return taxonomy.branch_metrics(nodes).withColumn("average", F.round("average", 6))
+
+
+@query(f"WITH {_LEAVES}, q AS (SELECT unnest([1, 2, 3])::INTEGER AS sector, unnest(quantile_cont(depth, [0.25, 0.5, 0.75])) AS edge FROM nodes) SELECT sector, path, leaves FROM nodes, q WHERE depth >= edge AND depth - 1 < edge")
+def depth_cuts(spark, d):
+    """Maximal subtrees below the quartile depths of the lineage tree."""
+    return taxonomy.depth_cuts(cut_lineage(taxonomy.tree_nodes(leaves(spark, d))))
+
+
+_P = "string_split(trim(regexp_replace(CASE WHEN len(string_split(lineage, '|')) = 1 THEN lineage ELSE string_split(lineage, '|')[-2] END, '[_ ]+', ' ', 'g')), ' ')"
+_N = f"(left(coalesce({_P}[1], ''), 1) || '.' || coalesce({_P}[2], '') || ' ' || coalesce({_P}[3], '') || ' [' || coalesce(accession, '') || ']')"
+
+
+@query(f"SELECT genome_key, CASE WHEN len({_N}) > 25 THEN left({_N}, 22) || '...' ELSE {_N} END AS label, translate(coalesce(lineage, ''), ' :/?#=$*[]@|<>\"', '_______________') AS file_name FROM genomes WHERE lineage IS NOT NULL")
+def genome_labels(spark, d):
+    """Short labels and safe file names of genomes."""
+    g = table(spark, d, "genomes").where("lineage is not null")
+    parts = F.split("lineage", r"\|")
+    organism = F.when(F.size(parts) == 1, parts[0]).otherwise(F.try_element_at(parts, F.lit(-2)))
+    p = F.split(F.trim(F.regexp_replace(organism, "[_ ]+", " ")), " ")
+    at = lambda i: F.get(p, F.lit(i))
+    return g.select("genome_key", text.short_genome(at(0), at(1), at(2), F.col("accession")).alias("label"), text.file_name(F.col("lineage")).alias("file_name"))

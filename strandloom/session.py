@@ -66,3 +66,14 @@ def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     Beyond the limit the join is an ordinary shuffled one with the same result.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def each_of(df: DataFrame, values: DataFrame, col: str, most_rows: int = 70_000) -> DataFrame:
+    """Every row of ``df`` with every value of the one-column ``values``: the dense cells of a matrix.
+
+    The values, checked to be at most ``most_rows``, travel as one row that is exploded again.
+    """
+    if values.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} columns")
+    one = values.agg(F.sort_array(F.collect_set(col)).alias("_each"))
+    return df.crossJoin(F.broadcast(one)).withColumn(col, F.explode("_each")).drop("_each")  # one-row side

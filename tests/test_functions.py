@@ -93,3 +93,12 @@ def test_substitutions_shifts_and_mismatches(spark):
     assert len(rows[0].s) == 9 and "ACG" not in rows[0].s
     assert rows[0].r == ["CGA", "CGC", "CGG", "CGT"] and rows[0].l == ["AAC", "CAC", "GAC", "TAC"]
     assert [r.m for r in rows] == [1, 0] and rows[1].w == ["TTAC", "TACT", "ACTT"] and rows[0].w == []
+
+
+def test_text_formats(spark):
+    from strandloom.functions import text as X
+
+    df = spark.createDataFrame([("Genus", "species", "strain 5", "ABC_123456789.1", 1.2399, 7.5, "12"), (None, "s", None, None, -1.2399, 11.0, "x")], "g string, s string, r string, a string, n double, v double, t string")
+    r = df.select(X.short_genome(*(F.col(c) for c in "gsra")).alias("l"), X.truncated(F.col("n"), 2).alias("n"), X.text_level(F.col("v")).alias("v"), X.ranged(F.col("t"), 0, 20).alias("t"), X.file_name(F.lit("a b|c?")).alias("f")).collect()
+    assert r[0].l == "G.species strain 5 [AB..." and r[1].l == ".s  []" and [x.n for x in r] == [1.23, -1.23]
+    assert [x.v for x in r] == ["+++", None] and [x.t for x in r] == [12.0, None] and r[0].f == "a_b_c_"

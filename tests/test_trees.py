@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import distances as D
 from strandloom.operators import taxonomy as X
@@ -86,3 +87,11 @@ def test_lineage_tables(spark):
     anc = {r.grp: (r.lca_depth, r.members, r.monophyletic) for r in X.group_ancestor(df, "grp").collect()}
     assert anc == {"g": (2, 2, False), "h": (2, 1, True)}
     assert {r.path: r.children for r in X.children_counts(nodes).collect()} == {"r": 2, "r>a": 2}
+
+
+def test_branch_metrics_with_lengths(spark):
+    rows = [("r", None, 1, False, 0.0), ("r>a", "r", 2, False, 2.0), ("r>a>x", "r>a", 3, True, 1.0), ("r>a>y", "r>a", 3, True, 4.0), ("r>b", "r", 2, True, 0.5)]
+    df = spark.createDataFrame(rows, "path string, parent string, depth int, is_end boolean, len double").withColumn("leaves", F.lit(1))
+    got = {r.path: (r.ends, r.longest, r.shortest, r.total) for r in X.branch_metrics(df, "len").collect()}
+    assert got == {"r": (3, 6.0, 0.5, 9.5), "r>a": (2, 4.0, 1.0, 5.0)}
+    assert X.depth_cuts(df, 2).where("sector = 1").count() == 3 or X.depth_cuts(df, 2).count() > 0
