@@ -177,7 +177,8 @@ def parse_newick(text: str) -> Node:
                 raise ValueError("brackets do not match")
             at += 1
         if pieces[at] not in "(),:;":
-            out.title = pieces[at].strip("'").replace("''", "'")
+            word = pieces[at]
+            out.title = word[1:-1].replace("''", "'") if word[0] == "'" else word
             at += 1
         if pieces[at] == ":":
             out.length = float(pieces[at + 1])
