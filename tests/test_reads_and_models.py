@@ -87,3 +87,21 @@ def test_models_learn_a_clear_split(spark, kind):
     p = models.class_probabilities(test, model)
     assert p.groupBy("name").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-6").count() == 0
     assert models.train_node(f, kind, least_median=30) is None
+
+
+def test_model_choice_and_quality(spark):
+    rows = [(f"g{i}", "ab"[i % 2], f"m{m}|x", (2 if (i % 2) == (m % 2) else -2)) for i in range(30) for m in range(3)]
+    f = spark.createDataFrame(rows, "name string, taxon string, marker string, value int")
+    kind, scores = models.select_model(f, ("logistic", "svm"))
+    assert kind in scores and min(scores.values()) == 1.0
+    assert models.cluster_quality(f, 2) > 0.9
+    s = models.class_statistics(f).first()
+    assert (s.genomes, s.classes, s.balance, s.sparsity, s.missing) == (30, 2, 1.0, 0.0, 0.0)
+    assert models.class_statistics(f.limit(0)).count() == 1
+
+
+def test_product_score(spark):
+    markers, model = _toy_model(spark)
+    df = spark.createDataFrame([(1, "A" * 40 + _dna(60, 1))], "i bigint, s string")
+    got = {r.label: r.score for r in C.product_score(C.read_marker_values(df, "i", "s", markers, (4,)), model).collect()}
+    assert got["poly_a"] > got["poly_c"]
