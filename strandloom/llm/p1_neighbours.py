@@ -71,26 +71,27 @@ def _best_per_row(row: np.ndarray, other: np.ndarray, far: np.ndarray, k: int) -
     return at[place < k]
 
 
-def _best_in_file(at: slice, ids: np.ndarray, levels: np.ndarray, order: np.ndarray, side: np.ndarray, pivots: int, most_footrule: int, limit: int, k: int) -> list[np.ndarray]:
+def _best_in_file(at: slice, ids: np.ndarray, side: np.ndarray, k: int, distance) -> list[np.ndarray]:
     """``(row, other, distance)`` of the k nearest others of every row of one inverted file, in blocks of bounded size.
 
-    A block's footrule distances say which rows are candidates; their exact distances come from one matrix product.
+    ``distance(lo, hi)`` gives the distances of the file's rows lo..hi to all its rows and which of them count. Of two blocks of
+    a hot file only rows of different blocks are paired. Ties go to the smaller id.
     """
-    n, own, t, rank = at.stop - at.start, side[at], thermometer(levels[at]), np.argsort(np.argsort(ids[at]))
+    n, own, rank = at.stop - at.start, side[at], np.argsort(np.argsort(ids[at]))
     of_rank = at.start + np.argsort(rank)
     mixed = own.max() == 1 and own.min() == 0
+    none = np.iinfo(np.int32).max
     out = []
     step = max(1, 1_000_000 // n)
     for lo in range(0, n, step):
         hi = min(n, lo + step)
-        far = distances(t[lo:hi], t)
-        ok = (footrule_block(order[at][lo:hi], order[at], pivots) <= most_footrule) & (far <= limit)
+        far, ok = distance(lo, hi)
         ok[np.arange(hi - lo), np.arange(lo, hi)] = False
         if mixed:
             ok &= own[lo:hi, None] != own[None, :]
-        score = np.where(ok, far * n + rank[None, :], np.iinfo(np.int32).max)
+        score = np.where(ok, far.astype(np.int32) * n + rank[None, :], none)
         best = np.partition(score, k - 1, axis=1)[:, :k] if n > k else score
-        row, col = np.nonzero(best != np.iinfo(np.int32).max)
+        row, col = np.nonzero(best != none)
         hit = best[row, col]
         out.append(np.stack([at.start + lo + row, of_rank[hit % n], hit // n]))
     return out
@@ -138,7 +139,14 @@ def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, pref
                     i, j, far = small_files[i[ok]], small_files[j[ok]], far[ok]
                     found.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])]))
             for r in np.flatnonzero(~few):
-                found += _best_in_file(slice(bounds[r], bounds[r + 1]), ids, levels, order, side, pivots, most_footrule, limit, k + 1)
+                at = slice(bounds[r], bounds[r + 1])
+                o, t = order[at], thermometer(levels[at])
+
+                def distance(lo: int, hi: int, o: np.ndarray = o, t: np.ndarray = t) -> tuple[np.ndarray, np.ndarray]:
+                    far = distances(t[lo:hi], t)
+                    return far, (footrule_block(o[lo:hi], o, pivots) <= most_footrule) & (far <= limit)
+
+                found += _best_in_file(at, ids, side, k + 1, distance)
             x, y, far = np.concatenate(found, 1)
             best = _best_per_row(ids[x], ids[y], far, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[best]]), pa.array(ids[y[best]]), pa.array(far[best].astype(np.float64))], ["x", "y", "far"])
@@ -204,7 +212,7 @@ def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
     return word[ok]
 
 
-def sequence_neighbours(records: DataFrame, depth: int = 12, prefix: int = 6, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
+def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12, prefix: int = 6, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
     """Neighbour pairs of sequences ``(id, seq)`` with a word-count cosine of at least ``limit``.
 
     Every distinct count vector is indexed. Under each inverted file a record's up to
@@ -214,19 +222,30 @@ def sequence_neighbours(records: DataFrame, depth: int = 12, prefix: int = 6, mo
     without a word take no part; repeats and ties are fine.
     """
     named = records.select("id", "seq").where("id is not null and seq is not null")
-    sketches = cut_lineage(sequence_sketches(wide(named), depth=depth, prefix=prefix))
+    sketches = cut_lineage(sequence_sketches(wide(named), pivots, depth, prefix))
     points = cut_lineage(_first_copies(sketches, ["h1", "h2"], k))
     reps = sketches.join(points.select(F.col("rep").alias("id")), "id", "left_semi")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            ids = rows.column("id").to_numpy()
+            keys, side, ids = (rows.column(c).to_numpy() for c in ("key", "side", "id"))
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
-            for i, j, f in close_pairs(rows.column("key").to_numpy(), rows.column("side").to_numpy(), order, most_footrule):
-                row, other = np.concatenate([i, j]), np.concatenate([j, i])
-                best = _best_per_row(row, ids[other], np.concatenate([f, f]), rerank_depth)
-                a, b = ids[row[best]], ids[other[best]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            bounds = run_bounds(keys)
+            few = np.diff(bounds) <= rerank_depth
+            found = [np.zeros((2, 0), np.int64)]
+            small_files = np.flatnonzero(np.repeat(few, np.diff(bounds)))
+            for i, j, _ in close_pairs(keys[small_files], side[small_files], order[small_files], most_footrule):
+                found.append(ids[small_files[np.stack([i, j])]])
+            for r in np.flatnonzero(~few):
+                at = slice(bounds[r], bounds[r + 1])
+
+                def distance(lo: int, hi: int, o: np.ndarray = order[at]) -> tuple[np.ndarray, np.ndarray]:
+                    far = footrule_block(o[lo:hi], o, pivots)
+                    return far, far <= most_footrule
+
+                found += [ids[x[:2]] for x in _best_in_file(at, ids, side, rerank_depth, distance)]
+            pairs = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,29 @@ def _least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
+def _cell_star(levels: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is within the radius inside one large cell, and the members around each, itself included.
+
+    Each member is linked to its first near member; two first members are linked if near members have them. That spans
+    the same components as all pairs, of which no list is made. In a block pair, members of the own block are counted elsewhere.
+    """
+    t = thermometer(levels)
+    n = len(t)
+    near = np.zeros((n, n), bool)
+    for lo in range(0, n, 1024):
+        near[lo : lo + 1024] = distances(t[lo : lo + 1024], t) <= radius
+    first = near.argmax(1)
+    both = [np.stack([first, np.arange(n)])]
+    for lo in range(0, n, 1024):
+        x, y = np.nonzero(near[lo : lo + 1024] & (first[lo : lo + 1024, None] != first[None, :]))
+        if len(x):
+            both.append(np.stack(np.divmod(np.unique(first[lo + x] * n + first[y]), n)))
+    if side.max() == 1 and side.min() == 0:
+        near &= side[:, None] != side[None, :]
+        return np.concatenate(both, 1), near.sum(1) + 1
+    return np.concatenate(both, 1), near.sum(1)
+
+
 def grid_cells(vectors: DataFrame, subspaces: int = SUBSPACES) -> DataFrame:
     """``(key, id, vec)``: the cells of every vector, one in each subspace of consecutive entries.
 
@@ -67,7 +90,7 @@ def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, ids = rows.column("key").to_numpy(), rows.column("id").to_numpy()
+            keys, ids, side = (rows.column(c).to_numpy() for c in ("key", "id", "side"))
             levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             bounds = run_bounds(keys)
             size = np.diff(bounds)
@@ -81,22 +104,16 @@ def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
                 ok[s] = np.bitwise_count(words[i[s]] ^ words[j[s]]).sum(1, dtype=np.int64) <= radius
             links = [(i[ok], j[ok])]
             for r in np.flatnonzero(size > 24):
-                t = thermometer(levels[bounds[r] : bounds[r + 1]])
-                for at in range(0, len(t), 1024):
-                    x, y = np.nonzero(distances(t[at : at + 1024], t) <= radius)
-                    here = min(1024, len(t) - at)
-                    near[bounds[r] + at : bounds[r] + at + here] = np.bincount(x, minlength=here)
-                    # a star per row suffices: every near one to the row's smallest near one
-                    first = np.full(here, len(t))
-                    np.minimum.at(first, x, y)
-                    links.append((bounds[r] + first[x], bounds[r] + y))
+                first, within = _cell_star(levels[bounds[r] : bounds[r + 1]], side[bounds[r] : bounds[r + 1]], radius)
+                near[bounds[r] : bounds[r + 1]] = within
+                links.append((bounds[r] + first[0], bounds[r] + first[1]))
             near += np.bincount(i[ok], minlength=len(ids)) + np.bincount(j[ok], minlength=len(ids))
             li, lj = (np.concatenate(z) for z in zip(*links, strict=True))
             low = _least_reached(len(ids), li, lj)
             # positions are not in id order: take the smallest id of each reached set
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, low, ids)
-            out = near > 1
+            out = (near > 1) | (low != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(least[low[out]]), pa.array(near[out])], ["a", "b", "dense"])
 
     posted = salted(cells, "key", "id", block)
