@@ -80,19 +80,50 @@ def grid_cells(vectors: DataFrame, subspaces: int = SUBSPACES) -> DataFrame:
     return vectors.mapInArrow(cells, "key bigint, id bigint, vec binary")
 
 
-def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def open_cells(vectors: DataFrame, subspaces: int) -> DataFrame:
+    """``(key, id, vec)``: for every entry the cell of its subspace with this entry left open.
+
+    Two cells that differ in one feature only are adjacent, and share the cell with that feature open. Vectors up to
+    2 * ``subspaces`` - 1 level steps apart differ by one step at most in some subspace, so they share an open cell.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = np.linspace(0, ENTRIES, subspaces + 1).astype(int)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                data = as_rows(rows.column(1), ENTRIES // 4)
+                levels, ids = unpacked(data).astype(np.int64), rows.column(0).to_numpy()
+                keys = np.empty((len(ids), ENTRIES), np.int64)
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    digits = levels[:, lo:hi] * 4 ** np.arange(hi - lo)
+                    keys[:, lo:hi] = np.arange(lo, hi) + ENTRIES * (digits.sum(1, keepdims=True) - digits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, ENTRIES)), as_binary(np.repeat(data, ENTRIES, 0))], ["key", "id", "vec"])
+
+    return vectors.mapInArrow(cells, "key bigint, id bigint, vec binary")
+
+
+def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK, only_mixed: bool = False) -> DataFrame:
     """``(a, b, dense)``: each member of a cell with the smallest member that it reaches there in steps of at most ``radius``.
 
     Distances inside a cell are all compared, but only this spanning star leaves the task:
     one row per member, never pairs. Cells of more than ``block`` members are compared in
     block pairs. ``dense`` is the number of members within the radius, the member included.
+    An id may stand for several vectors; with ``only_mixed``, cells of one id are passed over.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
             keys, ids, side = (rows.column(c).to_numpy() for c in ("key", "id", "side"))
-            levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             bounds = run_bounds(keys)
+            if only_mixed:
+                several = np.minimum.reduceat(ids, bounds[:-1]) < np.maximum.reduceat(ids, bounds[:-1])
+                kept = np.flatnonzero(np.repeat(several, np.diff(bounds)))
+                if not len(kept):
+                    continue
+                rows, keys, ids, side = rows.take(pa.array(kept)), keys[kept], ids[kept], side[kept]
+                bounds = run_bounds(keys)
+            levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             size = np.diff(bounds)
             near = np.ones(len(ids), np.int64)
             few = (size > 1) & (size <= 24)
@@ -116,7 +147,7 @@ def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
             out = (near > 1) | (low != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(least[low[out]]), pa.array(near[out])], ["a", "b", "dense"])
 
-    posted = salted(cells, "key", "id", block)
+    posted = salted(cells, "key", "vec", block)
     return by_key(posted).mapInArrow(link, "a bigint, b bigint, dense bigint")
 
 
@@ -127,18 +158,23 @@ def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, subspaces: i
     cluster_id is the smallest id in it. Steps: equal vectors are one grid point with a count;
     points fall into the cells of ``subspaces`` grids; dense cells (two points or more) link
     the points within the radius; cells with a common point are adjacent, and minimum labels
-    run over these adjacencies to convergence; ``density`` sums the counts around a vector in
-    its cells. Complete for pairs up to ``subspaces`` - 1 apart; for larger distances up to
-    ``radius`` a pair is missed only if its differences touch every subspace and no third
-    vector links the two. ``vectors(id, vec)`` as of ``packed_vectors``; equal vectors and a
+    run over these adjacencies to convergence. That finds all pairs up to ``subspaces`` - 1 apart. A second
+    pass joins adjacent cells of coarser grids (``open_cells``) and compares only where clusters meet, which
+    makes the result complete up to ``radius``. ``density`` sums the counts around a vector in
+    its cells of the first pass. ``vectors(id, vec)`` as of ``packed_vectors``; equal vectors and a
     third of all rows in one cell are fine; no rows give no rows.
     """
     vectors = cut_lineage(vectors)
     points = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     links = cut_lineage(cell_links(grid_cells(points.select("id", "vec"), subspaces), radius, block))
-    labels = connected_components(links.select("a", "b").distinct())
+    labels = cut_lineage(connected_components(links.select("a", "b").distinct()))
+    labelled = cut_lineage(points.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("id"), "vec"))
+    meeting = cell_links(open_cells(labelled, radius // 2 + 1), radius, block, only_mixed=True).where("a <> b").select("a", "b")
+    joined = connected_components(cut_lineage(meeting.distinct())).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    labels = points.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("was", F.coalesce("component", "id"))
+    labels = labels.join(joined, "was", "left").select("id", F.coalesce("now", "component").alias("component")).where("component is not null")
     density = links.groupBy(F.col("a").alias("id")).agg(F.sum("dense").alias("dense"))
-    known = points.join(labels.withColumnRenamed("node", "id"), "id", "left").join(density, "id", "left")
+    known = points.join(labels, "id", "left").join(density, "id", "left")
     known = known.where("component is not null or copies > 1")
     known = known.select("vec", F.coalesce("component", "id").alias("cluster_id"), (F.coalesce("dense", F.lit(0)) + F.col("copies")).alias("density"))
     return vectors.join(known, "vec").select("id", "cluster_id", "density")

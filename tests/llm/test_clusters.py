@@ -51,3 +51,15 @@ def test_density_prefers_the_middle(spark):
     rows = {0: base, **{i: np.where(np.arange(136) % 12 == i, 2, base) for i in range(1, 8)}, 50: base, 51: base}
     got = {r.id: r.density for r in C.grid_density_clusters(packed_vectors(_frame(spark, rows), "value_id", "level_values")).collect()}
     assert max(got, key=lambda i: (got[i], -i)) == 0
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_pairs_whose_differences_touch_every_subspace(spark, block):
+    rng = np.random.default_rng(3)
+    rows = {}
+    for n in range(20):
+        base = rng.integers(0, 3, 136)
+        spread = np.linspace(0, 135, 24 + n % 2).astype(int)  # 24 steps are within the radius, 25 are not
+        rows[10 * n], rows[10 * n + 1] = base, base + np.isin(np.arange(136), spread)
+    got = {r.id: r.cluster_id for r in C.grid_density_clusters(packed_vectors(_frame(spark, rows), "value_id", "level_values"), block=block).collect()}
+    assert got == _brute(rows, 24) and len(got) == 20
