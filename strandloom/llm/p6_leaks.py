@@ -184,10 +184,13 @@ def longest_run(passage: list[str], text: list[str], inserted: int = 30) -> int:
         parts.append((j, p, n))
     parts.sort()
     best: list[tuple[int, int, int]] = []  # equal words, stretches, first passage word
+    ended = defaultdict(list)  # stretches by their end in the passage and, in buckets as wide as a gap may be, in the text
+    width = inserted + 2
     top = 0
     for y, (j, p, n) in enumerate(parts):
         mine = (n, 1, j)
-        for x in range(y - 1, -1, -1):
+        near = [x for e in range(j - 2, j + 2) for b in (p // width - 1, p // width, p // width + 1) for x in ended.get((e, b), ())]
+        for x in sorted(near, reverse=True):
             i, q, m = parts[x]
             gap, extra = j - i - m, p - q - m
             if not (-1 <= gap <= 2 and -1 <= extra <= inserted) or (gap < 0 and extra < gap):
@@ -201,6 +204,7 @@ def longest_run(passage: list[str], text: list[str], inserted: int = 30) -> int:
             if now[0] - 4 * now[1] >= mine[0] - 4 * mine[1]:
                 mine = now
         best.append(mine)
+        ended[j + n, (p + n) // width].append(y)
         if mine[0] >= 5 * mine[1]:
             top = max(top, j + n - mine[2])
     return top

@@ -200,3 +200,47 @@ def test_features_do_not_depend_on_the_batch():
         assert w1[0] == words[i] and np.allclose(f1[0], f[i])
     last = dict(zip(R.FEATURES, f[-1], strict=True))
     assert words[-1] == 9 and last["sentence_len"] == 4.5 and last["semicolons"] == 0.5 and abs(last["marker_de"] - 2 / 9) < 1e-9
+
+
+def _plain_longest_run(passage, text, inserted=30):
+    """``longest_run`` that looks back over all stretches."""
+    pairs = {(j, p) for j in range(len(passage) - 1) for p in range(len(text) - 1) if passage[j : j + 2] == text[p : p + 2]}
+    parts = []
+    for j, p in pairs:
+        if (j - 1, p - 1) not in pairs:
+            n = 2
+            while (j + n - 1, p + n - 1) in pairs:
+                n += 1
+            parts.append((j, p, n))
+    best, top = [], 0
+    for j, p, n in sorted(parts):
+        mine = (n, 1, j)
+        for (i, q, m), (equal, stretches, begin) in reversed(best):
+            gap, extra = j - i - m, p - q - m
+            if not (-1 <= gap <= 2 and -1 <= extra <= inserted) or (gap < 0 and extra < gap):
+                continue
+            alike = 0 < gap <= extra and all(K.one_letter_apart(passage[i + m + g], text[p - gap + g]) for g in range(gap))
+            now = (equal + n + (gap if alike else min(gap, 0)), stretches + (not (alike and gap == extra)), begin)
+            if now[0] - 4 * now[1] >= mine[0] - 4 * mine[1]:
+                mine = now
+        best.append(((j, p, n), mine))
+        if mine[0] >= 5 * mine[1]:
+            top = max(top, j + n - mine[2])
+    return top
+
+
+def test_longest_run_equals_the_plain_one():
+    rng = random.Random(8)
+    for _ in range(300):
+        passage = [f"w{rng.randrange(30)}ord" for _ in range(60)]
+        text = []
+        for _ in range(4):
+            at = rng.randrange(50)
+            text += [f"x{rng.randrange(30)}"] * rng.randrange(36) + [w for w in passage[at : at + rng.randrange(3, 30)] if rng.random() < 0.93]
+        assert K.longest_run(passage, text) == _plain_longest_run(passage, text)
+
+
+def test_longest_run_of_a_very_long_text():
+    passage = [w for i in range(60) for w in ("of", "the", f"n{i}")]
+    apart = (["of", "the"] + ["z"] * 40) * 1500  # more words than may be put in: nothing here joins the quotation
+    assert K.longest_run(passage, apart + passage[:60] + ["z"] * 40 + apart) == 60
