@@ -58,6 +58,22 @@ def select_by_mean(means: DataFrame, keys: tuple[str, ...] = (), diverse: tuple[
     return m.select(*keys, "marker", "mean", by_rank("_nd", "_rd", "_d").alias("is_diverse"), by_rank("_nc", "_rc", "_c").alias("is_common"))
 
 
+def variance_scores(features: DataFrame, *keys: str, common: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
+    """Sample variance of every marker's values as ``score``, negated where the mean lies in the common range.
+
+    Null values are left out; a marker with fewer than two values has a null score.
+    """
+    s = features.groupBy(*keys, "marker").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("_v"))
+    usual = (F.col("mean") <= common[0]) | (F.col("mean") >= common[1])
+    return s.select(*keys, "marker", "mean", F.when(usual, -F.col("_v")).otherwise(F.col("_v")).alias("score"))
+
+
+def clean_features(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """Classifier input: labels trimmed, rows with a null, blank or NaN label dropped, values as integers, unreadable ones 0."""
+    named = rows.withColumn(label, F.trim(label)).where((F.col(label) != "") & ~F.lower(label).isin("nan", "none", "null"))
+    return named.withColumn(value, F.coalesce(F.trim(F.col(value).cast("string")).try_cast("int"), F.lit(0)))
+
+
 def chi_square(features: DataFrame, label: str = "taxon", keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys, marker, chi2, dof, n)`` of the contingency of label and value.
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST_LEAVES = 5_000
 
@@ -161,6 +162,26 @@ def pathways(node: Node, root: str = "Root") -> list[str]:
     return out
 
 
+def tree_of_paths(paths: DataFrame, parts: str = "parts") -> Node:
+    """The tree of distinct name paths (arrays), children in order of their names; refuses more than ``MOST_LEAVES`` paths.
+
+    Null and empty paths are left out. A path that another one continues stays an inner node.
+    """
+    rows = paths.where(F.size(parts) > 0).select(parts).distinct().limit(MOST_LEAVES + 1).collect()
+    if len(rows) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} leaves")
+    root, known = Node(), {}
+    for names in sorted(tuple(r[0]) for r in rows):
+        above = root
+        for i, name in enumerate(names):
+            here = known.get(names[: i + 1])
+            if here is None:
+                here = known[names[: i + 1]] = Node(name)
+                above.children.append(here)
+            above = here
+    return root
+
+
 def parse_newick(text: str) -> Node:
     """The inverse of ``newick``; ValueError for unbalanced text."""
     pieces = re.findall(r"'(?:[^']|'')*'|[(),:;]|[^(),:;'\s]+", text)

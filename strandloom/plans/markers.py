@@ -9,7 +9,7 @@ from strandloom.operators import classify, distances, kmers, models, trees
 from strandloom.operators import markers as M
 from strandloom.operators.vectors import vector_features
 from strandloom.plans import sql
-from strandloom.session import cut_lineage, small, table
+from strandloom.session import cut_lineage, each_of, small, table
 from strandloom.sources.wdb import wide_matrix
 
 QUERIES: dict = {}
@@ -57,6 +57,21 @@ def marker_choice(spark, d):
     return s.select("marker", F.round("mean", 6).alias("mean"), "is_diverse", "is_common")
 
 
+@query(f"{_BASE}, m AS (SELECT marker, avg(value) AS mean, var_samp(value) AS v FROM features GROUP BY marker) SELECT marker, round(CASE WHEN mean <= -1 OR mean >= 1 THEN -v ELSE v END, 6) AS score FROM m")
+def variance_scores(spark, d):
+    """Variance of each marker's values, negated for common markers: the score of the redundancy filter."""
+    return M.variance_scores(features(spark, d)).select("marker", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH e AS (SELECT trim(taxon) AS label, pos, coalesce(try_cast(trim(v) AS INTEGER), 0) AS value FROM (SELECT taxon, unnest(level_values) AS v, unnest(range(1, len(level_values) + 1)) AS pos FROM wdb_values))
+SELECT label, pos::INTEGER AS pos, count(*) AS n, sum(value)::BIGINT AS total, count(*) FILTER (value = 0) AS zeros FROM e WHERE label <> '' AND lower(label) NOT IN ('nan', 'none', 'null') GROUP BY ALL""")
+def cleaned_features(spark, d):
+    """Per label and position, the cells of the raw vectors after the cleaning of classifier input."""
+    cells = table(spark, d, "wdb_values").select("taxon", F.posexplode("level_values").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
+    clean = M.clean_features(cells, "taxon", "value")
+    return clean.groupBy(F.col("taxon").alias("label"), "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count_if(F.col("value") == 0).alias("zeros"))
+
+
 _CHI = """, o AS (SELECT marker, taxon, value, count(*)::DOUBLE AS o FROM features WHERE taxon IS NOT NULL GROUP BY ALL),
   c AS (SELECT *, sum(o) OVER (PARTITION BY marker, taxon) AS r, sum(o) OVER (PARTITION BY marker, value) AS c FROM o),
   chi AS (SELECT marker, sum(o)::BIGINT AS n, sum(o) * (sum(o * o / (r * c)) - 1) AS chi2, (count(DISTINCT taxon) - 1) * (count(DISTINCT value) - 1) AS dof FROM c GROUP BY marker)"""
@@ -140,8 +155,7 @@ def nearest_profile(spark, d):
     as_array = lambda df: df.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("marker", "level"))).alias("l"))  # noqa: E731  # 136 markers each
     p = as_array(taxon_levels(spark, d)).select(F.col("name").alias("taxon"), F.col("l.level").alias("at"))
     v = as_array(features(spark, d).select("name", "marker", "level")).select("name", F.col("l.level").alias("level"))
-    one = cut_lineage(p).agg(F.collect_list(F.struct("taxon", "at")).alias("p"))  # one row, an entry per taxon
-    pairs = v.crossJoin(F.broadcast(one)).select("name", "level", F.explode("p").alias("p")).select("name", "level", "p.taxon", "p.at")
+    pairs = each_of(v, cut_lineage(p).select(F.struct("taxon", "at").alias("p")), "p", 5_000).select("name", "level", "p.taxon", "p.at")  # taxa, their number is checked
     steps = F.aggregate(F.zip_with("level", "at", lambda a, b: F.abs(a - b)), F.lit(0), lambda x, y: x + y).cast("bigint")
     near = pairs.select("name", "taxon", steps.alias("steps"))
     return near.groupBy("name").agg(F.min_by("taxon", F.struct("steps", "taxon")).alias("nearest"), F.min("steps").alias("steps"))

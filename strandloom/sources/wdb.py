@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import levels as L
+from strandloom.session import small
 
 
 def save_wdb(words: DataFrame, path: str, title: str = "", version: str = "1", geometry: str = "lower") -> None:
@@ -93,6 +94,18 @@ def chunked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     return global_rank(rows, [F.col(c) for c in order], "_r").withColumn("chunk", F.floor((F.col("_r") - 1) / size)).drop("_r")
 
 
+def write_folders(rows: DataFrame, paths: DataFrame, path: str, key: str = "acc") -> None:
+    """``rows`` sorted into a folder hierarchy: one folder per step of the tree path of their ``key``.
+
+    ``paths(key, path)`` are pathways as ``trees.pathways`` writes them, ``Root>0>1>leaf``; the steps between root and
+    leaf, joined by ``_``, name the folders (a dot would read back as a number). All members of a folder are written together; rows whose key has no path are left out.
+    """
+    steps = F.split("path", ">")
+    folder = F.array_join(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 2, F.lit(0))), "_")
+    at = paths.where("path is not null").select(key, F.when(folder == "", F.lit("root")).otherwise(folder).alias("folder"))
+    rows.join(small(at), key).write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
 def write_hits(hits: DataFrame, path: str) -> None:
     """Result table Record, Taxon, Identity, Path, Species level as TSV."""
     cols = [F.col("record").alias("Record"), F.col("taxon").alias("Taxon"), F.format_string("%.4f", "identity").alias("Identity"), F.col("path").alias("Path"), F.col("species_level").alias("Species level")]

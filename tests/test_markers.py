@@ -91,3 +91,12 @@ def test_fdr_is_monotone(spark):
     out = M.with_fdr(df).orderBy("p").select("p", "fdr").collect()
     assert all(a.fdr <= b.fdr + 1e-12 for a, b in zip(out, out[1:], strict=False)) and all(r.fdr >= r.p - 1e-12 for r in out)
     assert M.with_p_values(spark.createDataFrame([("m", 3.0, 2)], "marker string, chi2 double, dof bigint")).select(F.round("p", 6)).first()[0] == round(math.exp(-1.5), 6)
+
+
+def test_cleaning_and_variance_scores(spark):
+    rows = [(" g ", "m", " 2 ", "x"), ("g", "m", "bad", "x"), ("", "m", "1", "x"), (None, "m", "1", "x"), ("NaN", "m", "1", "x"), ("g", "m", None, "x")]
+    clean = M.clean_features(spark.createDataFrame(rows, "taxon string, marker string, value string, extra string"), "taxon", "value")
+    assert sorted((r.taxon, r.value) for r in clean.collect()) == [("g", 0), ("g", 0), ("g", 2)]
+    values = [("m", 2), ("m", 1), ("n", -1), ("n", 1), ("o", 1), ("p", None)]
+    got = {r.marker: r.score for r in M.variance_scores(spark.createDataFrame(values, "marker string, value int")).collect()}
+    assert got == {"m": -0.5, "n": 2.0, "o": None, "p": None}

@@ -89,6 +89,13 @@ def test_lineage_tables(spark):
     assert {r.path: r.children for r in X.children_counts(nodes).collect()} == {"r": 2, "r>a": 2}
 
 
+def test_tree_of_lineage_paths(spark):
+    rows = [(["b", "x"],), (["a", "y z"],), (["a", "w"],), (["a"],), (["b", "x"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "parts array<string>")
+    assert T.newick(T.tree_of_paths(df), lengths=False) == "((w,'y z')a,(x)b);"
+    assert T.newick(T.tree_of_paths(df.where("false")), lengths=False) == ";"
+
+
 def test_branch_metrics_with_lengths(spark):
     rows = [("r", None, 1, False, 0.0), ("r>a", "r", 2, False, 2.0), ("r>a>x", "r>a", 3, True, 1.0), ("r>a>y", "r>a", 3, True, 4.0), ("r>b", "r", 2, True, 0.5)]
     df = spark.createDataFrame(rows, "path string, parent string, depth int, is_end boolean, len double").withColumn("leaves", F.lit(1))

@@ -37,3 +37,13 @@ def test_registry_and_replacement(spark):
     assert {(r.acc, r.kmer) for r in wdb.replace_genome(w, new).collect()} == {("b", "TTAA"), ("a", "TTAT")}
     kept = wdb.without_dominated(spark.createDataFrame([("AAAA", 5), ("AAAC", 9), ("CGCG", 9)], "kmer string, score int"), "score")
     assert {r.kmer for r in kept.collect()} == {"AAAC", "CGCG"}
+
+
+def test_folders_follow_the_tree(spark, tmp_path):
+    from strandloom.sources.wdb import write_folders
+
+    words = _words(spark, [(a, 4, 1, 1, "TTAA", 1, 0) for a in ("a", "b", "c", "d")])
+    paths = spark.createDataFrame([("a", "Root>0>1>a"), ("b", "Root>0>1>b"), ("c", "Root>c"), ("e", None)], "acc string, path string")
+    write_folders(words, paths, str(tmp_path / "t"))
+    got = {(r.acc, str(r.folder)) for r in spark.read.option("recursiveFileLookup", False).parquet(str(tmp_path / "t")).collect()}
+    assert got == {("a", "0_1"), ("b", "0_1"), ("c", "root")}
