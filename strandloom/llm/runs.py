@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import small
+from strandloom.session import cut_lineage, small
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
@@ -56,6 +56,7 @@ def salted(postings: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
     """
     hot = postings.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     hot = hot.select(key, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_s"))
+    hot = cut_lineage(hot)  # a row per hot key: the count behind `small` must not build the postings again
     marked = postings.join(small(hot, 100_000), key, "left")
     own = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.col("_s").cast("bigint")).cast("int")
     other: Column = F.explode(F.when(F.col("_s").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_s") - 1)))
