@@ -21,6 +21,7 @@ LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
 FEW = 24  # rows up to which an inverted file is compared pair by pair
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
+DENSE = 512  # rows of a crowded file whose word counts are laid out at once
 
 
 def _keys_column(keys: np.ndarray) -> pa.ListArray:
@@ -97,6 +98,74 @@ def _best_in_file(at: slice, ids: np.ndarray, side: np.ndarray, k: int, distance
     return out
 
 
+def _countable(order: np.ndarray, side: np.ndarray, file: int, rows: slice, cols: slice, prefix: int, pivots: int, most: int) -> np.ndarray:
+    """Which pairs of ``rows`` and ``cols`` of the inverted file ``file`` count there.
+
+    They lie within a footrule distance of ``most``, belong to different blocks if the file holds two, and share no file of a
+    smaller key: every pair counts in one file only.
+    """
+    ok = footrule_block(order[rows], order[cols], pivots) <= most
+    ok &= np.arange(len(order))[rows, None] != np.arange(len(order))[cols]
+    if side.max() == 1 and side.min() == 0:
+        ok &= side[rows, None] != side[cols]
+    first, second = file >> 16, file & 0xFFFF
+    if second != 0xFFFF:  # the file of one pivot is the only one of its rows
+        below = np.where((order[:, :prefix] < second) & (order[:, :prefix] != first), order[:, :prefix], -1)
+        other = below[cols]
+        has = np.zeros((pivots + 1, len(other)), bool)
+        for i in range(prefix):
+            has[other[:, i], np.arange(len(other))] = True
+        has[pivots] = False  # row -1: no pivot
+        for i in range(prefix):
+            if (below[rows, i] >= 0).any():
+                ok &= ~has[below[rows, i]]
+    return ok
+
+
+def _best_cosines(rows: pa.Table, order: np.ndarray, prefix: int, pivots: int, most: int, limit: float, k: int) -> list[np.ndarray]:
+    """``(row, other, -cosine)`` of the k nearest others of every row of one crowded file, whose rows are sorted by id.
+
+    Dot products of blocks of ``DENSE`` rows are exact: sums of whole numbers that the float type holds.
+    """
+    side, data, n, breaks = (rows.column(c).to_pylist() for c in ("side", "bases", "n", "breaks"))
+    side, file = np.array(side), rows.column("file")[0].as_py()
+    norm = np.zeros(len(side), np.int64)
+
+    for r in range(len(side)):
+        word = _count_words(data[r], n[r], breaks[r])
+        norm[r] = int(np.bincount(word)[word].sum())
+    exact = np.float32 if norm.max() < 2**24 else np.float64
+
+    def block(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, words.WORDS), exact)
+        for r in range(lo, hi):
+            out[r - lo] = np.bincount(_count_words(data[r], n[r], breaks[r]), minlength=words.WORDS)
+        return out
+
+    edges = [(lo, min(lo + DENSE, len(side))) for lo in range(0, len(side), DENSE)]
+    out = []
+    for x, (lo, hi) in enumerate(edges):
+        left = None
+        for to, end in edges[x:]:
+            ok = _countable(order, side, file, slice(lo, hi), slice(to, end), prefix, pivots, most)
+            if not ok.any():
+                continue
+            left = block(lo, hi) if left is None else left
+            right = left if to == lo else block(to, end)
+            far = -(left @ right.T).astype(np.float64) / np.sqrt(norm[lo:hi, None].astype(np.float64) * norm[None, to:end])
+            far = np.where(ok & (far <= -limit), far, np.inf)
+            for here, there, table in [(lo, to, far), (to, lo, far.T)][: 1 if to == lo else 2]:
+                table = table.copy()
+                every = np.arange(len(table))
+                for _ in range(min(k, table.shape[1])):
+                    at = table.argmin(1)  # of equal ones the first, which has the smallest id
+                    best = table[every, at]
+                    has = np.isfinite(best)
+                    out.append(np.stack([every[has] + here, at[has] + there, best[has]]))
+                    table[every, at] = np.inf
+    return out
+
+
 def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, prefix: int = 4, most_footrule: int = 68, k: int = NEIGHBOURS, limit: int = LEVEL_LIMIT) -> DataFrame:
     """Neighbour pairs of level vectors ``(id, vec)`` (see ``levels.packed_vectors``) within ``limit`` level steps.
 
@@ -215,11 +284,12 @@ def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
 def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12, prefix: int = 6, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
     """Neighbour pairs of sequences ``(id, seq)`` with a word-count cosine of at least ``limit``.
 
-    Every distinct count vector is indexed. Under each inverted file a record's up to
-    ``rerank_depth`` nearest others by footrule distance (at most ``most_footrule``) become
-    candidates, which are reranked by the exact cosine; equal count vectors are one point with its
-    smallest ids, so copies never compete for these places. Null and empty sequences and those
-    without a word take no part; repeats and ties are fine.
+    Every distinct count vector is indexed. Vectors that share an inverted file and lie within a
+    footrule distance of ``most_footrule`` are candidates, all of which are reranked by the exact
+    cosine. Files with up to ``rerank_depth`` of them per row give lists of pairs; those of more
+    crowded files are compared by blocks inside the task, where only the best of each row leave
+    it. Equal count vectors are one point with its smallest ids. Null and empty sequences and
+    those without a word take no part; repeats and ties are fine.
     """
     named = records.select("id", "seq").where("id is not null and seq is not null")
     sketches = cut_lineage(sequence_sketches(wide(named), pivots, depth, prefix))
@@ -228,7 +298,7 @@ def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12,
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, side, ids = (rows.column(c).to_numpy() for c in ("key", "side", "id"))
+            keys, files, side, ids = (rows.column(c).to_numpy() for c in ("key", "file", "side", "id"))
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
             bounds = run_bounds(keys)
             few = np.diff(bounds) <= rerank_depth
@@ -236,16 +306,42 @@ def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12,
             small_files = np.flatnonzero(np.repeat(few, np.diff(bounds)))
             for i, j, _ in close_pairs(keys[small_files], side[small_files], order[small_files], most_footrule):
                 found.append(ids[small_files[np.stack([i, j])]])
+            crowded = [np.zeros(0, np.int64)]
             for r in np.flatnonzero(~few):
-                at = slice(bounds[r], bounds[r + 1])
-
-                def distance(lo: int, hi: int, o: np.ndarray = order[at]) -> tuple[np.ndarray, np.ndarray]:
-                    far = footrule_block(o[lo:hi], o, pivots)
-                    return far, far <= most_footrule
-
-                found += [ids[x[:2]] for x in _best_in_file(at, ids, side, rerank_depth, distance)]
+                lo, n = bounds[r], bounds[r + 1] - bounds[r]
+                o, own, file = order[lo : lo + n], side[lo : lo + n], int(files[lo])
+                taking = np.zeros(n, bool)
+                pairs, step = [], max(1, 1_000_000 // n)
+                for at in range(0, n, step):
+                    ok = _countable(o, own, file, slice(at, at + step), slice(0, n), prefix, pivots, most_footrule)
+                    taking |= ok.any(0)
+                    if pairs is not None:
+                        i, j = np.nonzero(ok)
+                        i, j = i[i + at < j] + at, j[i + at < j]
+                        pairs.append(np.stack([i, j]))
+                        if sum(x.shape[1] for x in pairs) > rerank_depth * n:
+                            pairs = None
+                if pairs is None:
+                    crowded.append(lo + np.flatnonzero(taking))
+                else:
+                    found += [ids[lo + x] for x in pairs]
             pairs = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            more = np.concatenate(crowded)
+            some = [pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], t) for t in (pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(some, ["a", "b", "key", "file", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[more]), pa.nulls(len(more), pa.int64()), pa.array(keys[more]), pa.array(files[more]), pa.array(side[more])], ["a", "b", "key", "file", "side"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches):
+            bounds = run_bounds(rows.column("key").to_numpy())
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                file = rows.slice(lo, hi - lo).sort_by("id")
+                ids, order = file.column("id").to_numpy(), as_rows(file.column("pivots"), 2 * depth).view(np.int16)
+                found = _best_cosines(file, order, prefix, pivots, most_footrule, limit, k + 1)
+                x, y, far = np.concatenate([np.zeros((3, 0)), *found], 1)
+                x, y = ids[x.astype(np.int64)], ids[y.astype(np.int64)]
+                best = _best_per_row(x, y, far, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[best]), pa.array(y[best]), pa.array(far[best])], ["x", "y", "far"])
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,13 +362,18 @@ def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12,
             a, b = np.array(rows["a"], np.int64)[ok], np.array(rows["b"], np.int64)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([far[ok], far[ok]]))], ["x", "y", "far"])
 
-    posted = salted(reps.select(F.explode("keys").alias("key"), "id", "pivots"), "key", "id", BLOCK)
-    pairs = cut_lineage(by_key(posted).mapInArrow(candidates, "a bigint, b bigint").distinct())
+    posted = salted(reps.select(F.explode("keys").alias("key"), "id", "pivots").withColumn("file", F.col("key")), "key", "id", BLOCK)
+    close = cut_lineage(by_key(posted).mapInArrow(candidates, "a bigint, b bigint, key bigint, file bigint, side int").distinct())
+    pairs = close.where("key is null").select("a", "b")
+    crowded = close.where("key is not null").select(F.col("a").alias("id"), "key", "file", "side")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     body = cut_lineage(sketches.select("id", "bases", "n", "breaks").join(needed, "id", "left_semi"))
     side = lambda s: body.select(F.col("id").alias(s), F.col("bases").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("breaks").alias(f"b{s}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "da", "na", "ba", "db", "nb", "bb")
     links = full.mapInArrow(cosines, "x bigint, y bigint, far double")
+    if not crowded.isEmpty():
+        laid = crowded.join(sketches.select("id", "pivots", "bases", "n", "breaks"), "id")
+        links = links.unionByName(by_key(laid).mapInArrow(compare, "x bigint, y bigint, far double"))
     members = sketches.join(points.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     return nearest_ids(links, points.select("rep", "copies"), members, -1.0, k)
 

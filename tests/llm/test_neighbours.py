@@ -113,6 +113,25 @@ def test_sequence_neighbours_against_all_pairs(spark, monkeypatch, block):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("block", [2048, 100])
+def test_sequence_neighbours_in_one_cluster_of_distinct_variants(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = random.Random(5)
+    base = "".join(rng.choice("ACGT") for _ in range(1500))
+    rows = {i: _mutate(base, 0.01, rng) for i in range(500)} | {i: "".join(rng.choice("ACGT") for _ in range(1500)) for i in range(500, 1500)}
+    got = {(r.id_a, r.id_b) for r in P.sequence_neighbours(spark.createDataFrame(list(rows.items()), "id bigint, seq string")).collect()}
+    count = np.zeros((500, words.WORDS), np.float64)
+    for i in range(500):
+        good, _, breaks = words.bases([rows[i]])
+        word, ok = words.words_of(good, breaks)
+        count[i] = np.bincount(word[ok], minlength=words.WORDS)
+    norm = (count**2).sum(1)
+    far = -(count @ count.T) / np.sqrt(norm[:, None] * norm[None])
+    np.fill_diagonal(far, np.inf)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(500) for j in np.argsort(far[i], kind="stable")[:5]}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
 def test_words_of_a_batch_match_single_texts():
     texts = ["ACGTTGCAAC", "", "acgn\tACGTACGTA", "A|CGTACGTACGT", "NNNN"]
     good, lengths, breaks = words.bases(texts)
