@@ -17,7 +17,9 @@ from strandloom.session import table, wide
 
 RUN = 20  # words of a passage that must stand in a document
 HALF = 32  # words of half a query passage
-THRESHOLD = 24.0  # BM25 score from which a passage is verified
+THRESHOLD = 24.0  # BM25 score from which a passage is verified at the latest, see ``least_score``
+INSERTED = 30  # words that may be put in between two equal stretches
+STRETCH = 5  # words of equal stretches on average
 BLOCK_ITEMS = 8  # items per block of the inverted index
 INDEX_ITEMS = 2000  # items per index; more items are searched in several indexes
 K1, B = 1.2, 0.75
@@ -52,9 +54,28 @@ class ItemIndex:
     post_at: np.ndarray  # start of each term block in (item, impact)
     item: np.ndarray
     impact: np.ndarray
+    least: np.ndarray  # score that every leak of an item reaches in some passage
 
 
-def build_index(items: list[tuple[int, str]]) -> ItemIndex:
+def least_score(impacts: np.ndarray, run: int) -> float:
+    """The least score that ``longest_run`` chains of ``run`` words of an item (or all of a shorter one) have in their best passage.
+
+    ``impacts`` are those of the trigrams at all places of the item. A chain of s equal stretches has at most two other words
+    and ``INSERTED`` words of text between two of them; the trigrams that are left score at least the sum of
+    the item's smallest impacts, and as many passages as the chain can extend over share it. Words one letter
+    apart are counted as equal ones here.
+    """
+    length = len(impacts) + 2
+    sums = np.concatenate([[0.0], np.cumsum(np.sort(impacts))])
+    found = np.inf
+    for s in range(1, length // STRETCH + 1):
+        equal = max(STRETCH * s, min(run, length) - 2 * (s - 1))
+        halves = -(-(equal + INSERTED * (s - 1) - 1) // HALF) + 1
+        found = min(found, sums[equal - 2 * s] / -(-halves // 2))
+    return float(found) * (1 - 1e-9)
+
+
+def build_index(items: list[tuple[int, str]], run: int = RUN) -> ItemIndex:
     """The index of ``(item_id, text)``; passages of fewer than three words have no term."""
     words = [word_list(question_split(t)[0]) for _, t in items]
     hashed = [np.array([hash_word(w) for w in ws], np.uint64) for ws in words]
@@ -62,17 +83,21 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex:
     size = len(vocabulary) + 1
     postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
     average = max(1.0, float(np.mean([len(w) for w in words] or [1])))
+    places = []
     for n, h in enumerate(hashed):
         v = np.searchsorted(vocabulary, h).astype(np.int64)
-        for term, tf in Counter(((v[:-2] * size + v[1:-1]) * size + v[2:]).tolist() if len(v) > 2 else []).items():
+        places.append(((v[:-2] * size + v[1:-1]) * size + v[2:]).tolist() if len(v) > 2 else [])
+        for term, tf in Counter(places[-1]).items():
             postings[term].append((n, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / average))))
     terms = np.array(sorted(postings), np.int64)
     best, block_at, block, block_best, post_at, item, impact = [], [0], [], [], [0], [], []
+    scored: dict[tuple[int, int], float] = {}
     for term in terms.tolist():
         found = postings[term]
         idf = float(np.log(1 + (len(items) - len(found) + 0.5) / (len(found) + 0.5)))
         by_block: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for n, weight in found:
+            scored[n, term] = idf * weight
             by_block[n // BLOCK_ITEMS].append((n, idf * weight))
         for b, entries in sorted(by_block.items()):
             block.append(b)
@@ -82,8 +107,9 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex:
             post_at.append(len(item))
         block_at.append(len(block))
         best.append(max(block_best[block_at[-2] :]))
+    least = np.array([least_score(np.array([scored[n, term] for term in at]), run) for n, at in enumerate(places)])
     as_int = lambda x: np.array(x, np.int64)
-    return ItemIndex(as_int([i for i, _ in items]), words, vocabulary, terms, np.array(best), as_int(block_at), as_int(block), np.array(block_best), as_int(post_at), as_int(item), np.array(impact))
+    return ItemIndex(as_int([i for i, _ in items]), words, vocabulary, terms, np.array(best), as_int(block_at), as_int(block), np.array(block_best), as_int(post_at), as_int(item), np.array(impact), least)
 
 
 def _expand(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +129,15 @@ def _passage_sums(half: np.ndarray, group: np.ndarray, weight: np.ndarray, group
     return code, total
 
 
-def _kept(half: np.ndarray, group: np.ndarray, code: np.ndarray, total: np.ndarray, groups: int, threshold: float) -> np.ndarray:
-    """Entries of a half that belongs, as first or second, to a passage that reaches the threshold."""
-    good = code[total >= threshold]
+def _kept(half: np.ndarray, group: np.ndarray, code: np.ndarray, total: np.ndarray, groups: int, threshold: np.ndarray) -> np.ndarray:
+    """Entries of a half that belongs, as first or second, to a passage that reaches the threshold of its group."""
+    good = code[total >= threshold[code % groups]]
     mine = half * groups + group
     return np.isin(mine, good) | np.isin(mine - groups, good)
 
 
 def retrieve(texts: list[str], index: ItemIndex, threshold: float = THRESHOLD) -> np.ndarray:
-    """``(text, item)`` pairs of which some passage of the text scores at least ``threshold`` for the item.
+    """``(text, item)`` pairs of which some passage of the text scores at least ``threshold``, or the item's ``least``, for the item.
 
     Passages are all windows of two halves of ``HALF`` words. Pruning as in block-max WAND, for
     a batch of passages at once: first by the sum of the terms' greatest impacts, then per block of items
@@ -136,16 +162,18 @@ def retrieve(texts: list[str], index: ItemIndex, threshold: float = THRESHOLD) -
     half = (at - first[w.doc[at]]) // HALF
     halves = int(half.max()) + 2
     half = w.doc[at] * halves + half  # a text's last half is never followed by another text's first
-    keep = _kept(half, 0 * half, *_passage_sums(half, 0 * half, index.best[term], 1), 1, threshold)
+    each = np.minimum(index.least, threshold)
+    per_block = np.minimum.reduceat(each, np.arange(0, len(each), BLOCK_ITEMS))
+    keep = _kept(half, 0 * half, *_passage_sums(half, 0 * half, index.best[term], 1), 1, each.min(keepdims=True))
     half, term = half[keep], term[keep]
     entry, source = _expand(index.block_at, term)
     half, blocks = half[source], int(index.block.max()) + 1
     group = index.block[entry]
-    keep = _kept(half, group, *_passage_sums(half, group, index.block_best[entry], blocks), blocks, threshold)
+    keep = _kept(half, group, *_passage_sums(half, group, index.block_best[entry], blocks), blocks, per_block)
     posting, source = _expand(index.post_at, entry[keep])
     half, item, items = half[keep][source], index.item[posting], len(index.items)
     code, total = _passage_sums(half, item, index.impact[posting], items)
-    good = code[total >= threshold]
+    good = code[total >= each[code % items]]
     return np.unique(np.stack([good // items // halves, good % items], 1), axis=0) if len(good) else none
 
 
@@ -159,7 +187,7 @@ def one_letter_apart(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def longest_run(passage: list[str], text: list[str], inserted: int = 30) -> int:
+def longest_run(passage: list[str], text: list[str], inserted: int = INSERTED) -> int:
     """Words of the longest stretch of ``passage`` that stands in ``text`` in order.
 
     Equal stretches of two words or more are chained if between them at most two words of the passage
@@ -210,12 +238,28 @@ def longest_run(passage: list[str], text: list[str], inserted: int = 30) -> int:
     return top
 
 
+def may_run(passage: list[str], pairs: set[tuple[str, str]], need: int) -> bool:
+    """Whether ``longest_run`` can reach ``need`` words in a text of these pairs of words: a cheap bound, never too low.
+
+    All words of a chain but at most two in a row belong to a pair of the passage that stands somewhere in the text.
+    """
+    begin, end = 0, -3
+    for j, pair in enumerate(zip(passage, passage[1:], strict=False)):
+        if pair in pairs:
+            if j - end > 2:
+                begin = j
+            end = j + 2
+            if end - begin >= need:
+                return True
+    return False
+
+
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, run_words, question_words)``: documents that hold an item's passage or ``run`` words of it in a row.
 
     Every document is cut into overlapping passages, which query the index of items; what scores at
-    least ``threshold`` is verified word by word over the whole text. A shorter passage must
-    stand there whole. ``question_words`` is the share of the question's words found in the text.
+    least ``threshold``, or what a run of the item must score if that is less, is verified word by word over the whole text. A shorter passage must
+    stand there whole; one of fewer than five words is never found (see ``longest_run``). Items of one passage are indexed once. ``question_words`` is the share of the question's words found in the text.
     The items are the small side: they are indexed in blocks of ``INDEX_ITEMS``, so each
     index sent to the tasks is bounded, and the documents pass through once per block. Null
     texts and ids have no row, repeated documents each their own.
@@ -228,24 +272,32 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, threshold: float =
     for b in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         known = [(r["item_id"], r["text"]) for r in part.orderBy("item_id").collect()]  # about INDEX_ITEMS rows
-        index = build_index(known)
-        questions = [set(word_list(question_split(t)[1])) for _, t in known]
-
-        def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, questions: list[set[str]] = questions) -> Iterator[pa.RecordBatch]:
+        copies: dict[tuple[str, ...], list[tuple[int, set[str]]]] = defaultdict(list)
+        first: dict[tuple[str, ...], str] = {}
+        for i, t in known:
+            passage, question = question_split(t)
+            w = tuple(word_list(passage))
+            copies[w].append((i, set(word_list(question))))
+            first.setdefault(w, t)
+        order = sorted(copies, key=lambda w: (len(w), copies[w][0][0]))  # blocks of passages of about one length, so of like thresholds
+        index = build_index([(copies[w][0][0], first[w]) for w in order], run)
+        named_by = [copies[w] for w in order]
+
+        def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, named_by: list[list[tuple[int, set[str]]]] = named_by) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[tuple[int, int, int, float]] = []
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    last, words, have = -1, [], set()
+                    last, words, have, pairs = -1, [], set(), set()
                     for t, i in retrieve(texts, index, threshold).tolist():
                         if t != last:
                             last, words = t, word_list(texts[t])
-                            have = set(words)
-                        n = longest_run(index.words[i], words)
-                        if n >= min(run, len(index.words[i])):
-                            asked = questions[i]
-                            rows.append((ids[t], int(index.items[i]), n, len(asked & have) / len(asked) if asked else 0.0))
+                            have, pairs = set(words), set(zip(words, words[1:], strict=False))
+                        need = min(run, len(index.words[i]))
+                        n = longest_run(index.words[i], words) if may_run(index.words[i], pairs, need) else 0
+                        if n and n >= need:
+                            rows += [(ids[t], item, n, len(asked & have) / len(asked) if asked else 0.0) for item, asked in named_by[i]]
                 cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], ["doc_id", "item_id", "run_words", "question_words"])
 

@@ -75,6 +75,31 @@ def test_index_blocks_give_the_same(spark, monkeypatch):
     assert one == {(r.doc_id, r.item_id) for r in K.leaks(*frames).collect()} == {(d, d) for d in range(30)}
 
 
+def _leaked(spark, docs, items):
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    return sorted((r.doc_id, r.item_id) for r in K.leaks(*frames).collect())
+
+
+def test_size_and_copies_of_the_items_do_not_change_what_is_found(spark):
+    rng = random.Random(4)
+    own = [" ".join(f"{rng.choice(WORDS)}{i}q{n}" for n in range(70)) for i in range(120)]
+    quoted = " ".join(own[0].split()[10:30])
+    spread = " ".join(quoted.split()[:7] + ["zz"] * 29 + quoted.split()[7:13] + ["zz"] * 29 + quoted.split()[13:])
+    docs = [(1, f"{_text(rng, 50)} {quoted} {_text(rng, 50)}"), (2, own[0]), (3, _text(rng, 20) + " " + spread), (4, _text(rng, 200))]
+    for many in (1, 2, 3, 120):
+        assert _leaked(spark, docs, list(enumerate(own[:many]))) == [(1, 0), (2, 0), (3, 0)], many
+    copies = [(i, own[0] + f"\nQuestion: {i}?" if i % 3 == 0 else own[i]) for i in range(120)]
+    assert _leaked(spark, docs, copies) == [(d, i) for d in (1, 2, 3) for i in range(0, 120, 3)]
+
+
+def test_short_passages_that_stand_whole(spark):
+    rng = random.Random(4)
+    short = [(900 + n, " ".join(f"short{n}{c}" for c in "abcdefghi"[:n])) for n in (5, 6, 7, 9)]
+    docs = [(i, f"{_text(rng, 40)} {t}. {_text(rng, 40)}") for i, t in short] + [(1, " ".join(short[1][1].split()[:5]))]
+    for many in (0, 40, 120):
+        assert _leaked(spark, docs, short + [(i, _text(rng, 70)) for i in range(many)]) == [(i, i) for i, _ in short], many
+
+
 def test_pruning_loses_nothing():
     rng = random.Random(5)
     items = [(i, _text(rng, 70)) for i in range(25)]
@@ -240,6 +265,18 @@ def test_longest_run_equals_the_plain_one():
         assert K.longest_run(passage, text) == _plain_longest_run(passage, text)
 
 
+def test_bound_of_the_run_is_never_too_low():
+    rng = random.Random(9)
+    for _ in range(300):
+        passage = [f"w{rng.randrange(30)}ord" for _ in range(rng.randrange(5, 60))]
+        text = []
+        for _ in range(4):
+            at = rng.randrange(50)
+            text += ["x"] * rng.randrange(36) + [w if rng.random() < 0.8 else w + "s" for w in passage[at : at + rng.randrange(3, 30)]]
+        run = K.longest_run(passage, text)
+        assert not run or K.may_run(passage, set(zip(text, text[1:], strict=False)), run)
+
+
 def test_longest_run_of_a_very_long_text():
     passage = [w for i in range(60) for w in ("of", "the", f"n{i}")]
     apart = (["of", "the"] + ["z"] * 40) * 1500  # more words than may be put in: nothing here joins the quotation
