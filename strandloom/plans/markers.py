@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import levels as L
 from strandloom.operators import classify, distances, kmers, models, trees
 from strandloom.operators import markers as M
-from strandloom.operators.vectors import vector_features
+from strandloom.operators.vectors import vector_features, word_domain_size
 from strandloom.plans import sql
 from strandloom.session import cut_lineage, each_of, small, table
 from strandloom.sources.wdb import wide_matrix
@@ -50,6 +50,13 @@ def value_matrix(spark, d):
     return wide_matrix(f, ["name"], [f"m{p}" for p in range(16)])
 
 
+@query(f"{_BASE} SELECT name, " + ", ".join(f"max(value) FILTER (pos = {p}) AS m{p}" for p in range(word_domain_size(4))) + " FROM features GROUP BY name")
+def whole_value_matrix(spark, d):
+    """All words as columns, one row per vector."""
+    f = features(spark, d).select("name", F.concat(F.lit("m"), F.col("pos").cast("string")).alias("marker"), "value")
+    return wide_matrix(f, ["name"], [f"m{p}" for p in range(word_domain_size(4))])
+
+
 @query(f"{_BASE}, m AS (SELECT marker, avg(value) AS mean FROM features GROUP BY marker), r AS (SELECT *, count(*) FILTER (mean BETWEEN -0.5 AND 0.5) OVER () AS nd, count(*) FILTER (mean <= -1 OR mean >= 1) OVER () AS nc, row_number() OVER (ORDER BY abs(mean), marker) AS rd, row_number() OVER (ORDER BY abs(mean) DESC, marker) AS rc FROM m) SELECT marker, round(mean, 6) AS mean, CASE WHEN nd < 10 THEN rd <= 10 ELSE mean BETWEEN -0.5 AND 0.5 END AS is_diverse, CASE WHEN nc < 10 THEN rc <= 10 ELSE mean <= -1 OR mean >= 1 END AS is_common FROM r")
 def marker_choice(spark, d):
     """Diverse and common markers by mean value, at least 10 of each (A3)."""

@@ -100,3 +100,14 @@ def test_cleaning_and_variance_scores(spark):
     values = [("m", 2), ("m", 1), ("n", -1), ("n", 1), ("o", 1), ("p", None)]
     got = {r.marker: r.score for r in M.variance_scores(spark.createDataFrame(values, "marker string, value int")).collect()}
     assert got == {"m": -0.5, "n": 2.0, "o": None, "p": None}
+
+
+def test_whole_value_matrix_has_every_word_of_the_vectors(spark, sf):
+    from strandloom.operators.vectors import vector_features
+    from strandloom.plans import registry
+    from strandloom.session import table
+
+    wide = registry.QUERIES["whole_value_matrix"](spark, sf)
+    assert len(wide.columns) == 1 + 136
+    long = {(r["name"], f"m{r.pos}"): r.value for r in vector_features(table(spark, sf, "wdb_values")).collect()}
+    assert {(r["name"], c): r[c] for r in wide.collect() for c in wide.columns[1:]} == long
