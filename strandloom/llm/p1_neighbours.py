@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 from strandloom.llm import words
 from strandloom.llm.levels import ENTRIES, as_binary, as_rows, bit_words, distances, packed_vectors, thermometer, unpacked
 from strandloom.llm.permutation import close_pairs, footrule_block, nearest_pivots, posting_keys
-from strandloom.llm.runs import by_key, run_bounds, salted, whole_keys
+from strandloom.llm.runs import by_key, run_bounds, run_pairs, salted, whole_keys
 from strandloom.session import cut_lineage, table, wide
 
 NEIGHBOURS = 5
 LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
 FEW = 24  # rows up to which an inverted file is compared pair by pair
+CROWD = 4  # pivots within the limit of a pivot from which it stands in a crowd
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
-DENSE = 512  # rows of a crowded file whose word counts are laid out at once
+SINGLE = 0xFFFF  # second half of the key of a file of one pivot
 
 
 def _keys_column(keys: np.ndarray) -> pa.ListArray:
@@ -37,11 +39,12 @@ def nearest_ids(links: DataFrame, points: DataFrame, members: DataFrame, own: fl
     ``links(x, y, far)`` are distances between representatives of equal vectors, both ways,
     repeats allowed; ``points(rep, copies)`` has for each representative its smallest k + 1
     ids; ``members(id, rep)`` all ids; ``own`` is the distance between equal vectors. Ties go to
-    the smaller id. No list here is longer than a few times k + 1 entries, however many copies
-    a vector has.
+    the smaller id. Links are cut by rank, before the shuffle too, so a representative that is linked to
+    all others costs no task a long list; no list here is longer than a few times k + 1 entries,
+    however many copies a vector has.
     """
-    near = links.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "y"))), 1, k + 1).alias("l"))
-    near = near.select("x", F.explode("l").alias("l")).select("x", "l.far", F.col("l.y").alias("rep"))
+    place = F.dense_rank().over(W.partitionBy("x").orderBy("far", "y"))  # a link that several files gave has one rank
+    near = links.withColumn("place", place).where(F.col("place") <= k + 1).select("x", "far", F.col("y").alias("rep")).distinct()
     spread = near.join(points, "rep").select("x", "far", F.explode("copies").alias("id"))
     other = spread.groupBy("x").agg(F.collect_list(F.struct("far", "id")).alias("l"))
     same = F.transform("copies", lambda c: F.struct(F.lit(own).alias("far"), c.alias("id")))
@@ -98,102 +101,164 @@ def _best_in_file(at: slice, ids: np.ndarray, side: np.ndarray, k: int, distance
     return out
 
 
-def _countable(order: np.ndarray, side: np.ndarray, file: int, rows: slice, cols: slice, prefix: int, pivots: int, most: int) -> np.ndarray:
+def _countable(order: np.ndarray, hot: np.ndarray, side: np.ndarray, file: int, rows: np.ndarray, cols: np.ndarray, prefix: int, pivots: int, most: int) -> np.ndarray:
     """Which pairs of ``rows`` and ``cols`` of the inverted file ``file`` count there.
 
-    They lie within a footrule distance of ``most``, belong to different blocks if the file holds two, and share no file of a
-    smaller key: every pair counts in one file only.
+    They belong to different blocks if the file holds two and share no file that goes before it, so every pair counts
+    in one file only: files of hot pivots before files of pairs, then the smaller key. In a file of a pivot pair they lie within a footrule
+    distance of ``most``; in a file of one pivot all count.
     """
-    ok = footrule_block(order[rows], order[cols], pivots) <= most
-    ok &= np.arange(len(order))[rows, None] != np.arange(len(order))[cols]
-    if side.max() == 1 and side.min() == 0:
-        ok &= side[rows, None] != side[cols]
     first, second = file >> 16, file & 0xFFFF
-    if second != 0xFFFF:  # the file of one pivot is the only one of its rows
-        below = np.where((order[:, :prefix] < second) & (order[:, :prefix] != first), order[:, :prefix], -1)
-        other = below[cols]
-        has = np.zeros((pivots + 1, len(other)), bool)
-        for i in range(prefix):
-            has[other[:, i], np.arange(len(other))] = True
-        has[pivots] = False  # row -1: no pivot
-        for i in range(prefix):
-            if (below[rows, i] >= 0).any():
-                ok &= ~has[below[rows, i]]
+    near = order[:, : hot.shape[1]]
+    if second == SINGLE:
+        ok = np.ones((len(rows), len(cols)), bool)
+        before = np.where(hot & (near < first), near, -1)
+    else:
+        ok = footrule_block(order[rows], order[cols], pivots) <= most
+        before = np.where(hot | ((near < second) & (near != first) & (np.arange(hot.shape[1]) < prefix)), near, -1)
+    ok &= rows[:, None] != cols[None, :]
+    if side.max() == 1 and side.min() == 0:
+        ok &= side[rows, None] != side[None, cols]
+    other = before[cols]
+    has = np.zeros((pivots + 1, len(cols)), bool)
+    for i in range(hot.shape[1]):
+        has[other[:, i], np.arange(len(cols))] = True
+    has[pivots] = False  # row -1: no pivot
+    for i in range(hot.shape[1]):
+        if (before[rows, i] >= 0).any():
+            ok &= ~has[before[rows, i]]
     return ok
 
 
-def _best_cosines(rows: pa.Table, order: np.ndarray, prefix: int, pivots: int, most: int, limit: float, k: int) -> list[np.ndarray]:
-    """``(row, other, -cosine)`` of the k nearest others of every row of one crowded file, whose rows are sorted by id.
+def _dots(word_of: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, exact: type) -> np.ndarray:
+    """Dot products of the word counts of rows ``left`` with rows ``right`` (None: of ``left`` with itself, the diagonal left out).
 
-    Dot products of blocks of ``DENSE`` rows are exact: sums of whole numbers that the float type holds.
+    Words that many rows have are laid out as columns of a matrix product, a bounded number at a time; for the others each pair of rows
+    that shares a word adds its product. Both are sums of whole numbers that ``exact`` holds.
     """
-    side, data, n, breaks = (rows.column(c).to_pylist() for c in ("side", "bases", "n", "breaks"))
-    side, file = np.array(side), rows.column("file")[0].as_py()
-    norm = np.zeros(len(side), np.int64)
-
-    for r in range(len(side)):
-        word = _count_words(data[r], n[r], breaks[r])
-        norm[r] = int(np.bincount(word)[word].sum())
-    exact = np.float32 if norm.max() < 2**24 else np.float64
+    n = len(word_of)
+    counts = [np.unique(w, return_counts=True) for w in word_of]
+    row = np.repeat(np.arange(n), [len(w) for w, _ in counts])
+    word = np.concatenate([w for w, _ in counts]).astype(np.int64)
+    count = np.concatenate([c for _, c in counts]).astype(exact)
+    rows_of = np.bincount(word, minlength=words.WORDS)
+    out = np.zeros((len(left), len(left if right is None else right)), exact)
+    many = np.flatnonzero(rows_of > max(16, n // 10))
+    column = np.full(words.WORDS, -1)
+    for at in range(0, len(many), 2048):
+        column[:] = -1
+        column[many[at : at + 2048]] = np.arange(len(many[at : at + 2048]))
+        c = column[word]
+        table = np.zeros((n, min(2048, len(many) - at)), exact)
+        table[row[c >= 0], c[c >= 0]] = count[c >= 0]
+        out += table[left] @ (table[left] if right is None else table[right]).T
+    few = (rows_of[word] > 1) & (rows_of[word] <= max(16, n // 10))
+    row, word, count = row[few], word[few], count[few]
+    by = np.argsort(word, kind="stable")
+    row, word, count = row[by], word[by], count[by]
+    bounds = run_bounds(word) if len(word) else np.zeros(1, np.int64)
+    spent = np.cumsum(np.diff(bounds) ** 2)
+    place = np.zeros(n, np.int64)
+    place[left] = np.arange(len(left))
+    is_right = np.zeros(n, bool)
+    if right is not None:
+        place[right], is_right[right] = np.arange(len(right)), True
+    start = 0
+    while start < len(bounds) - 1:
+        stop = max(start + 1, int(np.searchsorted(spent, (spent[start - 1] if start else 0) + 4_000_000, "right")))
+        lo, hi = bounds[start], bounds[stop]
+        i, j = run_pairs(bounds[start : stop + 1] - lo, np.ones(stop - start, bool))
+        i, j = i + lo, j + lo
+        if right is None:
+            product = count[i] * count[j]
+            np.add.at(out, (place[row[i]], place[row[j]]), product)
+            np.add.at(out, (place[row[j]], place[row[i]]), product)
+        else:
+            two = is_right[row[i]] != is_right[row[j]]
+            i, j = i[two], j[two]
+            turn = is_right[row[i]]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            np.add.at(out, (place[row[i]], place[row[j]]), count[i] * count[j])
+        start = stop
+    return out
 
-    def block(lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((hi - lo, words.WORDS), exact)
-        for r in range(lo, hi):
-            out[r - lo] = np.bincount(_count_words(data[r], n[r], breaks[r]), minlength=words.WORDS)
-        return out
 
-    edges = [(lo, min(lo + DENSE, len(side))) for lo in range(0, len(side), DENSE)]
+def _best_cosines(rows: pa.Table, order: np.ndarray, prefix: int, reach: int, pivots: int, most: int, limit: float, k: int) -> list[np.ndarray]:
+    """``(row, other, -cosine)`` of the k nearest others of every row of one crowded file, whose rows are sorted by id."""
+    side, norm = (rows.column(c).to_numpy() for c in ("side", "norm"))
+    file, bits = rows.column("file")[0].as_py(), rows.column("hot").to_numpy()
+    hot = (bits[:, None] >> np.arange(reach) & 1).astype(bool)
+    data, n, breaks = (rows.column(c).to_pylist() for c in ("bases", "n", "breaks"))
+    exact = np.float32 if norm.max() < 2**24 else np.float64
+    mixed = side.max() == 1 and side.min() == 0
+    left = np.flatnonzero(side == 0) if mixed else np.arange(len(side))
+    right = np.flatnonzero(side == 1) if mixed else left
+    dots = _dots([_count_words(*x) for x in zip(data, n, breaks, strict=True)], left, right if mixed else None, exact)
+    size = norm.astype(np.float64)
     out = []
-    for x, (lo, hi) in enumerate(edges):
-        left = None
-        for to, end in edges[x:]:
-            ok = _countable(order, side, file, slice(lo, hi), slice(to, end), prefix, pivots, most)
-            if not ok.any():
-                continue
-            left = block(lo, hi) if left is None else left
-            right = left if to == lo else block(to, end)
-            far = -(left @ right.T).astype(np.float64) / np.sqrt(norm[lo:hi, None].astype(np.float64) * norm[None, to:end])
+    for mine, others, table in [(left, right, dots), (right, left, dots.T)][: 2 if mixed else 1]:
+        step = max(1, 1_000_000 // len(others))
+        for lo in range(0, len(mine), step):
+            some = mine[lo : lo + step]
+            ok = _countable(order, hot, side, file, some, others, prefix, pivots, most)
+            far = -table[lo : lo + step].astype(np.float64) / np.sqrt(size[some, None] * size[None, others])
             far = np.where(ok & (far <= -limit), far, np.inf)
-            for here, there, table in [(lo, to, far), (to, lo, far.T)][: 1 if to == lo else 2]:
-                table = table.copy()
-                every = np.arange(len(table))
-                for _ in range(min(k, table.shape[1])):
-                    at = table.argmin(1)  # of equal ones the first, which has the smallest id
-                    best = table[every, at]
-                    has = np.isfinite(best)
-                    out.append(np.stack([every[has] + here, at[has] + there, best[has]]))
-                    table[every, at] = np.inf
+            every = np.arange(len(some))
+            for _ in range(min(k, len(others))):
+                at = far.argmin(1)  # of equal ones the first, which has the smallest id
+                best = far[every, at]
+                has = np.isfinite(best)
+                if not has.any():
+                    break
+                out.append(np.stack([some[has], others[at[has]], best[has]]))
+                far[every, at] = np.inf
     return out
 
 
-def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, prefix: int = 4, most_footrule: int = 68, k: int = NEIGHBOURS, limit: int = LEVEL_LIMIT) -> DataFrame:
+def level_pivots(rows: int) -> int:
+    """Pivots for a number of distinct level vectors: the root of 6 * rows, so that files and the cost of indexing grow alike."""
+    return min(16_384, max(64, math.isqrt(6 * rows)))
+
+
+def level_neighbours(vectors: DataFrame, pivots: int | None = None, depth: int = 8, prefix: int = 4, reach: int = 24, most_footrule: int = 68, k: int = NEIGHBOURS, limit: int = LEVEL_LIMIT) -> DataFrame:
     """Neighbour pairs of level vectors ``(id, vec)`` (see ``levels.packed_vectors``) within ``limit`` level steps.
 
-    The pivots are ``pivots`` vectors of smallest hash, a bounded sample; every distinct vector
-    is indexed. Vectors that share an inverted file and lie within ``most_footrule`` of each other are
-    reranked by their exact distance. Equal vectors are one point with its smallest ids.
+    The pivots are ``pivots`` (by default ``level_pivots``) vectors of smallest hash, a bounded sample; every distinct vector
+    is indexed. Nearness to a pivot is the distance less the pivot's mean distance to the 20 pivots nearest to it, or a pivot in the middle of a
+    crowd would be nearest to all of it. Vectors that share two of their ``prefix`` nearest pivots share an inverted file, in which those
+    within a footrule of ``most_footrule`` are reranked by their exact distance. A pivot with ``CROWD`` others
+    within the limit stands in a crowd, where permutations say little: each of the vectors that have it among their
+    ``reach`` nearest is posted under it alone, and such a file is reranked whole. Equal vectors are one point with its smallest ids.
     Fewer vectors than pivots, ties, repeats and no rows at all are fine.
     """
     vectors = cut_lineage(vectors)
     points = cut_lineage(_first_copies(vectors, ["vec"], k))
+    pivots = pivots or level_pivots(points.count())
     sample = points.select("vec").orderBy(F.xxhash64(F.lit(1), "vec"), "vec").limit(pivots).collect()  # bounded by `pivots`
     if not sample:
         return vectors.sparkSession.createDataFrame([], "id_a bigint, id_b bigint")
-    pivot = thermometer(unpacked(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.uint8).reshape(len(sample), -1)))
+    pivot_bytes = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.uint8).reshape(len(sample), -1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = pivot.sum(1)[None, :]
+        pivot = thermometer(unpacked(pivot_bytes))
+        ones = pivot.sum(1)
+        apart = np.sort(distances(pivot, pivot), axis=1)
+        crowd = (apart <= limit).sum(1) > CROWD
+        some = min(20, len(pivot) - 1)
+        own = apart[:, 1 : some + 1].sum(1).astype(np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 t = thermometer(unpacked(as_rows(part.column(1), ENTRIES // 4)))
-                gap = t.sum(1)[:, None] + ones - 2 * (t @ pivot.T)
-                order = nearest_pivots((3 * ENTRIES + 1 - gap).astype(np.int64), depth)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), as_binary(order.view(np.uint8)), _keys_column(posting_keys(order, prefix))], ["id", "vec", "pivots", "keys"])
+                gap = (t.sum(1)[:, None] + ones[None, :] - 2 * (t @ pivot.T)).astype(np.int64)
+                order = nearest_pivots(some * 3 * ENTRIES + 1 + own[None, :] - some * gap, reach)
+                far = np.take_along_axis(gap, order.astype(np.int64) % len(pivot), 1)  # -1: any, there is no pivot
+                alone = (order >= 0) & crowd[order] & (far <= limit * 3 // 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), as_binary(np.ascontiguousarray(order[:, :depth]).view(np.uint8)), _keys_column(posting_keys(order, prefix, alone))], ["id", "vec", "pivots", "keys"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, side, ids = (rows.column(c).to_numpy() for c in ("key", "side", "id"))
+            keys, files, side, ids = (rows.column(c).to_numpy() for c in ("key", "file", "side", "id"))
             levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
             bounds = run_bounds(keys)
@@ -209,11 +274,12 @@ def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, pref
                     found.append(np.stack([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])]))
             for r in np.flatnonzero(~few):
                 at = slice(bounds[r], bounds[r + 1])
-                o, t = order[at], thermometer(levels[at])
+                o, t, whole = order[at], thermometer(levels[at]), files[bounds[r]] & 0xFFFF == SINGLE
 
-                def distance(lo: int, hi: int, o: np.ndarray = o, t: np.ndarray = t) -> tuple[np.ndarray, np.ndarray]:
+                def distance(lo: int, hi: int, o: np.ndarray = o, t: np.ndarray = t, whole: bool = whole) -> tuple[np.ndarray, np.ndarray]:
                     far = distances(t[lo:hi], t)
-                    return far, (footrule_block(o[lo:hi], o, pivots) <= most_footrule) & (far <= limit)
+                    ok = far <= limit
+                    return far, ok if whole else ok & (footrule_block(o[lo:hi], o, len(pivot_bytes)) <= most_footrule)
 
                 found += _best_in_file(at, ids, side, k + 1, distance)
             x, y, far = np.concatenate(found, 1)
@@ -221,23 +287,30 @@ def level_neighbours(vectors: DataFrame, pivots: int = 512, depth: int = 8, pref
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[best]]), pa.array(ids[y[best]]), pa.array(far[best].astype(np.float64))], ["x", "y", "far"])
 
     indexed = cut_lineage(wide(points.select(F.col("rep").alias("id"), "vec")).mapInArrow(index, "id bigint, vec binary, pivots binary, keys array<bigint>"))
-    posted = salted(indexed.select(F.explode("keys").alias("key"), "id", "vec", "pivots"), "key", "id", BLOCK)
+    posted = salted(indexed.select(F.explode("keys").alias("key"), "id", "vec", "pivots").withColumn("file", F.col("key")), "key", "id", BLOCK)
     links = by_key(posted).mapInArrow(rerank, "x bigint, y bigint, far double")
     members = vectors.join(points.select("vec", "rep"), "vec").select("id", "rep")
     return nearest_ids(links, points.select("rep", "copies"), members, 0.0, k)
 
 
-def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, prefix: int = 6, seed: int = 11) -> DataFrame:
-    """Index rows of sequences ``(id, seq)``: vector hash, nearest pivots, posting keys and the bases at two bits each.
+def sequence_pivots(rows: int) -> int:
+    """Pivots for a number of sequences: 4,096, doubled with every fourfold number of rows beyond 200,000, at most 16,384."""
+    return min(16_384, 4096 * 2 ** max(0, math.ceil(math.log(max(rows, 1) / 200_000, 4))))
+
+
+def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, seed: int = 11) -> DataFrame:
+    """Index rows of sequences ``(id, seq)``: vector hash, nearest pivots, the vector's square and the bases at two bits each.
 
-    A pivot is a vector of equal weight on a random group of words; the groups divide all
-    words, so nearness to all pivots is one count over a record's words. The vector hash is a sum of
-    random numbers of the words: equal for equal count vectors, also of the other strand.
+    A pivot is a vector of equal weight, but for a few thousandths, on a random group of words; the groups divide all
+    words, so nearness to all pivots is one sum over a record's words. The small differences are random per word and decide between
+    pivots that a record meets equally often; a fixed order of pivots would make a few of them nearest to all short records.
+    The vector hash is a sum of random numbers of the words: equal for equal count vectors, also of the other strand.
     Records without a word have no row.
     """
     rng = np.random.default_rng(seed)
     group = np.append(rng.permutation(words.WORDS) % pivots, pivots).astype(np.int32)
     salt = np.vstack([rng.integers(0, 2**63, (words.WORDS, 2), np.int64), np.zeros((1, 2), np.int64)])
+    weight = np.append(4096 + rng.integers(0, 64, words.WORDS), 0).astype(np.float64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,13 +322,15 @@ def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, p
                 ends = np.cumsum(lengths)
                 rec = np.repeat(np.arange(n), lengths)[: len(word)]
                 word, rec = word[ok], rec[ok]
-                near = np.bincount(rec * pivots + group[word], minlength=n * pivots).reshape(n, pivots)
+                near = np.bincount(rec * pivots + group[word], weights=weight[word], minlength=n * pivots).reshape(n, pivots)
                 order = nearest_pivots(near, depth)
                 have = np.bincount(rec, minlength=n) > 0
                 if not have.any():
                     continue
                 first = np.searchsorted(rec, np.flatnonzero(have))
                 h = np.add.reduceat(salt[word], first, axis=0)
+                code = rec * words.WORDS + word
+                norm = np.add.reduceat(np.bincount(code, minlength=n * words.WORDS)[code], first)
                 data, offsets = words.two_bits(good, lengths)
                 starts = ends - lengths
                 inner = breaks[~np.isin(breaks, starts) & (breaks < len(good))]
@@ -266,14 +341,14 @@ def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, p
                     pa.array(h[:, 0]),
                     pa.array(h[:, 1]),
                     as_binary(order[have].view(np.uint8)),
-                    _keys_column(posting_keys(order[have], prefix)),
+                    pa.array(norm.astype(np.int64)),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).filter(pa.array(have)),
                     pa.array(lengths[have].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(cut_offsets), pa.array((inner - starts[owner]).astype(np.int32))).filter(pa.array(have)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "h1", "h2", "pivots", "keys", "bases", "n", "breaks"])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "h1", "h2", "pivots", "norm", "bases", "n", "breaks"])
 
-    return records.mapInArrow(sketch, "id bigint, h1 bigint, h2 bigint, pivots binary, keys array<bigint>, bases binary, n int, breaks array<int>")
+    return records.mapInArrow(sketch, "id bigint, h1 bigint, h2 bigint, pivots binary, norm bigint, bases binary, n int, breaks array<int>")
 
 
 def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
@@ -281,25 +356,48 @@ def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
     return word[ok]
 
 
-def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12, prefix: int = 6, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
+def _pivots_near(batches: Iterator[pa.RecordBatch], depth: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """One row per record and each of its ``reach`` nearest pivots."""
+    for batch in batches:
+        near = as_rows(batch.column(0), 2 * depth).view(np.int16)[:, :reach].ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(near[near >= 0].astype(np.int32))], ["pivot"])
+
+
+def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: int = 12, prefix: int = 6, reach: int = 10, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
     """Neighbour pairs of sequences ``(id, seq)`` with a word-count cosine of at least ``limit``.
 
-    Every distinct count vector is indexed. Vectors that share an inverted file and lie within a
+    Every distinct count vector is indexed. Vectors that share two of their ``prefix`` nearest pivots share an inverted file; those within a
     footrule distance of ``most_footrule`` are candidates, all of which are reranked by the exact
     cosine. Files with up to ``rerank_depth`` of them per row give lists of pairs; those of more
     crowded files are compared by blocks inside the task, where only the best of each row leave
-    it. Equal count vectors are one point with its smallest ids. Null and empty sequences and
+    it. A pivot that is near to more than twice as many vectors as its share (and 32) has a crowd about it, whose permutations differ by chance:
+    all that have it among their ``reach`` nearest are posted under it alone, and this file is reranked whole, by blocks.
+    Equal count vectors are one point with its smallest ids. Null and empty sequences and
     those without a word take no part; repeats and ties are fine.
     """
     named = records.select("id", "seq").where("id is not null and seq is not null")
-    sketches = cut_lineage(sequence_sketches(wide(named), pivots, depth, prefix))
+    pivots = pivots or sequence_pivots(named.count())
+    sketches = cut_lineage(sequence_sketches(wide(named), pivots, depth))
     points = cut_lineage(_first_copies(sketches, ["h1", "h2"], k))
-    reps = sketches.join(points.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = cut_lineage(sketches.select("id", "pivots").join(points.select(F.col("rep").alias("id")), "id", "left_semi"))
+    near_to = reps.select("pivots").mapInArrow(lambda b: _pivots_near(b, depth, reach), "pivot int").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `pivots` rows
+    share = sum(r["n"] for r in near_to) / pivots
+    is_hot = np.zeros(pivots + 1, bool)
+    is_hot[[r["pivot"] for r in near_to if r["n"] > 2 * share + rerank_depth]] = True
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = as_rows(batch.column(1), 2 * depth).view(np.int16)
+            alone = np.zeros(order.shape, bool)
+            alone[:, :reach] = is_hot[order[:, :reach]]
+            hot = (alone[:, :reach].astype(np.int32) << np.arange(reach)).sum(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hot), _keys_column(posting_keys(order, prefix, alone))], ["id", "pivots", "hot", "keys"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, files, side, ids = (rows.column(c).to_numpy() for c in ("key", "file", "side", "id"))
+            keys, files, side, ids, bits = (rows.column(c).to_numpy() for c in ("key", "file", "side", "id", "hot"))
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
+            hot = (bits[:, None] >> np.arange(reach) & 1).astype(bool)
             bounds = run_bounds(keys)
             few = np.diff(bounds) <= rerank_depth
             found = [np.zeros((2, 0), np.int64)]
@@ -309,11 +407,11 @@ def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12,
             crowded = [np.zeros(0, np.int64)]
             for r in np.flatnonzero(~few):
                 lo, n = bounds[r], bounds[r + 1] - bounds[r]
-                o, own, file = order[lo : lo + n], side[lo : lo + n], int(files[lo])
+                o, h, own, file = order[lo : lo + n], hot[lo : lo + n], side[lo : lo + n], int(files[lo])
                 taking = np.zeros(n, bool)
                 pairs, step = [], max(1, 1_000_000 // n)
                 for at in range(0, n, step):
-                    ok = _countable(o, own, file, slice(at, at + step), slice(0, n), prefix, pivots, most_footrule)
+                    ok = _countable(o, h, own, file, np.arange(at, min(n, at + step)), np.arange(n), prefix, pivots, most_footrule)
                     taking |= ok.any(0)
                     if pairs is not None:
                         i, j = np.nonzero(ok)
@@ -335,44 +433,43 @@ def sequence_neighbours(records: DataFrame, pivots: int = 4096, depth: int = 12,
         for rows in whole_keys(batches):
             bounds = run_bounds(rows.column("key").to_numpy())
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo < 2:
+                    continue
                 file = rows.slice(lo, hi - lo).sort_by("id")
                 ids, order = file.column("id").to_numpy(), as_rows(file.column("pivots"), 2 * depth).view(np.int16)
-                found = _best_cosines(file, order, prefix, pivots, most_footrule, limit, k + 1)
+                found = _best_cosines(file, order, prefix, reach, pivots, most_footrule, limit, k + 1)
                 x, y, far = np.concatenate([np.zeros((3, 0)), *found], 1)
                 x, y = ids[x.astype(np.int64)], ids[y.astype(np.int64)]
-                best = _best_per_row(x, y, far, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[best]), pa.array(y[best]), pa.array(far[best])], ["x", "y", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far)], ["x", "y", "far"])
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            far = np.full(batch.num_rows, np.inf)
-            last, count, norm = None, None, 0
+            dot = np.zeros(batch.num_rows)
+            last, count = None, None
             for r, (a, da, na, ba, db, nb, bb) in enumerate(zip(rows["a"], rows["da"], rows["na"], rows["ba"], rows["db"], rows["nb"], rows["bb"], strict=True)):
                 if a != last:
-                    wa = _count_words(da, na, ba)
-                    count = np.bincount(wa, minlength=words.WORDS)
-                    last, norm = a, int(count[wa].sum())
-                wb = _count_words(db, nb, bb)
-                dot = int(count[wb].sum())
-                if dot:
-                    norm_b = int(np.bincount(wb, minlength=words.WORDS)[wb].sum())
-                    far[r] = -dot / np.sqrt(norm * norm_b)
+                    last, count = a, np.bincount(_count_words(da, na, ba), minlength=words.WORDS)
+                dot[r] = int(count[_count_words(db, nb, bb)].sum())
+            far = -dot / np.sqrt(np.array(rows["sa"], np.float64) * np.array(rows["sb"], np.float64))
             ok = far <= -limit
             a, b = np.array(rows["a"], np.int64)[ok], np.array(rows["b"], np.int64)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([far[ok], far[ok]]))], ["x", "y", "far"])
 
-    posted = salted(reps.select(F.explode("keys").alias("key"), "id", "pivots").withColumn("file", F.col("key")), "key", "id", BLOCK)
-    close = cut_lineage(by_key(posted).mapInArrow(candidates, "a bigint, b bigint, key bigint, file bigint, side int").distinct())
+    keyed = cut_lineage(reps.mapInArrow(post, "id bigint, pivots binary, hot int, keys array<bigint>"))
+    posted = keyed.select(F.explode("keys").alias("key"), "id", "pivots", "hot").withColumn("file", F.col("key"))
+    single = F.col("key").bitwiseAND(F.lit(SINGLE)) == SINGLE
+    close = cut_lineage(by_key(salted(posted.where(~single), "key", "id", BLOCK)).mapInArrow(candidates, "a bigint, b bigint, key bigint, file bigint, side int").distinct())
     pairs = close.where("key is null").select("a", "b")
     crowded = close.where("key is not null").select(F.col("a").alias("id"), "key", "file", "side")
+    crowded = cut_lineage(crowded.unionByName(salted(posted.where(single).select("key", "id", "file"), "key", "id", BLOCK)))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    body = cut_lineage(sketches.select("id", "bases", "n", "breaks").join(needed, "id", "left_semi"))
-    side = lambda s: body.select(F.col("id").alias(s), F.col("bases").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("breaks").alias(f"b{s}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "da", "na", "ba", "db", "nb", "bb")
+    body = cut_lineage(sketches.select("id", "norm", "bases", "n", "breaks").join(needed, "id", "left_semi"))
+    side = lambda s: body.select(F.col("id").alias(s), F.col("norm").alias(f"s{s}"), F.col("bases").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("breaks").alias(f"b{s}"))
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb", "da", "na", "ba", "db", "nb", "bb")
     links = full.mapInArrow(cosines, "x bigint, y bigint, far double")
     if not crowded.isEmpty():
-        laid = crowded.join(sketches.select("id", "pivots", "bases", "n", "breaks"), "id")
+        laid = crowded.join(keyed.select("id", "pivots", "hot"), "id").join(sketches.select("id", "norm", "bases", "n", "breaks"), "id")
         links = links.unionByName(by_key(laid).mapInArrow(compare, "x bigint, y bigint, far double"))
     members = sketches.join(points.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     return nearest_ids(links, points.select("rep", "copies"), members, -1.0, k)

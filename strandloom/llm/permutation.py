@@ -15,7 +15,7 @@ def nearest_pivots(nearness: np.ndarray, depth: int) -> np.ndarray:
     ``nearness`` holds non-negative integers (rows by pivots).
     """
     pivots = nearness.shape[1]
-    score = nearness.astype(np.int64) * pivots + np.arange(pivots - 1, -1, -1)
+    score = np.asarray(nearness).astype(np.int64) * pivots + np.arange(pivots - 1, -1, -1)
     have = min(depth, pivots)
     top = -np.sort(-np.partition(score, pivots - have, axis=1)[:, pivots - have :], axis=1)
     out = np.full((len(score), depth), -1, np.int16)
@@ -23,18 +23,21 @@ def nearest_pivots(nearness: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def posting_keys(order: np.ndarray, prefix: int) -> np.ndarray:
-    """Keys of the inverted files a row is posted in: every pair of its ``prefix`` nearest pivots.
+def posting_keys(order: np.ndarray, prefix: int, alone: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the inverted files a row is posted in: every pair of its ``prefix`` nearest pivots, smaller pivot first.
 
     An inverted file of one pivot would hold a fixed share of all rows; those of pivot pairs
-    stay short as rows grow. -1 means no posting; a row with one pivot is posted under it alone.
+    stay short as rows grow. Pivots marked in ``alone`` (like ``order``) have a file of their own instead, pairs with
+    them none: their rows meet there anyway. -1 means no posting; a row with one pivot is posted under it alone.
     """
-    first = np.sort(order[:, :prefix].astype(np.int64), axis=1)
-    keys = [np.where(first[:, i] >= 0, first[:, i] << 16 | first[:, j], -1) for i, j in combinations(range(prefix), 2)]
-    out = np.stack(keys, 1)
-    single = (order[:, 0] >= 0) & (order[:, 1] < 0)
-    out[single, 0] = order[single, 0].astype(np.int64) << 16 | 0xFFFF
-    return out
+    alone = np.zeros(order.shape, bool) if alone is None else alone
+    paired = np.where(alone[:, :prefix], -1, order[:, :prefix].astype(np.int64))
+    first = np.sort(paired, axis=1)
+    keys = [np.where(first[:, i] >= 0, first[:, i] << 16 | first[:, j], -1) for i, j in combinations(range(min(prefix, order.shape[1])), 2)]
+    single = np.zeros(order.shape, bool)
+    single[:, 0] = (order[:, 0] >= 0) & (order[:, 1] < 0)
+    own = np.where(alone | single, order.astype(np.int64) << 16 | 0xFFFF, -1)
+    return np.concatenate([np.stack(keys, 1), own], 1)
 
 
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:

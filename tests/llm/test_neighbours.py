@@ -152,3 +152,72 @@ def test_footrule_forms_agree():
     i, j = np.divmod(np.arange(1600), 40)
     assert (permutation.footrule(order[i], order[j]) == block.ravel()).all()
     assert block[1, 1] == 0 and block.max() <= 42
+
+
+def _recall(got, near, ids):
+    """Share of the true pairs of a sample that are found; ``near`` are (smaller is nearer) distances of the sample to all, inf beyond the limit."""
+    hit = total = 0
+    for i, row in ids:
+        row = near(i, row)
+        best = [j for j in np.argsort(row, kind="stable")[: P.NEIGHBOURS] if np.isfinite(row[j])]
+        total += len(best)
+        hit += sum((min(i, j), max(i, j)) in got for j in best)
+    return hit / total
+
+
+@pytest.mark.parametrize(("n", "length", "share"), [(1500, 1000, 0.04), (1500, 300, 0.01), (1500, 1000, 0.01), (2600, 300, 0.02)])
+def test_recall_in_a_star_of_variants(spark, n, length, share):
+    rng = np.random.default_rng(n + length)
+    base = rng.integers(0, 4, length)
+    rows, table = [], np.zeros((n, words.WORDS), np.float32)
+    for i in range(n):
+        seq, off = base.copy(), rng.random(length) < share
+        seq[off] = (seq[off] + rng.integers(1, 4, off.sum())) % 4
+        rows.append((i, "".join("ACGT"[b] for b in seq)))
+        good, _, breaks = words.bases([rows[-1][1]])
+        word, ok = words.words_of(good, breaks)
+        table[i] = np.bincount(word[ok], minlength=words.WORDS)
+    got = {(r.id_a, r.id_b) for r in P.sequence_neighbours(spark.createDataFrame(rows, "id bigint, seq string")).collect()}
+    sample = rng.choice(n, 200, replace=False)
+    norm = (table.astype(np.float64) ** 2).sum(1)
+    dots = (table[sample] @ table.T).astype(np.float64)
+
+    def near(i, row):
+        far = -dots[row] / np.sqrt(norm[i] * norm)
+        far[(far > -P.COSINE_LIMIT) | (np.arange(n) == i)] = np.inf
+        return far
+
+    assert _recall(got, near, [(int(i), r) for r, i in enumerate(sample)]) >= 0.95
+
+
+@pytest.mark.parametrize("others", [0, 3000])
+def test_recall_in_a_crowd_of_level_vectors(spark, others):
+    rng = np.random.default_rng(7 + others)
+    n = 3000
+    levels = np.repeat(rng.integers(0, 4, 136)[None], n, 0)
+    levels = np.clip(levels + (rng.random(levels.shape) < 0.06) * rng.choice([-1, 1], levels.shape), 0, 3)
+    levels = np.concatenate([levels, rng.integers(0, 4, (others, 136))])
+    got = {(r.id_a, r.id_b) for r in P.level_neighbours(packed_vectors(_frame(spark, dict(enumerate(levels))), "value_id", "level_values")).collect()}
+    sample = rng.choice(n, 200, replace=False)
+
+    def near(i, row):
+        far = np.abs(levels - levels[i]).sum(1).astype(float)
+        far[(far > P.LEVEL_LIMIT) | (np.arange(len(far)) == i)] = np.inf
+        return far
+
+    assert _recall(got, near, [(int(i), r) for r, i in enumerate(sample)]) >= 0.95
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_dots_of_a_file_equal_plain_ones(mixed):
+    rng = np.random.default_rng(4)
+    bag = [rng.choice(words.WORDS if i % 3 else 40, 60) for i in range(90)]
+    table = np.stack([np.bincount(w, minlength=words.WORDS) for w in bag])
+    left = np.arange(0, 90, 2) if mixed else np.arange(90)
+    right = np.arange(1, 90, 2) if mixed else None
+    want = table[left] @ table[left if right is None else right].T
+    got = P._dots(bag, left, right, np.float32)
+    if not mixed:
+        np.fill_diagonal(want, 0)
+        np.fill_diagonal(got, 0)
+    assert (got == want).all()
