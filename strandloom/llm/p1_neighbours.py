@@ -22,6 +22,7 @@ LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
 FEW = 24  # rows up to which an inverted file is compared pair by pair
 CROWD = 4  # pivots within the limit of a pivot from which it stands in a crowd
+CROWDED = 64  # rows of a file of two pivots from which sequences count as a crowd
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
 SINGLE = 0xFFFF  # second half of the key of a file of one pivot
 
@@ -101,30 +102,20 @@ def _best_in_file(at: slice, ids: np.ndarray, side: np.ndarray, k: int, distance
     return out
 
 
-def _countable(order: np.ndarray, hot: np.ndarray, side: np.ndarray, file: int, rows: np.ndarray, cols: np.ndarray, prefix: int, pivots: int, most: int) -> np.ndarray:
-    """Which pairs of ``rows`` and ``cols`` of the inverted file ``file`` count there.
+def _countable(near: np.ndarray, hot: np.ndarray, side: np.ndarray, pivot: int, rows: np.ndarray, cols: np.ndarray, pivots: int) -> np.ndarray:
+    """Which pairs of ``rows`` and ``cols`` of the file of one ``pivot`` count there.
 
-    They belong to different blocks if the file holds two and share no file that goes before it, so every pair counts
-    in one file only: files of hot pivots before files of pairs, then the smaller key. In a file of a pivot pair they lie within a footrule
-    distance of ``most``; in a file of one pivot all count.
+    They belong to different blocks if the file holds two, and share no hot pivot of a smaller number: every pair counts in one file only.
     """
-    first, second = file >> 16, file & 0xFFFF
-    near = order[:, : hot.shape[1]]
-    if second == SINGLE:
-        ok = np.ones((len(rows), len(cols)), bool)
-        before = np.where(hot & (near < first), near, -1)
-    else:
-        ok = footrule_block(order[rows], order[cols], pivots) <= most
-        before = np.where(hot | ((near < second) & (near != first) & (np.arange(hot.shape[1]) < prefix)), near, -1)
-    ok &= rows[:, None] != cols[None, :]
+    ok = rows[:, None] != cols[None, :]
     if side.max() == 1 and side.min() == 0:
         ok &= side[rows, None] != side[None, cols]
-    other = before[cols]
+    before = np.where(hot & (near < pivot), near, -1)
     has = np.zeros((pivots + 1, len(cols)), bool)
-    for i in range(hot.shape[1]):
-        has[other[:, i], np.arange(len(cols))] = True
+    for i in range(near.shape[1]):
+        has[before[cols, i], np.arange(len(cols))] = True
     has[pivots] = False  # row -1: no pivot
-    for i in range(hot.shape[1]):
+    for i in range(near.shape[1]):
         if (before[rows, i] >= 0).any():
             ok &= ~has[before[rows, i]]
     return ok
@@ -183,11 +174,11 @@ def _dots(word_of: list[np.ndarray], left: np.ndarray, right: np.ndarray | None,
     return out
 
 
-def _best_cosines(rows: pa.Table, order: np.ndarray, prefix: int, reach: int, pivots: int, most: int, limit: float, k: int) -> list[np.ndarray]:
-    """``(row, other, -cosine)`` of the k nearest others of every row of one crowded file, whose rows are sorted by id."""
+def _best_cosines(rows: pa.Table, near: np.ndarray, pivots: int, limit: float, k: int) -> list[np.ndarray]:
+    """``(row, other, -cosine)`` of the k nearest others of every row of the file of one pivot, whose rows are sorted by id."""
     side, norm = (rows.column(c).to_numpy() for c in ("side", "norm"))
-    file, bits = rows.column("file")[0].as_py(), rows.column("hot").to_numpy()
-    hot = (bits[:, None] >> np.arange(reach) & 1).astype(bool)
+    pivot, bits = rows.column("file")[0].as_py() >> 16, rows.column("hot").to_numpy()
+    hot = (bits[:, None] >> np.arange(near.shape[1]) & 1).astype(bool)
     data, n, breaks = (rows.column(c).to_pylist() for c in ("bases", "n", "breaks"))
     exact = np.float32 if norm.max() < 2**24 else np.float64
     mixed = side.max() == 1 and side.min() == 0
@@ -200,7 +191,7 @@ def _best_cosines(rows: pa.Table, order: np.ndarray, prefix: int, reach: int, pi
         step = max(1, 1_000_000 // len(others))
         for lo in range(0, len(mine), step):
             some = mine[lo : lo + step]
-            ok = _countable(order, hot, side, file, some, others, prefix, pivots, most)
+            ok = _countable(near, hot, side, pivot, some, others, pivots)
             far = -table[lo : lo + step].astype(np.float64) / np.sqrt(size[some, None] * size[None, others])
             far = np.where(ok & (far <= -limit), far, np.inf)
             every = np.arange(len(some))
@@ -356,22 +347,14 @@ def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
     return word[ok]
 
 
-def _pivots_near(batches: Iterator[pa.RecordBatch], depth: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """One row per record and each of its ``reach`` nearest pivots."""
-    for batch in batches:
-        near = as_rows(batch.column(0), 2 * depth).view(np.int16)[:, :reach].ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(near[near >= 0].astype(np.int32))], ["pivot"])
-
-
-def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: int = 12, prefix: int = 6, reach: int = 10, most_footrule: int = 108, rerank_depth: int = 32, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
+def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: int = 12, prefix: int = 6, reach: int = 10, most_footrule: int = 108, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
     """Neighbour pairs of sequences ``(id, seq)`` with a word-count cosine of at least ``limit``.
 
     Every distinct count vector is indexed. Vectors that share two of their ``prefix`` nearest pivots share an inverted file; those within a
     footrule distance of ``most_footrule`` are candidates, all of which are reranked by the exact
-    cosine. Files with up to ``rerank_depth`` of them per row give lists of pairs; those of more
-    crowded files are compared by blocks inside the task, where only the best of each row leave
-    it. A pivot that is near to more than twice as many vectors as its share (and 32) has a crowd about it, whose permutations differ by chance:
-    all that have it among their ``reach`` nearest are posted under it alone, and this file is reranked whole, by blocks.
+    cosine. By chance hardly two vectors share such a file; one of more than ``CROWDED`` rows tells that its pivots stand in a crowd of
+    variants, whose permutations differ by chance. All that have a pivot of a crowd among their ``reach`` nearest are posted under it
+    alone, and this file is reranked whole, by blocks inside the task, where only the best of each row leave it.
     Equal count vectors are one point with its smallest ids. Null and empty sequences and
     those without a word take no part; repeats and ties are fine.
     """
@@ -380,54 +363,35 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
     sketches = cut_lineage(sequence_sketches(wide(named), pivots, depth))
     points = cut_lineage(_first_copies(sketches, ["h1", "h2"], k))
     reps = cut_lineage(sketches.select("id", "pivots").join(points.select(F.col("rep").alias("id")), "id", "left_semi"))
-    near_to = reps.select("pivots").mapInArrow(lambda b: _pivots_near(b, depth, reach), "pivot int").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `pivots` rows
-    share = sum(r["n"] for r in near_to) / pivots
-    is_hot = np.zeros(pivots + 1, bool)
-    is_hot[[r["pivot"] for r in near_to if r["n"] > 2 * share + rerank_depth]] = True
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], is_hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = as_rows(batch.column(1), 2 * depth).view(np.int16)
             alone = np.zeros(order.shape, bool)
-            alone[:, :reach] = is_hot[order[:, :reach]]
+            if is_hot is not None:
+                alone[:, :reach] = is_hot[order[:, :reach]]
             hot = (alone[:, :reach].astype(np.int32) << np.arange(reach)).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hot), _keys_column(posting_keys(order, prefix, alone))], ["id", "pivots", "hot", "keys"])
 
+    def posted_to(is_hot: np.ndarray | None) -> DataFrame:
+        return cut_lineage(reps.mapInArrow(lambda b: post(b, is_hot), "id bigint, pivots binary, hot int, keys array<bigint>"))
+
+    keyed = posted_to(None)
+    crowds = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    ends = F.array(F.shiftright("key", 16), F.col("key").bitwiseAND(F.lit(0xFFFF)))
+    hot_pivots = [r[0] for r in crowds.select(F.explode(ends).alias("pivot")).where(F.col("pivot") != SINGLE).distinct().collect()]  # at most `pivots` rows
+    if hot_pivots:
+        is_hot = np.zeros(pivots + 1, bool)
+        is_hot[hot_pivots] = True
+        keyed = posted_to(is_hot)
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, files, side, ids, bits = (rows.column(c).to_numpy() for c in ("key", "file", "side", "id", "hot"))
+            keys, ids = rows.column("key").to_numpy(), rows.column("id").to_numpy()
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
-            hot = (bits[:, None] >> np.arange(reach) & 1).astype(bool)
-            bounds = run_bounds(keys)
-            few = np.diff(bounds) <= rerank_depth
-            found = [np.zeros((2, 0), np.int64)]
-            small_files = np.flatnonzero(np.repeat(few, np.diff(bounds)))
-            for i, j, _ in close_pairs(keys[small_files], side[small_files], order[small_files], most_footrule):
-                found.append(ids[small_files[np.stack([i, j])]])
-            crowded = [np.zeros(0, np.int64)]
-            for r in np.flatnonzero(~few):
-                lo, n = bounds[r], bounds[r + 1] - bounds[r]
-                o, h, own, file = order[lo : lo + n], hot[lo : lo + n], side[lo : lo + n], int(files[lo])
-                taking = np.zeros(n, bool)
-                pairs, step = [], max(1, 1_000_000 // n)
-                for at in range(0, n, step):
-                    ok = _countable(o, h, own, file, np.arange(at, min(n, at + step)), np.arange(n), prefix, pivots, most_footrule)
-                    taking |= ok.any(0)
-                    if pairs is not None:
-                        i, j = np.nonzero(ok)
-                        i, j = i[i + at < j] + at, j[i + at < j]
-                        pairs.append(np.stack([i, j]))
-                        if sum(x.shape[1] for x in pairs) > rerank_depth * n:
-                            pairs = None
-                if pairs is None:
-                    crowded.append(lo + np.flatnonzero(taking))
-                else:
-                    found += [ids[lo + x] for x in pairs]
+            found = [np.zeros((2, 0), np.int64), *(ids[np.stack([i, j])] for i, j, _ in close_pairs(keys, np.full(len(keys), -1), order, most_footrule))]
             pairs = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
-            more = np.concatenate(crowded)
-            some = [pa.array(pairs[0]), pa.array(pairs[1]), *(pa.nulls(pairs.shape[1], t) for t in (pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(some, ["a", "b", "key", "file", "side"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[more]), pa.nulls(len(more), pa.int64()), pa.array(keys[more]), pa.array(files[more]), pa.array(side[more])], ["a", "b", "key", "file", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
@@ -437,7 +401,7 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
                     continue
                 file = rows.slice(lo, hi - lo).sort_by("id")
                 ids, order = file.column("id").to_numpy(), as_rows(file.column("pivots"), 2 * depth).view(np.int16)
-                found = _best_cosines(file, order, prefix, reach, pivots, most_footrule, limit, k + 1)
+                found = _best_cosines(file, order[:, :reach], pivots, limit, k + 1)
                 x, y, far = np.concatenate([np.zeros((3, 0)), *found], 1)
                 x, y = ids[x.astype(np.int64)], ids[y.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far)], ["x", "y", "far"])
@@ -456,13 +420,10 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
             a, b = np.array(rows["a"], np.int64)[ok], np.array(rows["b"], np.int64)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([far[ok], far[ok]]))], ["x", "y", "far"])
 
-    keyed = cut_lineage(reps.mapInArrow(post, "id bigint, pivots binary, hot int, keys array<bigint>"))
-    posted = keyed.select(F.explode("keys").alias("key"), "id", "pivots", "hot").withColumn("file", F.col("key"))
+    posted = keyed.select(F.explode("keys").alias("key"), "id", "pivots")
     single = F.col("key").bitwiseAND(F.lit(SINGLE)) == SINGLE
-    close = cut_lineage(by_key(salted(posted.where(~single), "key", "id", BLOCK)).mapInArrow(candidates, "a bigint, b bigint, key bigint, file bigint, side int").distinct())
-    pairs = close.where("key is null").select("a", "b")
-    crowded = close.where("key is not null").select(F.col("a").alias("id"), "key", "file", "side")
-    crowded = cut_lineage(crowded.unionByName(salted(posted.where(single).select("key", "id", "file"), "key", "id", BLOCK)))
+    pairs = cut_lineage(by_key(posted.where(~single)).mapInArrow(candidates, "a bigint, b bigint").distinct())  # no more than CROWDED rows a file
+    crowded = cut_lineage(salted(posted.where(single).select("key", "id", F.col("key").alias("file")), "key", "id", BLOCK))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     body = cut_lineage(sketches.select("id", "norm", "bases", "n", "breaks").join(needed, "id", "left_semi"))
     side = lambda s: body.select(F.col("id").alias(s), F.col("norm").alias(f"s{s}"), F.col("bases").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("breaks").alias(f"b{s}"))
