@@ -22,7 +22,7 @@ LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
 FEW = 24  # rows up to which an inverted file is compared pair by pair
 CROWD = 4  # pivots within the limit of a pivot from which it stands in a crowd
-CROWDED = 64  # rows of a file of two pivots from which sequences count as a crowd
+CROWDED = 32  # rows of a file of two pivots from which sequences count as a crowd
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
 SINGLE = 0xFFFF  # second half of the key of a file of one pivot
 
