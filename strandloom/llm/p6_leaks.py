@@ -3,34 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.textwords import hash_word, split_words
-from strandloom.session import table, wide
+from strandloom.llm.codewords import trigrams, word_hashes, word_list
+from strandloom.operators.ranking import global_rank
+from strandloom.session import cut_lineage, small, table, wide
 
 RUN = 20  # words of a passage that must stand in a document
 HALF = 32  # words of half a query passage
-THRESHOLD = 24.0  # BM25 score from which a passage is verified at the latest, see ``least_score``
+SHARE = 0.8  # of the least score of a leak from which a passage is verified: words one letter apart count as equal there, but break trigrams
 INSERTED = 30  # words that may be put in between two equal stretches
 STRETCH = 5  # words of equal stretches on average
 BLOCK_ITEMS = 8  # items per block of the inverted index
-INDEX_ITEMS = 2000  # items per index; more items are searched in several indexes
+MOST_POSTINGS = 500_000  # postings up to which the index is broadcast; a longer one is joined by a shuffle
+BITS = 24  # bits of a term's number that the filter of terms looks at
 K1, B = 1.2, 0.75
 # The words that open the question line of an item.
 QUESTION = re.compile(r"\n\s*(?:Question|Frage)\s*:")
-WORD = re.compile(r"[^\W_]+")
-
-
-def word_list(text: str) -> list[str]:
-    """Lower-case words of a text, soft hyphens left out."""
-    return WORD.findall(text.replace("­", "").lower())
 
 
 def question_split(text: str) -> tuple[str, str]:
@@ -39,24 +34,6 @@ def question_split(text: str) -> tuple[str, str]:
     return (text[: at.start()], text[at.end() :]) if at else (text, "")
 
 
-@dataclass
-class ItemIndex:
-    """BM25 inverted index of items over word trigrams, with the greatest impact of each term per block of items and overall."""
-
-    items: np.ndarray  # item ids
-    words: list[list[str]]  # passage words of every item
-    vocabulary: np.ndarray  # sorted word hashes
-    terms: np.ndarray  # sorted trigram codes
-    best: np.ndarray  # greatest impact of each term
-    block_at: np.ndarray  # start of each term in (block, block_best)
-    block: np.ndarray
-    block_best: np.ndarray
-    post_at: np.ndarray  # start of each term block in (item, impact)
-    item: np.ndarray
-    impact: np.ndarray
-    least: np.ndarray  # score that every leak of an item reaches in some passage
-
-
 def least_score(impacts: np.ndarray, run: int) -> float:
     """The least score that ``longest_run`` chains of ``run`` words of an item (or all of a shorter one) have in their best passage.
 
@@ -75,106 +52,117 @@ def least_score(impacts: np.ndarray, run: int) -> float:
     return float(found) * (1 - 1e-9)
 
 
-def build_index(items: list[tuple[int, str]], run: int = RUN) -> ItemIndex:
-    """The index of ``(item_id, text)``; passages of fewer than three words have no term."""
-    words = [word_list(question_split(t)[0]) for _, t in items]
-    hashed = [np.array([hash_word(w) for w in ws], np.uint64) for ws in words]
-    vocabulary = np.unique(np.concatenate([*hashed, np.zeros(0, np.uint64)]))
-    size = len(vocabulary) + 1
-    postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    average = max(1.0, float(np.mean([len(w) for w in words] or [1])))
-    places = []
-    for n, h in enumerate(hashed):
-        v = np.searchsorted(vocabulary, h).astype(np.int64)
-        places.append(((v[:-2] * size + v[1:-1]) * size + v[2:]).tolist() if len(v) > 2 else [])
-        for term, tf in Counter(places[-1]).items():
-            postings[term].append((n, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / average))))
-    terms = np.array(sorted(postings), np.int64)
-    best, block_at, block, block_best, post_at, item, impact = [], [0], [], [], [0], [], []
-    scored: dict[tuple[int, int], float] = {}
-    for term in terms.tolist():
-        found = postings[term]
-        idf = float(np.log(1 + (len(items) - len(found) + 0.5) / (len(found) + 0.5)))
-        by_block: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for n, weight in found:
-            scored[n, term] = idf * weight
-            by_block[n // BLOCK_ITEMS].append((n, idf * weight))
-        for b, entries in sorted(by_block.items()):
-            block.append(b)
-            block_best.append(max(x for _, x in entries))
-            item.extend(n for n, _ in entries)
-            impact.extend(x for _, x in entries)
-            post_at.append(len(item))
-        block_at.append(len(block))
-        best.append(max(block_best[block_at[-2] :]))
-    least = np.array([least_score(np.array([scored[n, term] for term in at]), run) for n, at in enumerate(places)])
-    as_int = lambda x: np.array(x, np.int64)
-    return ItemIndex(as_int([i for i, _ in items]), words, vocabulary, terms, np.array(best), as_int(block_at), as_int(block), np.array(block_best), as_int(post_at), as_int(item), np.array(impact), least)
-
-
-def _expand(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all entries of the lists ``which`` and the list each came from (as index into ``which``)."""
-    n = at[which + 1] - at[which]
-    source = np.repeat(np.arange(len(which)), n)
-    return np.repeat(at[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), source
-
-
-def _passage_sums(half: np.ndarray, group: np.ndarray, weight: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes half * groups + group, and the sum over the half and the one behind it, which form a passage."""
-    code, inverse = np.unique(half * groups + group, return_inverse=True)
-    total = np.bincount(inverse, weights=weight, minlength=len(code))
-    following = np.searchsorted(code, code + groups)
-    has = (following < len(code)) & (code[np.minimum(following, len(code) - 1)] == code + groups) if len(code) else np.zeros(0, bool)
-    total[has] = total[has] + np.bincount(inverse, weights=weight, minlength=len(code))[following[has]]
-    return code, total
-
-
-def _kept(half: np.ndarray, group: np.ndarray, code: np.ndarray, total: np.ndarray, groups: int, threshold: np.ndarray) -> np.ndarray:
-    """Entries of a half that belongs, as first or second, to a passage that reaches the threshold of its group."""
-    good = code[total >= threshold[code % groups]]
-    mine = half * groups + group
-    return np.isin(mine, good) | np.isin(mine - groups, good)
-
-
-def retrieve(texts: list[str], index: ItemIndex, threshold: float = THRESHOLD) -> np.ndarray:
-    """``(text, item)`` pairs of which some passage of the text scores at least ``threshold``, or the item's ``least``, for the item.
-
-    Passages are all windows of two halves of ``HALF`` words. Pruning as in block-max WAND, for
-    a batch of passages at once: first by the sum of the terms' greatest impacts, then per block of items
-    by the blocks' greatest impacts, and only what is left is scored. A bound is never less
-    than the score, so nothing above the threshold is lost.
+def _item_rows(items: DataFrame) -> DataFrame:
+    """``(item_id, words, terms, question)``: passage words, their trigrams, and the hashes of the question's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, terms, questions = [], [], []
+            for text in batch.column(1).to_pylist():
+                passage, question = question_split(text)
+                words.append(word_list(passage))
+                terms.append(trigrams(word_hashes([passage])[1]))
+                questions.append(np.unique(word_hashes([question])[1]).view(np.int64))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(terms, kind), pa.array(questions, kind)], ["item_id", "words", "terms", "question"])
+
+    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item_id bigint, words array<string>, terms array<bigint>, question array<bigint>")
+
+
+def item_postings(passages: DataFrame) -> DataFrame:
+    """``(term, block, item, tf, impact)``: the BM25 inverted index of ``passages(item, words, terms)``, all statistics over all of them.
+
+    Blocks hold ``BLOCK_ITEMS`` items of about one length, so of like limits.
+    """
+    n, average = passages.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    tf = passages.select("item", F.size("words").alias("n"), F.explode("terms").alias("term")).groupBy("item", "n", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    order = global_rank(passages.select("item", F.size("words").alias("n")), [F.col("n"), F.col("item")], "r")
+    block = order.select("item", F.floor((F.col("r") - 1) / BLOCK_ITEMS).alias("block"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(max(1.0, average or 1.0))))
+    return tf.join(df, "term").join(block, "item").select("term", "block", "item", "tf", (idf * weight).alias("impact"))
+
+
+def item_limits(postings: DataFrame, run: int = RUN) -> DataFrame:
+    """``(item, block, need)``: the score from which a passage of a document is verified, a share of what a leak of the item scores at least."""
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = [SHARE * least_score(np.array(x), run) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(need, pa.float64())], ["item", "block", "need"])
+
+    # one passage's words are what a row gathers
+    each = postings.groupBy("item", "block").agg(F.flatten(F.collect_list(F.array_repeat("impact", F.col("tf")))).alias("impacts"))
+    return each.mapInArrow(needs, "item bigint, block bigint, need double")
+
+
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """Which values of a term's first ``BITS`` bits occur: 2 MB however many terms there are."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for x in batch.column(1).to_pylist():
+                one = np.zeros(4096, bool)
+                one[x] = True
+                bits.append(np.packbits(one).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
+
+    first = F.shiftrightunsigned("term", 64 - BITS)
+    chunks = terms.select(F.shiftright(first, 12).alias("chunk"), first.bitwiseAND(F.lit(4095)).alias("at")).groupBy("chunk").agg(F.collect_set("at").alias("at"))
+    out = np.zeros((1 << BITS) // 4096 * 512, np.uint8)
+    for r in chunks.mapInArrow(pack, "chunk bigint, bits binary").collect():  # at most 4,096 rows of 512 bytes
+        out[r["chunk"] * 512 : (r["chunk"] + 1) * 512] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def document_terms(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """``(doc_id, row, half, term)``: trigrams of the documents ``(doc_id, row, text)`` that may be an item's, and their half passage."""
+    packed = np.packbits(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                doc, h = word_hashes(part.column(2).to_pylist())
+                if len(h) < 3:
+                    continue
+                term = trigrams(h)
+                ok = (doc[:-2] == doc[2:]) & keep[(term.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)]
+                place = np.flatnonzero(ok)
+                doc_of = doc[place]
+                half = (place - np.searchsorted(doc, doc_of)) // HALF
+                take = pa.array(doc_of)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(half.astype(np.int32)), pa.array(term[place])], ["doc_id", "row", "half", "term"])
+
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, half int, term bigint")
+
+
+def retrieve(terms: DataFrame, postings: DataFrame, limits: DataFrame) -> DataFrame:
+    """``(doc_id, row, item)`` of which some passage of the document scores at least the item's ``need``.
+
+    Passages are all windows of two halves of ``HALF`` words. Pruning as in block-max WAND, by aggregations over the
+    passages: first by the sum of the terms' greatest impacts, then per block of items by the
+    blocks' greatest impacts, and only what is left is scored. A bound is never less than the score, so nothing
+    above a limit is lost. Lists hold the terms of one passage. An index of up to ``MOST_POSTINGS`` postings is broadcast.
     """
-    w = split_words(texts)
-    none = np.zeros((0, 2), np.int64)
-    if len(w.hash) < 3 or not len(index.terms):
-        return none
-    v = np.searchsorted(index.vocabulary, w.hash)
-    v = np.where(index.vocabulary[np.minimum(v, len(index.vocabulary) - 1)] == w.hash, v, -1).astype(np.int64)
-    size = len(index.vocabulary) + 1
-    at = np.flatnonzero((v[:-2] >= 0) & (v[1:-1] >= 0) & (v[2:] >= 0) & (w.doc[:-2] == w.doc[2:]))
-    code = (v[at] * size + v[at + 1]) * size + v[at + 2]
-    term = np.searchsorted(index.terms, code)
-    hit = index.terms[np.minimum(term, len(index.terms) - 1)] == code
-    at, term = at[hit], term[hit]
-    if not len(at):
-        return none
-    first = np.searchsorted(w.doc, np.arange(len(texts)))
-    half = (at - first[w.doc[at]]) // HALF
-    halves = int(half.max()) + 2
-    half = w.doc[at] * halves + half  # a text's last half is never followed by another text's first
-    each = np.minimum(index.least, threshold)
-    per_block = np.minimum.reduceat(each, np.arange(0, len(each), BLOCK_ITEMS))
-    keep = _kept(half, 0 * half, *_passage_sums(half, 0 * half, index.best[term], 1), 1, each.min(keepdims=True))
-    half, term = half[keep], term[keep]
-    entry, source = _expand(index.block_at, term)
-    half, blocks = half[source], int(index.block.max()) + 1
-    group = index.block[entry]
-    keep = _kept(half, group, *_passage_sums(half, group, index.block_best[entry], blocks), blocks, per_block)
-    posting, source = _expand(index.post_at, entry[keep])
-    half, item, items = half[keep][source], index.item[posting], len(index.items)
-    code, total = _passage_sums(half, item, index.impact[posting], items)
-    good = code[total >= each[code % items]]
-    return np.unique(np.stack([good // items // halves, good % items], 1), axis=0) if len(good) else none
+    limits = cut_lineage(limits)
+    lowest = limits.agg(F.min("need")).first()[0]
+    by_block = small(limits.groupBy("block").agg(F.min("need").alias("least")), MOST_POSTINGS)
+    blocks = postings.groupBy("term", "block").agg(F.max("impact").alias("best"))
+    best = blocks.groupBy("term").agg(F.max("best").alias("best"))
+    within = F.explode(F.array(F.col("half"), F.col("half") - 1)).alias("passage")
+    hits = terms.join(small(best, MOST_POSTINGS), "term").select("doc_id", "row", within, "term", "best").where("passage >= 0")
+    key = ["doc_id", "row", "passage"]
+    some = hits.groupBy(*key).agg(F.sum("best").alias("s"), F.collect_list("term").alias("terms")).where(F.col("s") >= F.lit(lowest))
+    some = some.select(*key, F.explode("terms").alias("term")).join(small(blocks, MOST_POSTINGS), "term")
+    some = some.groupBy(*key, "block").agg(F.sum("best").alias("s"), F.collect_list("term").alias("terms")).join(by_block, "block").where("s >= least")
+    scored = some.select(*key, "block", F.explode("terms").alias("term")).join(small(postings.select("term", "block", "item", "impact"), MOST_POSTINGS), ["term", "block"])
+    total = scored.groupBy(*key, "item").agg(F.sum("impact").alias("s")).join(small(limits.select("item", "need"), MOST_POSTINGS), "item")
+    return total.where("s >= need").select("doc_id", "row", "item").distinct()
 
 
 def one_letter_apart(a: str, b: str) -> bool:
@@ -254,56 +242,57 @@ def may_run(passage: list[str], pairs: set[tuple[str, str]], need: int) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, run: int = RUN) -> DataFrame:
+    """``(doc_id, row, item, run_words, have)`` of ``pairs(doc_id, row, text, item, words)`` whose text holds the passage or ``run`` words of it.
+
+    ``have`` are the hashes of the text's words. Whole texts are compared, word by word.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, words, pairs_of, rows, have = None, [], set(), [], []
+            for at, (text, passage) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if text != last:
+                    last, words = text, word_list(text)
+                    pairs_of = set(zip(words, words[1:], strict=False))
+                need = min(run, len(passage))
+                n = longest_run(passage, words) if may_run(passage, pairs_of, need) else 0
+                if n and n >= need:
+                    rows.append((at, n))
+                    have.append(np.unique(word_hashes([text])[1]).view(np.int64))
+            at, n = zip(*rows, strict=True) if rows else ((), ())
+            take = pa.array(at, pa.int64())
+            out = [*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(n, pa.int32()), pa.array(have, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "row", "item", "run_words", "have"])
+
+    return pairs.select("doc_id", "row", "text", "item", "words").mapInArrow(check, "doc_id bigint, row bigint, item bigint, run_words int, have array<bigint>")
+
+
+def leaks(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """``(doc_id, item_id, run_words, question_words)``: documents that hold an item's passage or ``run`` words of it in a row.
 
-    Every document is cut into overlapping passages, which query the index of items; what scores at
-    least ``threshold``, or what a run of the item must score if that is less, is verified word by word over the whole text. A shorter passage must
-    stand there whole; one of fewer than five words is never found (see ``longest_run``). Items of one passage are indexed once. ``question_words`` is the share of the question's words found in the text.
-    The items are the small side: they are indexed in blocks of ``INDEX_ITEMS``, so each
-    index sent to the tasks is bounded, and the documents pass through once per block. Null
-    texts and ids have no row, repeated documents each their own.
+    Every document is cut into overlapping passages, which query the inverted index of the items; what scores at least a
+    share of the least score that a leak of that item can have is verified word by word over the whole text. A shorter passage must
+    stand there whole; one of fewer than five words is never found (see ``longest_run``). Items of one passage are indexed once.
+    ``question_words`` is the share of the question's words found in the text, 0 without a question.
+    Both sides are split alike: letters and digits of any script, composed, in lower case. Items are a table like any other: none but
+    counts, one limit and a filter of fixed size reach the driver, and the corpus passes once through the index however many there are. Null
+    texts and ids have no row, repeated documents each their own; no items or no documents give no rows.
     """
-    named = items.where("item_id is not null and text is not null").select("item_id", "text")
-    texts = wide(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.replace("text", F.lit("­"), F.lit("")).alias("text")))
-    blocks = max(1, -(-named.count() // INDEX_ITEMS))
-    schema = "doc_id bigint, item_id bigint, run_words int, question_words double"
-    out = None
-    for b in range(blocks):
-        part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        known = [(r["item_id"], r["text"]) for r in part.orderBy("item_id").collect()]  # about INDEX_ITEMS rows
-        copies: dict[tuple[str, ...], list[tuple[int, set[str]]]] = defaultdict(list)
-        first: dict[tuple[str, ...], str] = {}
-        for i, t in known:
-            passage, question = question_split(t)
-            w = tuple(word_list(passage))
-            copies[w].append((i, set(word_list(question))))
-            first.setdefault(w, t)
-        order = sorted(copies, key=lambda w: (len(w), copies[w][0][0]))  # blocks of passages of about one length, so of like thresholds
-        index = build_index([(copies[w][0][0], first[w]) for w in order], run)
-        named_by = [copies[w] for w in order]
-
-        def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, named_by: list[list[tuple[int, set[str]]]] = named_by) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[tuple[int, int, int, float]] = []
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    last, words, have, pairs = -1, [], set(), set()
-                    for t, i in retrieve(texts, index, threshold).tolist():
-                        if t != last:
-                            last, words = t, word_list(texts[t])
-                            have, pairs = set(words), set(zip(words, words[1:], strict=False))
-                        need = min(run, len(index.words[i]))
-                        n = longest_run(index.words[i], words) if may_run(index.words[i], pairs, need) else 0
-                        if n and n >= need:
-                            rows += [(ids[t], item, n, len(asked & have) / len(asked) if asked else 0.0) for item, asked in named_by[i]]
-                cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], ["doc_id", "item_id", "run_words", "question_words"])
-
-        found = texts.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = cut_lineage(_item_rows(items).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words")))
+    passages = cut_lineage(rows.where(F.size("terms") > 0).groupBy("k1", "k2").agg(F.min("item_id").alias("item"), F.first("words").alias("words"), F.first("terms").alias("terms")))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    postings = cut_lineage(item_postings(passages))
+    limits = cut_lineage(item_limits(postings, run))
+    if limits.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, run_words int, question_words double")
+    terms = document_terms(wide(texts), term_filter(postings))
+    found = cut_lineage(retrieve(terms, postings, limits))
+    copies = rows.join(passages.select("k1", "k2", "item"), ["k1", "k2"]).select("item", "item_id", "question")
+    pairs = wide(texts).join(small(found, MOST_POSTINGS), ["doc_id", "row"]).join(small(passages.select("item", "words"), 10_000), "item")
+    shared = F.size(F.array_intersect("question", "have")) / F.size("question")
+    asked = F.when(F.size("question") > 0, shared).otherwise(F.lit(0.0))
+    return verified(pairs, run).join(small(copies, 10_000), "item").select("doc_id", "item_id", "run_words", asked.alias("question_words"))
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:

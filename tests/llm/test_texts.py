@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.llm import p6_leaks as K
 from strandloom.llm import p7_mixture as M
 from strandloom.llm import p8_reading as R
+from strandloom.llm.codewords import trigrams, word_hashes, word_list
 from strandloom.llm.textwords import hash_word, split_words
 
 WORDS = [f"{a}{b}{c}" for a in ("bar", "lom", "tin", "vex", "qua") for b in ("do", "si", "ka", "mu") for c in ("n", "rel", "tor", "x")]
@@ -25,6 +27,14 @@ def test_words_and_hashes():
     assert len(split_words([]).hash) == 0 and len(split_words(["", "?"]).hash) == 0
 
 
+def test_word_hashes_follow_the_words():
+    texts = ["Größe, ÄB c3_d!", "", "\0x y", "слово\u00ad СЛОВО e\u0301te"]
+    doc, h = word_hashes(texts)
+    assert [word_list(t) for t in texts] == [["größe", "äb", "c3", "d"], [], ["x", "y"], ["слово", "слово", "éte"]]
+    assert doc.tolist() == [0, 0, 0, 0, 2, 2, 3, 3, 3] and h[6] == h[7] and len(set(h.tolist())) == 8
+    assert len(word_hashes([])[1]) == len(word_hashes(["?"])[1]) == 0
+
+
 def _disturb(rng, words):
     """Case, punctuation, breaks, single letters and words changed, something put in between."""
     out = []
@@ -61,17 +71,18 @@ def test_planted_passages_are_found_and_short_ones_not(spark):
     want.add((503, 902))
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1))
     got = {(r.doc_id, r.item_id) for r in K.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    assert want - got <= {(503, 902)} and not got - want
+    assert got == want
     assert K.leaks(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
-def test_index_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize(("name", "value"), [("BLOCK_ITEMS", 3), ("MOST_POSTINGS", 1), ("BITS", 12)])
+def test_blocks_joins_and_filter_give_the_same(spark, monkeypatch, name, value):
     rng = random.Random(3)
     items = [(i, _text(rng, 60)) for i in range(30)]
     docs = [(d, _text(rng, 30) + " " + items[d][1]) for d in range(30)]
     frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     one = {(r.doc_id, r.item_id) for r in K.leaks(*frames).collect()}
-    monkeypatch.setattr(K, "INDEX_ITEMS", 7)
+    monkeypatch.setattr(K, name, value)
     assert one == {(r.doc_id, r.item_id) for r in K.leaks(*frames).collect()} == {(d, d) for d in range(30)}
 
 
@@ -100,30 +111,54 @@ def test_short_passages_that_stand_whole(spark):
         assert _leaked(spark, docs, short + [(i, _text(rng, 70)) for i in range(many)]) == [(i, i) for i, _ in short], many
 
 
-def test_pruning_loses_nothing():
+def test_pruning_loses_nothing(spark):
     rng = random.Random(5)
     items = [(i, _text(rng, 70)) for i in range(25)]
-    index = K.build_index(items)
     texts = [_text(rng, 200) for _ in range(20)] + [items[i][1][: 60 + 20 * i] for i in range(10)] + ["", "a b"]
-    got = {tuple(x) for x in K.retrieve(texts, index, 9.0).tolist()}
-    size = len(index.vocabulary) + 1
+    rows = K._item_rows(spark.createDataFrame(items, "item_id bigint, text string")).selectExpr("item_id as item", "words", "terms")
+    postings = K.cut_lineage(K.item_postings(rows))
+    limits = K.item_limits(postings).withColumn("need", F.lit(9.0) + F.col("item") % 3)
+    docs = spark.createDataFrame([(d, d, t) for d, t in enumerate(texts)], "doc_id bigint, row bigint, text string")
+    got = {(r.doc_id, r.item) for r in K.retrieve(K.document_terms(docs, K.term_filter(postings)), postings, limits).collect()}
+    impact = {(r.term, r.item): r.impact for r in postings.collect()}
     want = set()
     for t, text in enumerate(texts):
-        h = split_words([text]).hash
-        v = np.searchsorted(index.vocabulary, h)
-        known = [int(a) if a < len(index.vocabulary) and index.vocabulary[a] == b else -1 for a, b in zip(v, h, strict=True)]
-        for at in range(0, max(1, len(known)), K.HALF):
-            score = np.zeros(len(items))
-            for p in range(at, min(at + 2 * K.HALF, len(known) - 2)):
-                if min(known[p : p + 3]) < 0:
-                    continue
-                term = np.searchsorted(index.terms, (known[p] * size + known[p + 1]) * size + known[p + 2])
-                if term < len(index.terms) and index.terms[term] == (known[p] * size + known[p + 1]) * size + known[p + 2]:
-                    for e in range(index.block_at[term], index.block_at[term + 1]):
-                        for q in range(index.post_at[e], index.post_at[e + 1]):
-                            score[index.item[q]] += index.impact[q]
-            want |= {(t, int(i)) for i in np.flatnonzero(score >= 9.0 + 1e-9)}
-    assert want <= got and all((score, i) for score, i in got)
+        term = trigrams(word_hashes([text])[1]).tolist()
+        for at in range(0, max(1, len(term)), K.HALF):
+            for i, _ in items:
+                if sum(impact.get((x, i), 0.0) for x in term[at : at + 2 * K.HALF]) >= 9.0 + i % 3:
+                    want.add((t, i))
+    assert want == got and want
+
+
+@pytest.mark.parametrize("kind", ["quotes", "ligatures", "capitals", "cyrillic", "composed", "underscores"])
+def test_both_sides_split_words_alike(spark, kind):
+    rng = random.Random(len(kind))
+    words = [f"{a}{b}" for a in ("größe", "œuvre", "über", "ärger", "naïf", "façade") for b in ("ab", "cd", "ef", "gh", "ij", "kl", "mn")]
+    if kind == "cyrillic":
+        words = [f"{a}{b}" for a in ("слово", "книга", "город", "земля", "время", "закон") for b in ("ами", "ого", "ему", "ые", "ах", "ия", "юсь")]
+    items = [(i, " ".join(rng.choice(words) + "abc"[rng.randrange(3)] for _ in range(60))) for i in range(20)]
+    form = {
+        "quotes": lambda w: f"\u201c{w}\u201d \u2014" if rng.random() < 0.3 else f"\u00a0{w}\u2026",
+        "ligatures": lambda w: w.replace("œ", "Œ"),
+        "capitals": str.upper,
+        "cyrillic": str.title,
+        "composed": lambda w: unicodedata.normalize("NFD", w),
+        "underscores": lambda w: f"_{w}_",
+    }[kind]
+    docs = [(i, _text(rng, 40) + " " + " ".join(form(w) for w in t.split()[10:35]) + " " + _text(rng, 40)) for i, t in items]
+    if kind == "capitals":  # the capital of ß is SS: such words are no longer equal
+        items = [(i, t.replace("ß", "ss")) for i, t in items]
+        docs = [(i, _text(rng, 40) + " " + t.upper() + " " + _text(rng, 40)) for i, t in items]
+    assert _leaked(spark, docs, items) == [(i, i) for i, _ in items]
+
+
+@pytest.mark.parametrize("many", [1, 2, 3, 4, 5])
+def test_runs_of_every_length_whatever_the_number_of_items(spark, many):
+    rng = random.Random(many)
+    own = [" ".join(f"{rng.choice(WORDS)}{i}q{n}" for n in range(90)) for i in range(many)]
+    docs = [(n, f"{_text(rng, 30)} {' '.join(own[0].split()[:n])} {_text(rng, 30)}") for n in (12, 19, 20, 25, 30, 80)]
+    assert _leaked(spark, docs, list(enumerate(own))) == [(n, 0) for n in (20, 25, 30, 80)]
 
 
 def test_run_lengths():
