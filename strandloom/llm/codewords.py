@@ -52,6 +52,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(np.flatnonzero(raw == 0), start), np.add.reduceat(value, np.cumsum(lengths) - lengths)
 
 
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit number for each two words in a row."""
+    t = hashes[:-1] * _MIX[1] + hashes[1:] * _MIX[2]
+    t ^= t >> np.uint64(31)
+    t *= _MIX[0]
+    return t.view(np.int64)
+
+
 def trigrams(hashes: np.ndarray) -> np.ndarray:
     """A signed 64-bit number for each three words in a row."""
     if len(hashes) < 3:

@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.codewords import trigrams, word_hashes, word_list
+from strandloom.llm.codewords import bigrams, trigrams, word_hashes, word_list
 from strandloom.operators.ranking import global_rank
 from strandloom.session import cut_lineage, small, table, wide
 
 RUN = 20  # words of a passage that must stand in a document
 HALF = 32  # words of half a query passage
-SHARE = 0.8  # of the least score of a leak from which a passage is verified: words one letter apart count as equal there, but break trigrams
 INSERTED = 30  # words that may be put in between two equal stretches
 STRETCH = 5  # words of equal stretches on average
 BLOCK_ITEMS = 8  # items per block of the inverted index
@@ -53,21 +52,23 @@ def least_score(impacts: np.ndarray, run: int) -> float:
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
-    """``(item_id, words, terms, question)``: passage words, their trigrams, and the hashes of the question's words."""
+    """``(item_id, words, pairs, terms, question)``: passage words, hashes of each two and three in a row, and of the question's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, terms, questions = [], [], []
+            words, pairs, terms, questions = [], [], [], []
             for text in batch.column(1).to_pylist():
                 passage, question = question_split(text)
                 words.append(word_list(passage))
-                terms.append(trigrams(word_hashes([passage])[1]))
+                hashed = word_hashes([passage])[1]
+                pairs.append(bigrams(hashed))
+                terms.append(trigrams(hashed))
                 questions.append(np.unique(word_hashes([question])[1]).view(np.int64))
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(terms, kind), pa.array(questions, kind)], ["item_id", "words", "terms", "question"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), *(pa.array(x, kind) for x in (pairs, terms, questions))], ["item_id", "words", "pairs", "terms", "question"])
 
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item_id bigint, words array<string>, terms array<bigint>, question array<bigint>")
+    return rows.mapInArrow(run, "item_id bigint, words array<string>, pairs array<bigint>, terms array<bigint>, question array<bigint>")
 
 
 def item_postings(passages: DataFrame) -> DataFrame:
@@ -86,11 +87,11 @@ def item_postings(passages: DataFrame) -> DataFrame:
 
 
 def item_limits(postings: DataFrame, run: int = RUN) -> DataFrame:
-    """``(item, block, need)``: the score from which a passage of a document is verified, a share of what a leak of the item scores at least."""
+    """``(item, block, need)``: the score from which a passage of a document is looked at, what a leak of the item scores at least."""
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            need = [SHARE * least_score(np.array(x), run) for x in batch.column(2).to_pylist()]
+            need = [least_score(np.array(x), run) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(need, pa.float64())], ["item", "block", "need"])
 
     # one passage's words are what a row gathers
@@ -141,28 +142,77 @@ def document_terms(docs: DataFrame, known: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, row bigint, half int, term bigint")
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold whole runs of (doc_id, row), and the number of each row's run."""
+    rest: pa.Table | None = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+        if rest is None or not rest.num_rows:
+            continue
+        doc, row = rest.column("doc_id").to_numpy(), rest.column("row").to_numpy()
+        edge = np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1
+        cut = len(doc) if batch is None else int(edge[-1]) if len(edge) else 0
+        if cut:
+            yield rest.slice(0, cut), np.searchsorted(edge, np.arange(cut), "right")
+            rest = rest.slice(cut)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _reaching(run: np.ndarray, half: np.ndarray, group: np.ndarray, weight: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Rows in a half that belongs, as first or second, to a passage whose ``weight`` of the row's ``group`` sums to its ``need``."""
+    kinds, group = np.unique(group, return_inverse=True)
+    least = np.zeros(len(kinds))
+    least[group] = need
+    code = (run * (int(half.max()) + 2) + half) * len(kinds) + group  # a text's last half is never followed by another text's first
+    have, inverse = np.unique(code, return_inverse=True)
+    own = np.bincount(inverse, weights=weight, minlength=len(have))
+    behind = np.minimum(np.searchsorted(have, have + len(kinds)), len(have) - 1)
+    total = own + np.where(have[behind] == have + len(kinds), own[behind], 0.0)
+    good = have[total >= least[have % len(kinds)]]
+    return np.isin(code, good) | np.isin(code - len(kinds), good)
+
+
+def _beside(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a part of the index: a broadcast up to ``MOST_POSTINGS`` entries, which leaves the rows of a document together, else a shuffle back to them."""
+    if index.limit(MOST_POSTINGS + 1).count() <= MOST_POSTINGS:
+        return rows.join(F.broadcast(index), keys)
+    return rows.join(index, keys).repartition("doc_id", "row").sortWithinPartitions("doc_id", "row")
+
+
 def retrieve(terms: DataFrame, postings: DataFrame, limits: DataFrame) -> DataFrame:
     """``(doc_id, row, item)`` of which some passage of the document scores at least the item's ``need``.
 
-    Passages are all windows of two halves of ``HALF`` words. Pruning as in block-max WAND, by aggregations over the
-    passages: first by the sum of the terms' greatest impacts, then per block of items by the
-    blocks' greatest impacts, and only what is left is scored. A bound is never less than the score, so nothing
-    above a limit is lost. Lists hold the terms of one passage. An index of up to ``MOST_POSTINGS`` postings is broadcast.
+    ``terms`` as of ``document_terms``, the rows of a document one behind the other. Passages are all windows of two halves of ``HALF`` words. Pruning as in
+    block-max WAND, for many passages at once: the blocks' greatest impacts are summed per block of items, and only postings of terms and blocks
+    in passages that can reach a limit are scored. A bound is never less than the score, so nothing
+    above a limit is lost.
     """
     limits = cut_lineage(limits)
-    lowest = limits.agg(F.min("need")).first()[0]
-    by_block = small(limits.groupBy("block").agg(F.min("need").alias("least")), MOST_POSTINGS)
-    blocks = postings.groupBy("term", "block").agg(F.max("impact").alias("best"))
-    best = blocks.groupBy("term").agg(F.max("best").alias("best"))
-    within = F.explode(F.array(F.col("half"), F.col("half") - 1)).alias("passage")
-    hits = terms.join(small(best, MOST_POSTINGS), "term").select("doc_id", "row", within, "term", "best").where("passage >= 0")
-    key = ["doc_id", "row", "passage"]
-    some = hits.groupBy(*key).agg(F.sum("best").alias("s"), F.collect_list("term").alias("terms")).where(F.col("s") >= F.lit(lowest))
-    some = some.select(*key, F.explode("terms").alias("term")).join(small(blocks, MOST_POSTINGS), "term")
-    some = some.groupBy(*key, "block").agg(F.sum("best").alias("s"), F.collect_list("term").alias("terms")).join(by_block, "block").where("s >= least")
-    scored = some.select(*key, "block", F.explode("terms").alias("term")).join(small(postings.select("term", "block", "item", "impact"), MOST_POSTINGS), ["term", "block"])
-    total = scored.groupBy(*key, "item").agg(F.sum("impact").alias("s")).join(small(limits.select("item", "need"), MOST_POSTINGS), "item")
-    return total.where("s >= need").select("doc_id", "row", "item").distinct()
+    blocks = postings.groupBy("term", "block").agg(F.max("impact").alias("weight")).join(limits.groupBy("block").agg(F.min("need").alias("need")), "block")
+    entries = postings.select("term", "block", "item", F.col("impact").alias("weight")).join(limits.select("item", "need"), "item")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, run in _whole_documents(batches):
+            half, block, weight, need = (rows.column(c).to_numpy() for c in ("half", "block", "weight", "need"))
+            kept = rows.select(["doc_id", "row", "half", "term", "block"]).filter(pa.array(_reaching(run, half.astype(np.int64), block, weight, need)))
+            yield from kept.to_batches()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, run in _whole_documents(batches):
+            half, item, weight, need = (rows.column(c).to_numpy() for c in ("half", "item", "weight", "need"))
+            ok = np.flatnonzero(_reaching(run, half.astype(np.int64), item, weight, need))
+            first = ok[np.unique(np.stack([run[ok], item[ok]]), axis=1, return_index=True)[1]] if len(ok) else ok
+            yield from rows.select(["doc_id", "row", "item"]).take(pa.array(first)).combine_chunks().to_batches()
+
+    able = _beside(terms, cut_lineage(blocks), ["term"]).select("doc_id", "row", "half", "term", "block", "weight", "need").mapInArrow(prune, "doc_id bigint, row bigint, half int, term bigint, block bigint")
+    scored = _beside(able, cut_lineage(entries), ["term", "block"]).select("doc_id", "row", "half", "item", "weight", "need")
+    return scored.mapInArrow(score, "doc_id bigint, row bigint, item bigint")
 
 
 def one_letter_apart(a: str, b: str) -> bool:
@@ -226,20 +276,43 @@ def longest_run(passage: list[str], text: list[str], inserted: int = INSERTED) -
     return top
 
 
-def may_run(passage: list[str], pairs: set[tuple[str, str]], need: int) -> bool:
-    """Whether ``longest_run`` can reach ``need`` words in a text of these pairs of words: a cheap bound, never too low.
+def may_run(known: np.ndarray, begins: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether ``longest_run`` can reach ``need`` words, for many passages at once: a cheap bound, never too low.
 
-    All words of a chain but at most two in a row belong to a pair of the passage that stands somewhere in the text.
+    ``known`` tells for all pairs of words of all passages in a row whether the text has the pair, ``begins`` where each passage begins (and the
+    end). All words of a chain but at most two in a row belong to a pair of the passage that stands somewhere in the text.
     """
-    begin, end = 0, -3
-    for j, pair in enumerate(zip(passage, passage[1:], strict=False)):
-        if pair in pairs:
-            if j - end > 2:
-                begin = j
-            end = j + 2
-            if end - begin >= need:
-                return True
-    return False
+    at = np.flatnonzero(known)
+    owner = np.searchsorted(begins, at, "right") - 1
+    new = np.concatenate([[True], (np.diff(at) > 4) | (np.diff(owner) > 0)]) if len(at) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    stop = np.concatenate([start[1:], [len(at)]]).astype(np.int64) - 1
+    long = at[stop] + 2 - at[start] >= need[owner[start]] if len(at) else np.zeros(0, bool)
+    out = np.zeros(len(begins) - 1, bool)
+    out[owner[start[long]]] = True
+    return out
+
+
+def able_pairs(pairs: DataFrame, run: int = RUN) -> DataFrame:
+    """``(doc_id, row, item)`` of ``pairs(doc_id, row, text, item, pairs)`` that pass ``may_run``; texts of many pairs are split once a batch."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                doc, row = part.column(0).to_numpy(), part.column(1).to_numpy()
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+                text_of, h = word_hashes(part.column(2).filter(pa.array(new)).to_pylist())
+                have = bigrams(h)[text_of[:-1] == text_of[1:]] if len(h) > 1 else np.zeros(0, np.int64)
+                salt = np.uint64(0x9E3779B97F4A7C15)
+                own = have.view(np.uint64) + text_of[:-1][text_of[:-1] == text_of[1:]].astype(np.uint64) * salt if len(h) > 1 else have.view(np.uint64)
+                size = part.column(4).value_lengths().to_numpy()
+                begins = np.concatenate([[0], np.cumsum(size)])
+                asked = part.column(4).flatten().to_numpy().view(np.uint64) + np.repeat((np.cumsum(new) - 1).astype(np.uint64) * salt, size)
+                ok = may_run(np.isin(asked, own), begins, np.minimum(run, size + 1))
+                yield part.select(["doc_id", "row", "item"]).filter(pa.array(ok))
+
+    return pairs.select("doc_id", "row", "text", "item", "pairs").mapInArrow(bound, "doc_id bigint, row bigint, item bigint")
 
 
 def verified(pairs: DataFrame, run: int = RUN) -> DataFrame:
@@ -250,14 +323,10 @@ def verified(pairs: DataFrame, run: int = RUN) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, words, pairs_of, rows, have = None, [], set(), [], []
+            rows, have = [], []
             for at, (text, passage) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if text != last:
-                    last, words = text, word_list(text)
-                    pairs_of = set(zip(words, words[1:], strict=False))
-                need = min(run, len(passage))
-                n = longest_run(passage, words) if may_run(passage, pairs_of, need) else 0
-                if n and n >= need:
+                n = longest_run(passage, word_list(text))
+                if n and n >= min(run, len(passage)):
                     rows.append((at, n))
                     have.append(np.unique(word_hashes([text])[1]).view(np.int64))
             at, n = zip(*rows, strict=True) if rows else ((), ())
@@ -280,7 +349,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     texts and ids have no row, repeated documents each their own; no items or no documents give no rows.
     """
     rows = cut_lineage(_item_rows(items).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words")))
-    passages = cut_lineage(rows.where(F.size("terms") > 0).groupBy("k1", "k2").agg(F.min("item_id").alias("item"), F.first("words").alias("words"), F.first("terms").alias("terms")))
+    passages = cut_lineage(rows.where(F.size("terms") > 0).groupBy("k1", "k2").agg(F.min("item_id").alias("item"), F.first("words").alias("words"), F.first("pairs").alias("pairs"), F.first("terms").alias("terms")))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     postings = cut_lineage(item_postings(passages))
     limits = cut_lineage(item_limits(postings, run))
@@ -289,7 +358,9 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     terms = document_terms(wide(texts), term_filter(postings))
     found = cut_lineage(retrieve(terms, postings, limits))
     copies = rows.join(passages.select("k1", "k2", "item"), ["k1", "k2"]).select("item", "item_id", "question")
-    pairs = wide(texts).join(small(found, MOST_POSTINGS), ["doc_id", "row"]).join(small(passages.select("item", "words"), 10_000), "item")
+    with_text = lambda df: wide(texts).join(small(df, MOST_POSTINGS), ["doc_id", "row"])
+    able = cut_lineage(able_pairs(with_text(found).join(small(passages.select("item", "pairs"), 10_000), "item"), run).distinct())
+    pairs = with_text(able).join(small(passages.select("item", "words"), 10_000), "item")
     shared = F.size(F.array_intersect("question", "have")) / F.size("question")
     asked = F.when(F.size("question") > 0, shared).otherwise(F.lit(0.0))
     return verified(pairs, run).join(small(copies, 10_000), "item").select("doc_id", "item_id", "run_words", asked.alias("question_words"))
