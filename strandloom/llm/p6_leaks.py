@@ -193,25 +193,28 @@ def retrieve(terms: DataFrame, postings: DataFrame, limits: DataFrame) -> DataFr
     in passages that can reach a limit are scored. A bound is never less than the score, so nothing
     above a limit is lost.
     """
-    limits = cut_lineage(limits)
-    blocks = postings.groupBy("term", "block").agg(F.max("impact").alias("weight")).join(limits.groupBy("block").agg(F.min("need").alias("need")), "block")
-    entries = postings.select("term", "block", "item", F.col("impact").alias("weight")).join(limits.select("item", "need"), "item")
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, run in _whole_documents(batches):
-            half, block, weight, need = (rows.column(c).to_numpy() for c in ("half", "block", "weight", "need"))
-            kept = rows.select(["doc_id", "row", "half", "term", "block"]).filter(pa.array(_reaching(run, half.astype(np.int64), block, weight, need)))
-            yield from kept.to_batches()
+    entry = F.struct("item", F.col("impact").alias("weight"), "need")
+    # a block's entries of a term are at most ``BLOCK_ITEMS``
+    blocks = postings.join(limits.select("item", "need"), "item").groupBy("term", "block").agg(F.max("impact").alias("best"), F.collect_list(entry).alias("entries"))
+    blocks = cut_lineage(blocks.join(limits.groupBy("block").agg(F.min("need").alias("least")), "block"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, run in _whole_documents(batches):
-            half, item, weight, need = (rows.column(c).to_numpy() for c in ("half", "item", "weight", "need"))
-            ok = np.flatnonzero(_reaching(run, half.astype(np.int64), item, weight, need))
-            first = ok[np.unique(np.stack([run[ok], item[ok]]), axis=1, return_index=True)[1]] if len(ok) else ok
-            yield from rows.select(["doc_id", "row", "item"]).take(pa.array(first)).combine_chunks().to_batches()
+            half, block, best, least = (rows.column(c).to_numpy() for c in ("half", "block", "best", "least"))
+            able = np.flatnonzero(_reaching(run, half.astype(np.int64), block, best, least))
+            if not len(able):
+                continue
+            entries = rows.column("entries").take(pa.array(able)).combine_chunks()
+            at = np.repeat(able, entries.value_lengths().to_numpy())
+            item, weight, need = (entries.flatten().field(c).to_numpy() for c in ("item", "weight", "need"))
+            ok = np.flatnonzero(_reaching(run[at], half[at].astype(np.int64), item, weight, need))
+            if not len(ok):
+                continue
+            first = ok[np.unique(np.stack([run[at[ok]], item[ok]]), axis=1, return_index=True)[1]]
+            source = rows.select(["doc_id", "row"]).take(pa.array(at[first])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([source.column(0).combine_chunks(), source.column(1).combine_chunks(), pa.array(item[first])], ["doc_id", "row", "item"])
 
-    able = _beside(terms, cut_lineage(blocks), ["term"]).select("doc_id", "row", "half", "term", "block", "weight", "need").mapInArrow(prune, "doc_id bigint, row bigint, half int, term bigint, block bigint")
-    scored = _beside(able, cut_lineage(entries), ["term", "block"]).select("doc_id", "row", "half", "item", "weight", "need")
+    scored = _beside(terms, blocks, ["term"]).select("doc_id", "row", "half", "block", "best", "least", "entries")
     return scored.mapInArrow(score, "doc_id bigint, row bigint, item bigint")
 
 
@@ -323,9 +326,11 @@ def verified(pairs: DataFrame, run: int = RUN) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, have = [], []
+            rows, have, last, words = [], [], None, []
             for at, (text, passage) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                n = longest_run(passage, word_list(text))
+                if text != last:
+                    last, words = text, word_list(text)
+                n = longest_run(passage, words)
                 if n and n >= min(run, len(passage)):
                     rows.append((at, n))
                     have.append(np.unique(word_hashes([text])[1]).view(np.int64))
