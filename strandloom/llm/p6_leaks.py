@@ -239,26 +239,26 @@ def longest_run(passage: list[str], text: list[str], inserted: int = INSERTED) -
     where = defaultdict(list)
     for j in range(len(passage) - 1):
         where[passage[j], passage[j + 1]].append(j)
-    begun = {}
-    for p in range(len(text) - 1):
-        for j in where.get((text[p], text[p + 1]), ()):
-            begun[j, p] = True
+    open_: dict[int, int] = {}  # diagonals of stretches that the word before belongs to, and their first text word
     parts = []
-    for j, p in begun:
-        if (j - 1, p - 1) in begun:
+    for p, pair in enumerate(zip(text, text[1:], strict=False)):
+        at = where.get(pair)
+        if at is None and not open_:
             continue
-        n = 2
-        while (j + n - 1, p + n - 1) in begun:
-            n += 1
-        parts.append((j, p, n))
+        now = {}
+        for j in at or ():
+            now[j - p] = open_.pop(j - p, p)
+        parts += [(d + q, q, p - q + 1) for d, q in open_.items()]
+        open_ = now
+    parts += [(d + q, q, len(text) - q) for d, q in open_.items()]
     parts.sort()
     best: list[tuple[int, int, int]] = []  # equal words, stretches, first passage word
-    ended = defaultdict(list)  # stretches by their end in the passage and, in buckets as wide as a gap may be, in the text
+    ended: dict[int, dict[int, list[int]]] = {}  # stretches by their end in the passage and, in buckets as wide as a gap may be, in the text
     width = inserted + 2
     top = 0
     for y, (j, p, n) in enumerate(parts):
         mine = (n, 1, j)
-        near = [x for e in range(j - 2, j + 2) for b in (p // width - 1, p // width, p // width + 1) for x in ended.get((e, b), ())]
+        near = [x for e in range(j - 2, j + 2) if (at := ended.get(e)) for b in (p // width - 1, p // width, p // width + 1) for x in at.get(b, ())]
         for x in sorted(near, reverse=True):
             i, q, m = parts[x]
             gap, extra = j - i - m, p - q - m
@@ -273,7 +273,7 @@ def longest_run(passage: list[str], text: list[str], inserted: int = INSERTED) -
             if now[0] - 4 * now[1] >= mine[0] - 4 * mine[1]:
                 mine = now
         best.append(mine)
-        ended[j + n, (p + n) // width].append(y)
+        ended.setdefault(j + n, {}).setdefault((p + n) // width, []).append(y)
         if mine[0] >= 5 * mine[1]:
             top = max(top, j + n - mine[2])
     return top
