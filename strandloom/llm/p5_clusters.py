@@ -16,7 +16,8 @@ from strandloom.operators.graph import connected_components
 from strandloom.session import cut_lineage, table
 
 RADIUS = 24  # 0.06 of 3 * 136 levels
-SUBSPACES, BLOCK = 17, 2048
+GROUPS = 5  # groups of parts of the entries; a grid spans two parts of one group
+BLOCK = 2048  # members of a cell from which it is compared in block pairs
 
 
 def _least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -33,11 +34,11 @@ def _least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def _cell_star(levels: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within the radius inside one large cell, and the members around each, itself included.
+def _cell_star(levels: np.ndarray, side: np.ndarray, copies: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is within the radius inside one large cell, and the rows around each member, its own included.
 
     Each member is linked to its first near member; two first members are linked if near members have them. That spans
-    the same components as all pairs, of which no list is made. In a block pair, members of the own block are counted elsewhere.
+    the same components as all pairs, of which no list is made. In a block pair, rows of the own block are counted elsewhere.
     """
     t = thermometer(levels)
     n = len(t)
@@ -52,131 +53,107 @@ def _cell_star(levels: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.nd
             both.append(np.stack(np.divmod(np.unique(first[lo + x] * n + first[y]), n)))
     if side.max() == 1 and side.min() == 0:
         near &= side[:, None] != side[None, :]
-        return np.concatenate(both, 1), near.sum(1) + 1
-    return np.concatenate(both, 1), near.sum(1)
+        near[np.arange(n), np.arange(n)] = True
+    return np.concatenate(both, 1), near.astype(np.float32) @ copies.astype(np.float32)
 
 
-def grid_cells(vectors: DataFrame, subspaces: int = SUBSPACES) -> DataFrame:
-    """``(key, id, vec)``: the cells of every vector, one in each subspace of consecutive entries.
+def grid_cells(vectors: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+    """``(key, id, copies, vec)``: the cells of every vector ``(id, copies, vec)``, one in each grid.
 
-    The features are the levels themselves, already four steps of a quantised frequency; a
-    cell is the levels of one subspace. Two vectors at distance r < subspaces must share a
-    cell, as r level steps cannot touch every subspace.
+    The features are the levels themselves, already four steps of a quantised frequency. The entries are cut into
+    ``radius`` + ``groups`` + 1 parts, dealt to the groups; a grid is spanned by two parts of one group, and a cell is the levels of both. Two vectors
+    within the radius differ in at most ``radius`` parts, so more than one part of some group is left the same, and they share a cell.
     """
+    parts = radius + groups + 1
+    pairs = [(i, j) for i in range(parts) for j in range(i + groups, parts, groups)]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.linspace(0, ENTRIES, subspaces + 1).astype(int)
+        cuts = np.linspace(0, ENTRIES, parts + 1).astype(int)
+        wide_as = 4 ** int(np.diff(cuts).max())
+        left, right = (np.array(x) for x in zip(*pairs, strict=True))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = as_rows(batch.column(1), ENTRIES // 4)
-            levels, ids = unpacked(data), batch.column(0).to_numpy()
-            keys = np.empty((len(ids), subspaces), np.int64)
-            for s in range(subspaces):
-                part = levels[:, cuts[s] : cuts[s + 1]].astype(np.int64)
-                keys[:, s] = s + subspaces * (part @ (4 ** np.arange(part.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, subspaces)), as_binary(np.repeat(data, subspaces, 0))], ["key", "id", "vec"])
-
-    return vectors.mapInArrow(cells, "key bigint, id bigint, vec binary")
-
-
-def open_cells(vectors: DataFrame, subspaces: int) -> DataFrame:
-    """``(key, id, vec)``: for every entry the cell of its subspace with this entry left open.
-
-    Two cells that differ in one feature only are adjacent, and share the cell with that feature open. Vectors up to
-    2 * ``subspaces`` - 1 level steps apart differ by one step at most in some subspace, so they share an open cell.
-    """
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                data = as_rows(part.column(2), ENTRIES // 4)
+                levels, n = unpacked(data).astype(np.int64), part.num_rows
+                code = np.stack([levels[:, lo:hi] @ (4 ** np.arange(hi - lo)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], 1)
+                keys = np.arange(len(pairs)) + len(pairs) * (code[:, left] + wide_as * code[:, right])
+                again = pa.array(np.repeat(np.arange(n), len(pairs)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(again) for c in (0, 1, 2))], ["key", "id", "copies", "vec"])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.linspace(0, ENTRIES, subspaces + 1).astype(int)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
-                data = as_rows(rows.column(1), ENTRIES // 4)
-                levels, ids = unpacked(data).astype(np.int64), rows.column(0).to_numpy()
-                keys = np.empty((len(ids), ENTRIES), np.int64)
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    digits = levels[:, lo:hi] * 4 ** np.arange(hi - lo)
-                    keys[:, lo:hi] = np.arange(lo, hi) + ENTRIES * (digits.sum(1, keepdims=True) - digits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, ENTRIES)), as_binary(np.repeat(data, ENTRIES, 0))], ["key", "id", "vec"])
+    return vectors.select("id", "copies", "vec").mapInArrow(cells, "key bigint, id bigint, copies bigint, vec binary")
 
-    return vectors.mapInArrow(cells, "key bigint, id bigint, vec binary")
 
-
-def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK, only_mixed: bool = False) -> DataFrame:
+def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``(a, b, dense)``: each member of a cell with the smallest member that it reaches there in steps of at most ``radius``.
 
     Distances inside a cell are all compared, but only this spanning star leaves the task:
     one row per member, never pairs. Cells of more than ``block`` members are compared in
-    block pairs. ``dense`` is the number of members within the radius, the member included.
-    An id may stand for several vectors; with ``only_mixed``, cells of one id are passed over.
+    block pairs. ``dense`` is the number of rows within the radius in the cell (of a cut one, in the block pair), the member's copies included.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
-            keys, ids, side = (rows.column(c).to_numpy() for c in ("key", "id", "side"))
+            keys, ids, side, copies = (rows.column(c).to_numpy() for c in ("key", "id", "side", "copies"))
             bounds = run_bounds(keys)
-            if only_mixed:
-                several = np.minimum.reduceat(ids, bounds[:-1]) < np.maximum.reduceat(ids, bounds[:-1])
-                kept = np.flatnonzero(np.repeat(several, np.diff(bounds)))
-                if not len(kept):
-                    continue
-                rows, keys, ids, side = rows.take(pa.array(kept)), keys[kept], ids[kept], side[kept]
+            if len(bounds) > len(ids):  # no cell of two
+                continue
+            alone = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
+            if alone.any():
+                kept = np.flatnonzero(~alone)
+                rows, keys, ids, side, copies = rows.take(pa.array(kept)), keys[kept], ids[kept], side[kept], copies[kept]
                 bounds = run_bounds(keys)
             levels = unpacked(as_rows(rows.column("vec"), ENTRIES // 4))
             size = np.diff(bounds)
-            near = np.ones(len(ids), np.int64)
-            few = (size > 1) & (size <= 24)
-            i, j = run_pairs(bounds, few)
+            near = copies.astype(np.float64)
+            mixed = np.repeat((np.maximum.reduceat(side, bounds[:-1]) == 1) & (np.minimum.reduceat(side, bounds[:-1]) == 0), size)
+            i, j = run_pairs(bounds, size <= 24)
             words = bit_words(levels)
             ok = np.zeros(len(i), bool)
             for at in range(0, len(i), 200_000):
                 s = slice(at, at + 200_000)
                 ok[s] = np.bitwise_count(words[i[s]] ^ words[j[s]]).sum(1, dtype=np.int64) <= radius
-            links = [(i[ok], j[ok])]
+            i, j = i[ok], j[ok]
+            links = [(i, j)]
             for r in np.flatnonzero(size > 24):
-                first, within = _cell_star(levels[bounds[r] : bounds[r + 1]], side[bounds[r] : bounds[r + 1]], radius)
-                near[bounds[r] : bounds[r + 1]] = within
+                at = slice(bounds[r], bounds[r + 1])
+                first, within = _cell_star(levels[at], side[at], copies[at], radius)
+                near[at] = within
                 links.append((bounds[r] + first[0], bounds[r] + first[1]))
-            near += np.bincount(i[ok], minlength=len(ids)) + np.bincount(j[ok], minlength=len(ids))
+            own = ~(mixed[i] & (side[i] == side[j]))  # counted in the block's own pair
+            near += np.bincount(i[own], weights=copies[j[own]], minlength=len(ids)) + np.bincount(j[own], weights=copies[i[own]], minlength=len(ids))
             li, lj = (np.concatenate(z) for z in zip(*links, strict=True))
             low = _least_reached(len(ids), li, lj)
             # positions are not in id order: take the smallest id of each reached set
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, low, ids)
-            out = (near > 1) | (low != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(least[low[out]]), pa.array(near[out])], ["a", "b", "dense"])
+            b = least[low]
+            out = (near > copies) | (b != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(b[out]), pa.array(near[out].astype(np.int64))], ["a", "b", "dense"])
 
-    posted = salted(cells, "key", "vec", block)
+    posted = salted(cells, "key", "id", block)
     return by_key(posted).mapInArrow(link, "a bigint, b bigint, dense bigint")
 
 
-def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, subspaces: int = SUBSPACES, block: int = BLOCK) -> DataFrame:
+def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
     """``(id, cluster_id, density)`` for every vector in a cluster of at least two.
 
     Vectors within ``radius`` of one another, directly or over others, share a cluster;
     cluster_id is the smallest id in it. Steps: equal vectors are one grid point with a count;
-    points fall into the cells of ``subspaces`` grids; dense cells (two points or more) link
+    points fall into the cells of the grids (``grid_cells``), in one of which any two points within the radius meet; cells of two points or more link
     the points within the radius; cells with a common point are adjacent, and minimum labels
-    run over these adjacencies to convergence. That finds all pairs up to ``subspaces`` - 1 apart. A second
-    pass joins adjacent cells of coarser grids (``open_cells``) and compares only where clusters meet, which
-    makes the result complete up to ``radius``. ``density`` sums the counts around a vector in
-    its cells of the first pass. ``vectors(id, vec)`` as of ``packed_vectors``; equal vectors and a
+    run over these adjacencies to convergence. ``density`` is the number of rows around a vector, its own copies included, in the
+    densest of its cells. ``vectors(id, vec)`` as of ``packed_vectors``; equal vectors and a
     third of all rows in one cell are fine; no rows give no rows.
     """
     vectors = cut_lineage(vectors)
     points = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    links = cut_lineage(cell_links(grid_cells(points.select("id", "vec"), subspaces), radius, block))
-    labels = cut_lineage(connected_components(links.select("a", "b").distinct()))
-    labelled = cut_lineage(points.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("id"), "vec"))
-    meeting = cell_links(open_cells(labelled, radius // 2 + 1), radius, block, only_mixed=True).where("a <> b").select("a", "b")
-    joined = connected_components(cut_lineage(meeting.distinct())).select(F.col("node").alias("was"), F.col("component").alias("now"))
-    labels = points.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("was", F.coalesce("component", "id"))
-    labels = labels.join(joined, "was", "left").select("id", F.coalesce("now", "component").alias("component")).where("component is not null")
-    density = links.groupBy(F.col("a").alias("id")).agg(F.sum("dense").alias("dense"))
+    links = cut_lineage(cell_links(grid_cells(points, radius, groups), radius, block).groupBy("a", "b").agg(F.max("dense").alias("dense")))
+    labels = connected_components(links.select("a", "b")).select(F.col("node").alias("id"), "component")
+    density = links.groupBy(F.col("a").alias("id")).agg(F.max("dense").alias("dense"))
     known = points.join(labels, "id", "left").join(density, "id", "left")
     known = known.where("component is not null or copies > 1")
-    known = known.select("vec", F.coalesce("component", "id").alias("cluster_id"), (F.coalesce("dense", F.lit(0)) + F.col("copies")).alias("density"))
+    known = known.select("vec", F.coalesce("component", "id").alias("cluster_id"), F.coalesce("dense", "copies").alias("density"))
     return vectors.join(known, "vec").select("id", "cluster_id", "density")
 
 
