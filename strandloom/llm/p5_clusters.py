@@ -16,7 +16,6 @@ from strandloom.operators.graph import connected_components
 from strandloom.session import cut_lineage, table
 
 RADIUS = 24  # 0.06 of 3 * 136 levels
-GROUPS = 5  # groups of parts of the entries; a grid spans two parts of one group
 BLOCK = 2048  # members of a cell from which it is compared in block pairs
 
 
@@ -57,7 +56,12 @@ def _cell_star(levels: np.ndarray, side: np.ndarray, copies: np.ndarray, radius:
     return np.concatenate(both, 1), near.astype(np.float32) @ copies.astype(np.float32)
 
 
-def grid_cells(vectors: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+def grid_groups(points: int) -> int:
+    """Groups for a number of points: more groups mean fewer grids with wider cells. Any number gives the same clusters; this one keeps cells short as points grow."""
+    return 14 if points <= 100_000 else 11 if points <= 1_000_000 else 8 if points <= 10_000_000 else 5
+
+
+def grid_cells(vectors: DataFrame, radius: int, groups: int) -> DataFrame:
     """``(key, id, copies, vec)``: the cells of every vector ``(id, copies, vec)``, one in each grid.
 
     The features are the levels themselves, already four steps of a quantised frequency. The entries are cut into
@@ -135,7 +139,7 @@ def cell_links(cells: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     return by_key(posted).mapInArrow(link, "a bigint, b bigint, dense bigint")
 
 
-def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, groups: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(id, cluster_id, density)`` for every vector in a cluster of at least two.
 
     Vectors within ``radius`` of one another, directly or over others, share a cluster;
@@ -148,7 +152,7 @@ def grid_density_clusters(vectors: DataFrame, radius: int = RADIUS, groups: int
     """
     vectors = cut_lineage(vectors)
     points = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    links = cut_lineage(cell_links(grid_cells(points, radius, groups), radius, block).groupBy("a", "b").agg(F.max("dense").alias("dense")))
+    links = cut_lineage(cell_links(grid_cells(points, radius, groups or grid_groups(points.count())), radius, block).groupBy("a", "b").agg(F.max("dense").alias("dense")))
     labels = connected_components(links.select("a", "b")).select(F.col("node").alias("id"), "component")
     density = links.groupBy(F.col("a").alias("id")).agg(F.max("dense").alias("dense"))
     known = points.join(labels, "id", "left").join(density, "id", "left")

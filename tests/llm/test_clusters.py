@@ -53,13 +53,23 @@ def test_density_prefers_the_middle(spark):
     assert max(got, key=lambda i: (got[i], -i)) == 0
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_pairs_whose_differences_touch_every_subspace(spark, block):
+@pytest.mark.parametrize(("block", "groups"), [(2048, None), (4, None), (2048, 5), (2048, 8), (2048, 11)])
+def test_pairs_whose_differences_touch_every_subspace(spark, block, groups):
     rng = np.random.default_rng(3)
     rows = {}
     for n in range(20):
         base = rng.integers(0, 3, 136)
         spread = np.linspace(0, 135, 24 + n % 2).astype(int)  # 24 steps are within the radius, 25 are not
         rows[10 * n], rows[10 * n + 1] = base, base + np.isin(np.arange(136), spread)
-    got = {r.id: r.cluster_id for r in C.grid_density_clusters(packed_vectors(_frame(spark, rows), "value_id", "level_values"), block=block).collect()}
+    got = {r.id: r.cluster_id for r in C.grid_density_clusters(packed_vectors(_frame(spark, rows), "value_id", "level_values"), groups=groups, block=block).collect()}
     assert got == _brute(rows, 24) and len(got) == 20
+
+
+@pytest.mark.parametrize("block", [2048, 30])
+def test_density_counts_every_row_once(spark, block):
+    rng = np.random.default_rng(2)
+    base = np.ones(136, int)
+    rows = {i: base + (np.arange(136) == i % 7) for i in range(70)}  # seven vectors of ten rows, two steps apart
+    rows |= {100 + i: np.where(rng.random(136) < 0.5, 0, 3) for i in range(5)}
+    got = {r.id: r.density for r in C.grid_density_clusters(packed_vectors(_frame(spark, rows), "value_id", "level_values"), block=block).collect()}
+    assert got == dict.fromkeys(range(70), 70)
