@@ -77,3 +77,30 @@ def percentile_of(f: Column, k: Column) -> Column:
 def border_frequency(p: Column, k: Column) -> Column:
     """Frequency at a percentile: exp(3p + 9) / k^4.5."""
     return F.exp(3 * p + 9) / F.pow(k.cast("double"), F.lit(4.5))
+
+
+def inserted(levels: Column, place: Column, level: Column) -> Column:
+    """``levels`` (an array) with one more level before the 1-based ``place``; a place behind the end appends."""
+    at = F.least(place, F.size(levels) + 1)
+    return F.concat(F.slice(levels, F.lit(1), at - 1), F.array(level), F.slice(levels, at, F.greatest(F.size(levels) - at + 1, F.lit(0))))
+
+
+def replaced(levels: Column, place: Column, level: Column) -> Column:
+    """``levels`` with the level at the 1-based ``place`` replaced; places outside change nothing."""
+    return F.transform(levels, lambda v, i: F.when(i + 1 == place, level).otherwise(v))
+
+
+def without_places(levels: Column, places: Column) -> Column:
+    """``levels`` without those at the 1-based ``places``."""
+    return F.filter(levels, lambda v, i: ~F.array_contains(places, i + 1))
+
+
+def picked(levels: Column, places: Column) -> Column:
+    """The levels at the 1-based ``places`` in their order; null for a place outside."""
+    return F.transform(places, lambda p: F.get(levels, p - 1))
+
+
+def merged(levels: Column, more: Column) -> Column:
+    """Two genomes' levels one behind the other; a null side counts as none."""
+    none = F.array().cast("array<int>")
+    return F.concat(F.coalesce(levels, none), F.coalesce(more, none))

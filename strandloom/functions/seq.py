@@ -83,6 +83,59 @@ def shifts(word: Column, left: bool = False) -> Column:
     return F.transform(letters, lambda c: F.concat(F.substr(word, F.lit(2), n - 1), c))
 
 
+def _letters() -> Column:
+    return F.array(*[F.lit(c) for c in "ACGT"])
+
+
+def expanded(word: Column) -> Column:
+    """All words that a word with N stands for, N read as each of the four letters; null for null."""
+    one = lambda c: F.when(F.upper(c) == "N", _letters()).otherwise(F.array(F.upper(c)))
+    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: one(F.substr(word, i, F.lit(1))))
+    grown = lambda acc, x: F.flatten(F.transform(acc, lambda w: F.transform(x, lambda c: F.concat(w, c))))
+    return F.when(F.length(word) > 0, F.aggregate(each, F.array(F.lit("")), grown))
+
+
+def words_at_distance(word: Column, low: int, high: int) -> Column:
+    """All words whose number of differing letters from ``word`` lies in [low, high], in alphabetical order.
+
+    Substitutions are applied ``high`` times over; each round keeps a word once, so the lists grow with the number of such words.
+    """
+    if not 0 <= low <= high:
+        raise ValueError("bounds are not in order")
+    near = F.array(word)
+    for _ in range(high):
+        near = F.array_distinct(F.concat(near, F.flatten(F.transform(near, substitutions))))
+    return F.array_sort(F.filter(near, lambda w: mismatches(word, w).between(low, high)))
+
+
+def shifts_within(word: Column, most: int, left: bool = False) -> Column:
+    """All words that frame shifts by 1 to ``most`` letters to one side can give, each once."""
+    last, out = F.array(word), None
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: shifts(w, left))))
+        out = last if out is None else F.array_distinct(F.concat(out, last))
+    return out if out is not None else F.array().cast("array<string>")
+
+
+def extensions(word: Column, left: bool = False) -> Column:
+    """The four words one letter longer."""
+    return F.transform(_letters(), lambda c: F.concat(c, word) if left else F.concat(word, c))
+
+
+def deletions(word: Column) -> Column:
+    """The different words that the loss of one letter leaves, none for words of fewer than two letters."""
+    at = F.sequence(F.lit(1), F.length(word))
+    lost = F.transform(at, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.length(word))))
+    return F.when(F.length(word) > 1, F.array_distinct(lost)).otherwise(F.array().cast("array<string>"))
+
+
+def joined_words(a: Column, b: Column) -> Column:
+    """The shortest word that begins with ``a`` and ends with ``b``: they overlap as far as they agree."""
+    n = F.least(F.length(a), F.length(b))
+    fits = F.filter(F.sequence(F.lit(0), n), lambda i: F.substr(a, F.length(a) - i + 1, i) == F.substr(b, F.lit(1), i))
+    return F.concat(a, F.substr(b, F.array_max(fits) + 1, F.length(b)))
+
+
 def mismatches(a: Column, b: Column) -> Column:
     """Differing letters; for unequal lengths the least over all placements of the shorter word."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
@@ -94,6 +147,17 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), F.length(long) - n), at))
 
 
+def mismatch_places(a: Column, b: Column) -> Column:
+    """1-based places at which two words of one length differ; null for different lengths."""
+    at = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
+    return F.when(F.length(a) == F.length(b), F.when(F.length(a) > 0, at).otherwise(F.array().cast("array<int>")))
+
+
+def folded(x: Column, y: Column) -> tuple[Column, Column]:
+    """Coordinates folded into the lower triangle: (y, x) where x > y."""
+    return F.least(x, y), F.greatest(x, y)
+
+
 def count_word(seq: Column, word: Column, both: str | None = None) -> Column:
     """Overlapping occurrences of a word of letters; ``both`` = max, min or average combines the word with its reverse complement. Null for an empty word."""
 

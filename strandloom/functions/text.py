@@ -40,3 +40,13 @@ def ranged(text: Column, low: float, high: float, kind: str = "double") -> Colum
     """A number read from text if it is one within the bounds, else null."""
     n = text.try_cast(kind)
     return F.when((n >= low) & (n <= high), n)
+
+
+# Spellings of true and false.
+TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+
+
+def truth(text: Column) -> Column:
+    """A boolean from its usual spellings in any case; null for anything else."""
+    word = F.lower(F.trim(text.cast("string")))
+    return F.when(word.isin(*TRUE), F.lit(True)).when(word.isin(*FALSE), F.lit(False))

@@ -11,22 +11,28 @@ from strandloom.operators.kmers import word_counts
 from strandloom.session import cut_lineage, each_of, small
 
 
-def strand_counts(counts: DataFrame, markers: DataFrame, method: str = "max") -> DataFrame:
-    """``(id, marker, cnt, length)`` for every read and marker: both strands' counts combined.
+def present_counts(counts: DataFrame, markers: DataFrame, method: str = "max") -> DataFrame:
+    """``(id, marker, cnt, length)`` for the markers that a read holds on some strand: both strands' counts combined.
 
-    ``counts`` as of ``word_counts``; ``markers(marker, kmer)``, a checked broadcast. A marker that a read lacks has 0.
+    ``counts`` as of ``word_counts``; ``markers(marker, kmer)``, a checked broadcast.
     """
     from strandloom.functions.seq import reverse_complement
 
     wanted = markers.select("marker", "kmer").distinct()
     sides = wanted.select("marker", F.col("kmer"), F.lit(0).alias("s")).unionByName(wanted.select("marker", reverse_complement(F.col("kmer")).alias("kmer"), F.lit(1).alias("s")))
-    found = counts.join(small(sides), "kmer").groupBy("id", "marker").agg(F.sum(F.when(F.col("s") == 0, F.col("cnt")).otherwise(0)).alias("a"), F.sum(F.when(F.col("s") == 1, F.col("cnt")).otherwise(0)).alias("b"))
+    found = counts.join(small(sides, 200_000), "kmer").groupBy("id", "marker").agg(F.first("length").alias("length"), F.sum(F.when(F.col("s") == 0, F.col("cnt")).otherwise(0)).alias("a"), F.sum(F.when(F.col("s") == 1, F.col("cnt")).otherwise(0)).alias("b"))
     combine = {"max": F.greatest("a", "b"), "min": F.least("a", "b"), "average": (F.col("a") + F.col("b")) / 2}
     if method not in combine:
         raise ValueError(f"unknown method {method}")
+    return found.select("id", "marker", combine[method].alias("cnt"), "length")
+
+
+def strand_counts(counts: DataFrame, markers: DataFrame, method: str = "max") -> DataFrame:
+    """``present_counts`` for every read and marker; a marker that a read lacks has 0."""
     reads = counts.groupBy("id").agg(F.first("length").alias("length"))
-    cells = each_of(reads, wanted.select("marker").distinct(), "marker")
-    return cells.join(found.select("id", "marker", combine[method].alias("cnt")), ["id", "marker"], "left").select("id", "marker", F.coalesce("cnt", F.lit(0)).alias("cnt"), "length")
+    cells = each_of(reads, markers.select("marker").distinct(), "marker")
+    found = present_counts(counts, markers, method).drop("length")
+    return cells.join(found, ["id", "marker"], "left").select("id", "marker", F.coalesce("cnt", F.lit(0)).alias("cnt"), "length")
 
 
 def read_values(cells: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -39,6 +45,26 @@ def read_values(cells: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return cells.withColumn("value", value)
 
 
+def _match(mean: Column, value: Column) -> Column:
+    """Whole agreement 0..4 of a mean and a value; the mean counts at nine decimals, so that it does not depend on the order of its sum."""
+    return (4 - F.floor(F.round(F.abs(mean - value), 9))).cast("bigint")
+
+
+def read_agreement(counts: DataFrame, model: DataFrame, markers: DataFrame, ks: tuple[int, ...], method: str = "max") -> DataFrame:
+    """``agreement`` straight from word counts: ``(id, label, score)`` for every read and label.
+
+    A read agrees with a label as one that lacks all its markers does, a sum per label, but for the markers that the read
+    has above level 0: only these meet the model, in a join on the marker, and one aggregation sums what they change.
+    """
+    lacking = model.groupBy("label").agg(F.sum(_match(F.col("mean"), F.lit(L.VALUES[0]))).alias("base"), F.count(F.lit(1)).alias("n"))
+    values = read_values(present_counts(counts, markers, method), ks).where(F.col("value") > L.VALUES[0])
+    change = _match(F.col("mean"), F.col("value")) - _match(F.col("mean"), F.lit(L.VALUES[0]))
+    changed = values.join(small(model, 200_000), "marker").groupBy("id", "label").agg(F.sum(change).alias("change"))
+    each = each_of(counts.select("id").distinct(), lacking.select(F.struct("label", "base", "n").alias("_l")), "_l").select("id", "_l.label", "_l.base", "_l.n")
+    score = (F.col("base") + F.coalesce("change", F.lit(0))) / (4.0 * F.col("n"))
+    return each.join(changed, ["id", "label"], "left").select("id", "label", score.alias("score"))
+
+
 def agreement(values: DataFrame, model: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(id, keys, label, score)``: mean of 4 - floor(|mean - value|) over the markers, / 4.
 
@@ -55,29 +81,36 @@ def product_score(values: DataFrame, model: DataFrame) -> DataFrame:
     return joined.groupBy("id", "label").agg(((F.avg(F.col("mean") * F.col("value")) + 2) / 4).alias("score"))
 
 
-def descend(values: DataFrame, model: DataFrame, edges: DataFrame, accuracy: float = 0.5, specificity: float = 0.7, most_levels: int = 6) -> DataFrame:
+def descend(values: DataFrame, model: DataFrame, edges: DataFrame, accuracy: float = 0.5, specificity: float = 0.7, reads: DataFrame | None = None) -> DataFrame:
     """``(id, taxon, identity, path, species_level)``: hits of reads on their way down a tree of node models.
 
     ``model(node, marker, label, mean)``, ``edges(node, label, child)`` with a null child at the end. From each node a read goes to
     every label of at least ``accuracy``; labels of at least ``specificity`` are hits. A read that nothing at a
     node accepts leaves an unresolved hit of that node. All reads move one level per round; the frontier is cut from its lineage.
+    ``values(id, marker, value)`` need rows only for the markers of a read above level 0, the others are -2; ``reads(id)`` names the
+    reads if some may have no such marker. The rounds end when no read is left to move; a tree has no cycle, so more rounds than edges are an error.
     """
-    frontier = cut_lineage(values.select("id").distinct().select("id", F.lit("root").alias("node"), F.lit("Root").alias("path"), F.lit(0.0).alias("before")))
+    rounds = edges.count()
+    lacking = F.lit(L.VALUES[0])
+    base = cut_lineage(model.groupBy("node", "label").agg(F.sum(_match(F.col("mean"), lacking)).alias("base"), F.count(F.lit(1)).alias("n")))
+    present = values.where(F.col("value") > L.VALUES[0])
+    start = (values if reads is None else reads).select("id").distinct()
+    frontier = cut_lineage(start.select("id", F.lit("root").alias("node"), F.lit("Root").alias("path"), F.lit(0.0).alias("before")))
     hits = None
-    for _ in range(most_levels):
-        at = frontier.join(values, "id")
-        joined = at.join(small(model, 200_000), ["node", "marker"])
-        match = 4 - F.floor(F.abs(F.col("mean") - F.col("value")))
-        score = joined.groupBy("id", "node", "path", "before", "label").agg((F.sum(match) / (4.0 * F.count(F.lit(1)))).alias("score"))
+    for _ in range(rounds + 1):
+        change = F.sum(_match(F.col("mean"), F.col("value")) - _match(F.col("mean"), lacking))
+        changed = frontier.select("id", "node").distinct().join(present, "id").join(small(model, 200_000), ["node", "marker"]).groupBy("id", "node", "label").agg(change.alias("change"))
+        each = frontier.join(small(base), "node").join(changed, ["id", "node", "label"], "left")
+        score = each.select("id", "node", "path", "before", "label", ((F.col("base") + F.coalesce("change", F.lit(0))) / (4.0 * F.col("n"))).alias("score"))
         score = cut_lineage(score.join(small(edges), ["node", "label"], "left"))
         found = score.where(F.col("score") >= specificity).select("id", F.col("label").alias("taxon"), F.col("score").alias("identity"), "path", F.col("child").isNull().alias("species_level"))
         lost = score.groupBy("id", "node", "path", "before").agg(F.max("score").alias("m"), F.bool_or(F.col("child").isNotNull()).alias("inner")).where((F.col("m") < accuracy) & F.col("inner"))
         found = found.unionByName(lost.select("id", F.col("node").alias("taxon"), F.col("before").alias("identity"), "path", F.lit(False).alias("species_level")))
         hits = found if hits is None else hits.unionByName(found)
         frontier = cut_lineage(score.where((F.col("score") >= accuracy) & F.col("child").isNotNull()).select("id", F.col("child").alias("node"), F.concat_ws(".", "path", "label").alias("path"), F.col("score").alias("before")))
-        if not frontier.limit(1).count():
-            break
-    return hits
+        if frontier.isEmpty():
+            return hits
+    raise ValueError("the edges have a cycle")
 
 
 def best_hits(hits: DataFrame, read: str, identity: str, path: str, final: str, taxon: str) -> DataFrame:
@@ -115,3 +148,14 @@ def normalised_value(value: Column) -> Column:
     v = value.cast("double")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     return F.when(ok, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), v))).otherwise(F.lit(0.0))
+
+
+def gated(rules: DataFrame, learnt: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """``(id, label, score, learnt)``: a read's calls by its node's model where one exists and is sure, else by the rules.
+
+    ``learnt(id, label, p, entropy)`` are class probabilities of reads whose node has a model; a read is sure if its entropy is at most ``cutoff``.
+    ``rules(id, label, score)`` are the scores of the decision table. A null entropy is not sure; reads without any row have none.
+    """
+    sure = learnt.where(F.col("entropy") <= cutoff)
+    kept = rules.join(sure.select("id").distinct(), "id", "left_anti")
+    return kept.select("id", "label", "score", F.lit(False).alias("learnt")).unionByName(sure.select("id", "label", F.col("p").alias("score"), F.lit(True).alias("learnt")))

@@ -17,9 +17,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     loops keep their node, repeated edges count once, no edges give no rows. Edges are cut from
     their lineage by a reliable checkpoint each round and never reach the driver.
     """
-    raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    raw = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
     nodes = raw.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = cut_lineage(raw.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.isEmpty():
+        return nodes.select("node", F.col("node").alias("component"))
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a"))

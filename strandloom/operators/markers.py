@@ -210,3 +210,33 @@ def summarize_children(features: DataFrame, parents: DataFrame, top: int = 100)
     rows = lifted.select("node", "name", "taxon").distinct()
     cells = rows.join(kept, "node")
     return cells.join(lifted, ["node", "name", "taxon", "marker"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def merge_leaf(features: DataFrame, diverse: tuple[float, float] = (-0.5, 0.5), least: int = 10, absent: int = -2) -> DataFrame:
+    """``(node, k, marker, mean)``: the diverse markers of every leaf node, chosen for each word length on its own and put together.
+
+    ``features(node, name, k, marker, value)`` needs rows for the words that a genome has; the missing ones count as ``absent``, so
+    the matrix is never laid out. Nodes and word lengths are one job.
+    """
+    genomes = features.groupBy("node", "k").agg(F.countDistinct("name").alias("_g"))
+    sums = features.groupBy("node", "k", "marker").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    mean = (F.col("_s") + absent * (F.col("_g") - F.col("_n"))).cast("double") / F.col("_g")
+    means = sums.join(genomes, ["node", "k"]).select("node", "k", "marker", mean.alias("mean"))
+    return select_by_mean(means, ("node", "k"), diverse=diverse, least=least).where("is_diverse").select("node", "k", "marker", "mean")
+
+
+def missing_rows(rows: DataFrame, part: str, titles: list[str]) -> DataFrame:
+    """``(part, titles)`` that another part of a table has and this one lacks: no row means that the parts join row by row.
+
+    ``rows(part, titles)`` with each row once. All titles are expected in all parts; the parts (word lengths, files) are checked to be few.
+    """
+    every = each_of(rows.select(*titles).distinct(), rows.select(part).distinct(), part)
+    return every.select(part, *titles).join(rows.select(part, *titles), [part, *titles], "left_anti")
+
+
+def join_columns(a: DataFrame, b: DataFrame, titles: list[str]) -> DataFrame:
+    """Two wide matrices side by side; ValueError if their title columns do not hold the same rows."""
+    off = a.select(*titles).exceptAll(b.select(*titles)).unionByName(b.select(*titles).exceptAll(a.select(*titles)))
+    if not off.isEmpty():
+        raise ValueError(f"the matrices differ in their rows by {titles}")
+    return a.join(b, titles)

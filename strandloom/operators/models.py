@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -12,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.sources.wdb import wide_matrix
+from strandloom.sources.wdb import column_titles, wide_matrix
 
 KINDS = ("forest", "logistic", "perceptron", "svm")
 
 
 def feature_matrix(features: DataFrame) -> tuple[DataFrame, list[str]]:
     """``(name, taxon, m0..)`` and its column names; the marker titles are kept out of column names."""
-    titles = [r["marker"] for r in features.select("marker").distinct().orderBy("marker").limit(2000).collect()]  # a node has at most hundreds
+    titles = column_titles(features)
     rows = wide_matrix(features.where("taxon is not null"), ["name", "taxon"], titles).fillna(0)
     cols = [f"m{i}" for i in range(len(titles))]
     return rows.toDF("name", "taxon", *cols), cols
@@ -91,3 +93,55 @@ def select_model(features: DataFrame, kinds: tuple[str, ...] = ("forest", "logis
         fitted = train_node(features, kind, seed, trees=50)
         scores[kind] = accuracy(fitted[1]) if fitted else 0.0
     return max(scores, key=lambda x: (scores[x], x)), scores
+
+
+def cluster_indices(features: DataFrame, k: int, seed: int = 42) -> dict[str, float]:
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin indices of k-means clusters on the feature matrix.
+
+    Spreads come from sums per cluster and column; only the k centres, their sizes and spreads reach the driver.
+    """
+    rows, cols = feature_matrix(features)
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
+    model = KMeans(k=k, seed=seed).fit(data)
+    placed = model.transform(data).select("prediction", "features", vector_to_array("features").alias("v"))
+    centres = [c.tolist() for c in model.clusterCenters()]
+    own = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres]), F.col("prediction") + 1)
+    square = F.aggregate(F.zip_with("v", own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    stats = placed.withColumn("q", square).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.avg(F.sqrt("q")).alias("s")).collect()  # at most k rows
+    n = sum(r["n"] for r in stats)
+    mean = [sum(centres[r["prediction"]][i] * r["n"] for r in stats) / n for i in range(len(cols))]
+    gap = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))
+    within, between, used = sum(r["q"] for r in stats), sum(r["n"] * gap(centres[r["prediction"]], mean) ** 2 for r in stats), len(stats)
+    worst = [max(((a["s"] + b["s"]) / d for b in stats if b is not a and (d := gap(centres[a["prediction"]], centres[b["prediction"]])) > 0), default=0.0) for a in stats]
+    harabasz = between / (used - 1) / (within / (n - used)) if used > 1 and n > used and within > 0 else 0.0
+    return {"silhouette": ClusteringEvaluator().evaluate(model.transform(data)) if used > 1 else 0.0, "calinski_harabasz": harabasz, "davies_bouldin": sum(worst) / used}
+
+
+def fold_accuracy(features: DataFrame, kind: str, folds: int = 5, seed: int = 42, trees: int = 50) -> float:
+    """Mean accuracy of a kind of model over ``folds`` folds, into which the rows of every taxon are dealt by hash order."""
+    rows, cols = feature_matrix(features)
+    order = W.partitionBy("taxon").orderBy(F.xxhash64(F.lit(seed), "name"), "name")
+    rows = rows.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds))).cache()
+    classes = rows.select("taxon").distinct().count()
+    scores = []
+    for fold in range(folds):
+        test = rows.where(F.col("fold") == fold)
+        if not test.isEmpty():
+            scores.append(accuracy(node_model(kind, cols, classes, seed, trees).fit(rows.where(F.col("fold") != fold)).transform(test)))
+    rows.unpersist()
+    return sum(scores) / len(scores) if scores else 0.0
+
+
+def save_models(models: dict[str, PipelineModel], path: str) -> None:
+    """Fitted models of nodes, each in a folder named by the node in file-safe form; existing ones are replaced."""
+    for node, model in models.items():
+        model.write().overwrite().save(f"{path}/{_safe(node)}")
+
+
+def load_model(path: str, node: str) -> PipelineModel:
+    """The saved model of one node."""
+    return PipelineModel.load(f"{path}/{_safe(node)}")
+
+
+def _safe(node: str) -> str:
+    return "".join(c if c.isalnum() or c in "-." else f"_{ord(c):x}_" for c in node)

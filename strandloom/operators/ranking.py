@@ -17,8 +17,8 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank", part
     deterministic. An empty input gives an empty result. The window runs over one row per
     partition, never over the data.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without a number of partitions, adaptive execution makes as many as the data fill
+    placed = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     # the id is (partition << 33) + position inside the partition
     placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)

@@ -73,3 +73,56 @@ def depth_cuts(nodes: DataFrame, sectors: int = 4) -> DataFrame:
     edges = nodes.agg(F.percentile("depth", F.array(*[F.lit(i / sectors) for i in range(1, sectors)])).alias("e"))
     cut = edges.select(F.posexplode("e").alias("sector", "edge"))  # a row per sector
     return F.broadcast(cut).join(nodes, (F.col("depth") >= F.col("edge")) & (F.col("depth") - 1 < F.col("edge"))).select((F.col("sector") + 1).alias("sector"), "path", "leaves")
+
+
+def bottom_up(nodes: DataFrame, diverse: tuple[float, float] = (-0.5, 0.5), common: tuple[float, float] = (-1.0, 1.0), increment: float = 0.1) -> DataFrame:
+    """Nodes in the order of a summary, deepest first, with the thresholds of their level: ``increment`` wider per level up.
+
+    ``place`` comes from a distributed rank. No nodes give no rows.
+    """
+    from strandloom.operators.ranking import global_rank
+
+    deepest = nodes.agg(F.max("depth").alias("_d"))
+    up = F.col("_d") - F.col("depth")
+    rows = nodes.crossJoin(F.broadcast(deepest)).select(  # one-row side
+        "path",
+        "depth",
+        (F.lit(diverse[0]) - increment * up).alias("diverse_low"),
+        (F.lit(diverse[1]) + increment * up).alias("diverse_high"),
+        (F.lit(common[0]) - increment * up).alias("common_low"),
+        (F.lit(common[1]) + increment * up).alias("common_high"),
+    )
+    return global_rank(rows, [F.desc("depth"), F.col("path")], "place")
+
+
+def path_distance(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds ``shared_depth``, ``distance`` (steps over the deepest common node) and ``relative`` (of the sum of both depths) of two paths (arrays)."""
+    at = F.sequence(F.lit(0), F.least(F.size(a), F.size(b)))
+    shared = F.array_max(F.filter(at, lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
+    both = F.size(a) + F.size(b)
+    steps = both - 2 * F.col("shared_depth")
+    return rows.withColumn("shared_depth", shared).withColumn("distance", steps).withColumn("relative", F.when(both > 0, steps / both).otherwise(F.lit(0.0)))
+
+
+def admixture(leaves: DataFrame, group: str, parts: str = "parts") -> DataFrame:
+    """``(group, members, others, admixture)``: leaves of other groups below the deepest common node of a group, and their share of all leaves there."""
+    rows = leaves.where(F.size(parts) > 0)
+    steps = rows.select(group, F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), ">").alias("path")))).alias("s"))
+    steps = steps.select(group, "s.depth", "s.path")
+    total = steps.groupBy("path", "depth").agg(F.count(F.lit(1)).alias("_all"))
+    own = steps.where(F.col(group).isNotNull()).groupBy(group, "path", "depth").agg(F.count(F.lit(1)).alias("members"))
+    whole = own.withColumn("_n", F.max("members").over(W.partitionBy(group))).where("members = _n")
+    deepest = whole.groupBy(group).agg(F.max(F.struct("depth", "path", "members")).alias("d")).select(group, "d.depth", "d.path", "d.members")
+    others = F.col("_all") - F.col("members")
+    return deepest.join(total, ["path", "depth"]).select(group, "members", others.alias("others"), (others / F.col("_all")).alias("admixture"))
+
+
+def overlap(leaves: DataFrame, group: str, parts: str = "parts") -> DataFrame:
+    """``(a, b, nodes)``: tree nodes below which two groups, a < b, both have leaves.
+
+    Groups meet by an equi-join on the node; each has a row per node only, however many leaves it has there.
+    """
+    rows = leaves.where(F.col(group).isNotNull() & (F.size(parts) > 0))
+    steps = rows.select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ">"))).alias("path")).distinct()
+    both = steps.withColumnRenamed(group, "a").join(steps.withColumnRenamed(group, "b"), "path").where("a < b")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("nodes"))

@@ -68,17 +68,19 @@ def divergency(words: DataFrame, *keys: str) -> DataFrame:
 
     Divergency is ten times the variance of the levels (as 0, .25, .75, 1) over that of the most
     divided sample of the same size (half 0, half 1); 0 for fewer than two entries. Commonality is
-    ten times their mean, rareness its complement.
+    ten times their mean, rareness its complement. Sums are whole numbers of quarters and each result is one
+    division, so it does not depend on the order of the rows.
     """
-    value = L.on_scale(F.col("level"), L.SAMPLE)
-    agg = words.where("level is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_pop(value).alias("_v"), F.avg(value).alias("_m"))
-    ones = F.floor(F.col("n") / 2) / F.col("n")
+    quarters = L.on_scale(F.col("level"), tuple(int(4 * v) for v in L.SAMPLE)).cast("bigint")
+    agg = words.where("level is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(quarters).alias("_s"), F.sum(quarters * quarters).alias("_q"))
+    half = F.floor(F.col("n") / 2)
+    spread = 10 * (F.col("n") * F.col("_q") - F.col("_s") * F.col("_s"))
     return agg.select(
         *keys,
         "n",
-        F.when(F.col("n") < 2, F.lit(0.0)).otherwise(10 * F.col("_v") / (ones * (1 - ones))).alias("divergency"),
-        (10 * F.col("_m")).alias("commonality"),
-        (10 - 10 * F.col("_m")).alias("rareness"),
+        F.when(F.col("n") < 2, F.lit(0.0)).otherwise(spread / (16 * half * (F.col("n") - half))).alias("divergency"),
+        (10 * F.col("_s") / (4 * F.col("n"))).alias("commonality"),
+        ((40 * F.col("n") - 10 * F.col("_s")) / (4 * F.col("n"))).alias("rareness"),
     )
 
 
@@ -129,3 +131,89 @@ def without_dominated(scores: DataFrame, score: str) -> DataFrame:
     rival = scores.select(F.col("kmer").alias("other"), F.col(score).alias("_r"))
     beaten = pairs.join(rival, "other").where("_r > _s or (_r = _s and other < kmer)").select("kmer").distinct()
     return scores.join(beaten, "kmer", "left_anti")
+
+
+def lookup(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every word of ``wanted(kmer)`` with its genomes and counts on both strands: ``(kmer, acc, cnt, rc_cnt)``.
+
+    A genome has a row if it holds the word or its reverse complement; the missing side counts 0. Null and repeated wanted words count once.
+    """
+    from strandloom.functions.seq import reverse_complement
+
+    each = wanted.select("kmer").where("kmer is not null").distinct()
+    sides = each.select("kmer", F.col("kmer").alias("at"), F.lit(0).alias("side")).unionByName(each.select("kmer", reverse_complement(F.col("kmer")).alias("at"), F.lit(1).alias("side")))
+    found = words.select(F.col("kmer").alias("at"), "acc", "cnt").join(sides, "at")
+    count = lambda side: F.sum(F.when(F.col("side") == side, F.col("cnt")).otherwise(0))
+    return found.groupBy("kmer", "acc").agg(count(0).alias("cnt"), count(1).alias("rc_cnt"))
+
+
+def pop_words(words: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(popped, rest)``: the entries of the words ``taken(kmer)``, and the database without them."""
+    each = taken.select("kmer").distinct()
+    return words.join(each, "kmer", "left_semi"), words.join(each, "kmer", "left_anti")
+
+
+def next_words(words: DataFrame) -> DataFrame:
+    """``(k, kmer, next)``: the word behind each stored one in alphabetical order, null behind the last of its length.
+
+    The window is over the different words of one length, at most 4^k rows.
+    """
+    each = words.select("k", "kmer").distinct()
+    return each.withColumn("next", F.lead("kmer").over(W.partitionBy("k").orderBy("kmer")))
+
+
+def merge_databases(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two databases ``(acc, k, x, y, kmer, cnt)`` as one: the counts of an entry of both are added."""
+    both = a.select("acc", "k", "x", "y", "kmer", "cnt").unionByName(b.select("acc", "k", "x", "y", "kmer", "cnt"))
+    return both.groupBy("acc", "k", "x", "y", "kmer").agg(F.sum("cnt").alias("cnt"))
+
+
+def delete_genomes(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """``registry(acc, genome_id)`` without the accessions of ``gone(acc)``; the ids behind move up, so they stay 1..n."""
+    left = registry.join(gone.select("acc").distinct(), "acc", "left_anti")
+    return global_rank(left.drop("genome_id").withColumn("_was", F.lit(0)), [F.col("acc")], "genome_id").drop("_was")
+
+
+def count_genomes(sequences: DataFrame, k: int, target: int, chunks: int) -> DataFrame:
+    """``(acc, k, x, y, kmer, cnt, level)`` of genomes ``(acc, seq)``: depleted to ``target`` bases in ``chunks``, counted, levelled.
+
+    Only the lower triangle x <= y is kept. Null accessions and sequences have no rows; a sequence shorter than ``target`` counts whole.
+    """
+    from strandloom.functions.seq import deplete, word_x, word_y
+    from strandloom.operators.kmers import abundance, word_counts
+
+    short = sequences.where("acc is not null and seq is not null").select("acc", deplete(F.col("seq"), target, chunks).alias("seq"))
+    counts = abundance(word_counts(short, "acc", "seq", (k,)), k)
+    placed = counts.select(F.col("id").alias("acc"), "k", word_x(F.col("kmer")).alias("x"), word_y(F.col("kmer")).alias("y"), "kmer", "cnt", "level")
+    return placed.where("x <= y")
+
+
+def upsert_genomes(words: DataFrame, sequences: DataFrame, k: int, target: int, chunks: int) -> DataFrame:
+    """``words`` with the entries of length ``k`` of every genome in ``sequences(acc, seq)`` replaced by a new count of it (see ``count_genomes``)."""
+    new = count_genomes(sequences, k, target, chunks)
+    gone = sequences.where("acc is not null and seq is not null").select("acc").distinct().withColumn("k", F.lit(k))
+    kept = words.join(gone, ["acc", "k"], "left_anti")
+    return kept.select("acc", "k", "x", "y", "kmer", "cnt", "level").unionByName(new)
+
+
+def without_repeats(ranked: DataFrame, value: str, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` words per key by ``value``; of neighbours in that order that are each other's reverse complement the first stays."""
+    from strandloom.functions.seq import reverse_complement
+
+    order = W.partitionBy(*keys).orderBy(F.desc(value), F.length("kmer"), "kmer")
+    before = F.lag("kmer").over(order)
+    kept = ranked.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != reverse_complement(F.col("kmer")))).drop("_b")
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def median_gaps(words: DataFrame, reference: str) -> DataFrame:
+    """Each genome against one: ``(acc, words, differing, most, median_gap)`` over the words that both hold.
+
+    ``differing`` sums the thermometer bits in which the levels differ, ``most`` is three per word; ``median_gap`` is the mean distance of rank medians.
+    """
+    median = L.on_scale(F.col("level"), L.MEDIANS)
+    known = words.where("level is not null").select("acc", "k", "kmer", "level", median.alias("m"))
+    one = known.where(F.col("acc") == reference).select("k", "kmer", F.col("level").alias("rl"), F.col("m").alias("rm"))
+    both = known.where(F.col("acc") != reference).join(one, ["k", "kmer"])
+    gap = F.sum(F.abs(F.col("level") - F.col("rl")))
+    return both.groupBy("acc").agg(F.count(F.lit(1)).alias("words"), gap.cast("bigint").alias("differing"), (3 * F.count(F.lit(1))).alias("most"), F.avg(F.abs(F.col("m") - F.col("rm"))).alias("median_gap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import levels as L
-from strandloom.operators import classify, distances, kmers, models, trees
+from strandloom.operators import classify, distances, kmers, linkage, models
 from strandloom.operators import markers as M
 from strandloom.operators.vectors import vector_features, word_domain_size
 from strandloom.plans import sql
@@ -132,11 +132,11 @@ def padding_markers(spark, d):
     return M.padding_markers(_present(spark, d), 40)
 
 
-@query()
+@query(f"{_BASE} SELECT right(taxon, 6) AS node, taxon, count(DISTINCT name) AS names, count(DISTINCT marker) AS markers, sum(value)::BIGINT AS values FROM features WHERE taxon IS NOT NULL GROUP BY ALL")
 def node_summary(spark, d):
     """Features of the inner nodes one level above the taxa, by the last letters of their names."""
     rows = features(spark, d).where("taxon is not null").select(F.col("taxon").alias("node"), "name", "taxon", "marker", "value")
-    ends = rows.select("node").distinct().select("node", F.substr("node", F.length("node") - 5, F.lit(6)).alias("parent"), F.col("node").alias("title"))
+    ends = rows.select("node").distinct().select("node", F.right("node", F.lit(6)).alias("parent"), F.col("node").alias("title"))
     s = M.summarize_children(rows, ends)
     return s.groupBy("node", "taxon").agg(F.countDistinct("name").alias("names"), F.countDistinct("marker").alias("markers"), F.sum("value").alias("values"))
 
@@ -168,101 +168,116 @@ def nearest_profile(spark, d):
     return near.groupBy("name").agg(F.min_by("taxon", F.struct("steps", "taxon")).alias("nearest"), F.min("steps").alias("steps"))
 
 
-def _taxon_tree(spark, d, build):
-    titles, dist = trees.leaves_of(distances.level_distances(cut_lineage(taxon_levels(spark, d))))
-    return trees.tree_frame(spark, build(titles, dist))
+def _taxon_distances(spark, d):
+    return distances.level_distances(cut_lineage(taxon_levels(spark, d)))
 
 
 @query()
 def upgma_tree(spark, d):
-    """Average-linkage tree of the taxa."""
-    return _taxon_tree(spark, d, trees.upgma)
-
-
-@query()
-def nj_tree(spark, d):
-    """Neighbour-joining tree of the taxa."""
-    return _taxon_tree(spark, d, trees.neighbour_joining)
-
-
-@query()
-def spectral_tree(spark, d):
-    """Spectral hierarchy of the taxa."""
-    return _taxon_tree(spark, d, trees.spectral_hierarchy)
+    """Average-linkage tree of the taxa."""
+    return linkage.linkage_tree(_taxon_distances(spark, d), "average")
 
 
-@query(f"{_BASE}, s AS (SELECT taxon, count(DISTINCT name) AS n FROM features WHERE taxon IS NOT NULL GROUP BY taxon), c AS (SELECT count(*) AS c, count(*) FILTER (level = 0) AS z FROM features WHERE taxon IS NOT NULL) SELECT sum(n)::BIGINT AS genomes, count(*) AS classes, round(max(n) / min(n)::DOUBLE, 6) AS balance, 0::DOUBLE AS sparsity, 0::DOUBLE AS missing FROM s")
+@query(f"{_BASE}, s AS (SELECT taxon, count(DISTINCT name) AS n FROM features WHERE taxon IS NOT NULL GROUP BY taxon), c AS (SELECT count(*) AS c, count(*) FILTER (level = 0) AS z FROM features WHERE taxon IS NOT NULL) SELECT sum(n)::BIGINT AS genomes, count(*) AS classes, round(max(n) / min(n)::DOUBLE, 6) AS balance, (SELECT count(*) FILTER (value = 0)::DOUBLE / count(*) FROM features WHERE taxon IS NOT NULL) AS sparsity, (SELECT count(*) FILTER (value IS NULL)::DOUBLE / count(*) FROM features WHERE taxon IS NOT NULL) AS missing FROM s")
 def class_statistics(spark, d):
     """Class balance, sparsity and missing cells of the feature table."""
     s = models.class_statistics(features(spark, d).where("taxon is not null"))
     return s.withColumn("balance", F.round("balance", 6))
 
 
-def _model(spark, d):
-    """Mean value per marker and taxon, for taxa of at least ``LEAST_GENOMES`` vectors."""
+def _model(spark, d, least=LEAST_GENOMES):
+    """Mean value per marker and taxon, for taxa of at least ``least`` vectors."""
     f = features(spark, d).where("taxon is not null")
     g = f.groupBy("marker", F.col("taxon").alias("label")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return g.where(F.col("n") >= LEAST_GENOMES).select("marker", "label", "mean")
+    return g.where(F.col("n") >= least).select("marker", "label", "mean")
 
 
-_READS = f"""{_BASE}, {sql.SEQS}, {sql.counts(4)}, model AS (SELECT marker, taxon AS label, avg(value) AS mean FROM features WHERE taxon IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST_GENOMES}),
-  long AS (SELECT * FROM counts4 WHERE length >= 1000),
+def _reads_sql(shortest: int, least: int) -> str:
+    return f"""{_BASE}, {sql.SEQS}, {sql.counts(4)}, model AS (SELECT marker, taxon AS label, avg(value) AS mean FROM features WHERE taxon IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+  long AS (SELECT * FROM counts4 WHERE length >= {shortest}),
   ids AS (SELECT DISTINCT id, length FROM long),
   cells AS (SELECT ids.id, d.marker, greatest(coalesce(a.cnt, 0), coalesce(b.cnt, 0)) AS cnt, ids.length FROM ids CROSS JOIN domain d LEFT JOIN long a ON a.id = ids.id AND a.kmer = d.kmer LEFT JOIN long b ON b.id = ids.id AND b.kmer = {sql.rc('d.kmer')}),
-  vals AS (SELECT id, marker, {sql.scale(sql.level(4, 'cnt', 'length', L.THRESHOLDS[4]), L.VALUES)} AS value FROM cells),
-  scores AS (SELECT id, label, round(sum(4 - floor(round(abs(mean - value), 9))) / (4::DOUBLE * count(*)), 6) AS score FROM vals JOIN model USING (marker) GROUP BY ALL)"""
+  vals AS (SELECT id, marker, {sql.scale(sql.level(4, 'cnt', 'length', L.THRESHOLDS[4]), L.VALUES)} AS value FROM cells)"""
+
+
+_SCORES = "scores AS (SELECT id, label, round(sum(4 - floor(round(abs(mean - value), 9))) / (4::DOUBLE * count(*)), 6) AS score FROM vals JOIN model USING (marker) GROUP BY ALL)"
+_READS = f"{_reads_sql(1000, LEAST_GENOMES)},\n  {_SCORES}"
 
 
-def read_scores(spark, d):
-    """Agreement of every record of 1,000 bases or more with every taxon."""
-    model = cut_lineage(_model(spark, d))
+def _record_counts(spark, d, shortest):
+    """Four-letter words of the records of ``shortest`` letters or more, the markers and the reads."""
+    n = F.length(F.regexp_replace("seq", r"\s+", ""))
+    records = table(spark, d, "fasta_records").where("seq is not null").where(n >= shortest)
+    counts = cut_lineage(kmers.word_counts(records, "record_id", "seq", (4,)))
     domain = features(spark, d).select("marker").distinct().withColumn("kmer", F.split("marker", r"\|")[0])
-    markers = cut_lineage(domain)
-    records = table(spark, d, "fasta_records").where("seq is not null")
-    values = classify.read_marker_values(records, "record_id", "seq", markers, (4,), shortest=1000)
-    match = 4 - F.floor(F.round(F.abs(F.col("mean") - F.col("value")), 9))
-    joined = values.join(small(model, 200_000), "marker")
-    return joined.groupBy("id", "label").agg(F.round(F.sum(match) / (4.0 * F.count(F.lit(1))), 6).alias("score"))
+    return counts, cut_lineage(domain)
 
 
-@query(f"{_READS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS place FROM scores) SELECT id, label, score FROM t WHERE place <= 3")
-def classified_reads(spark, d):
-    """The three taxa that agree best with each record."""
+def _best_taxa(spark, d, shortest, least):
     from pyspark.sql import Window as W
 
+    counts, markers = _record_counts(spark, d, shortest)
+    scores = classify.read_agreement(counts, cut_lineage(_model(spark, d, least)), markers, (4,))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "label"))
-    return read_scores(spark, d).withColumn("place", best).where("place <= 3").select("id", "label", "score")
+    return scores.withColumn("score", F.round("score", 6)).withColumn("place", best).where("place <= 3").select("id", "label", "score")
 
 
-@query()
+@query(f"{_READS}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS place FROM scores) SELECT id, label, score FROM t WHERE place <= 3")
+def classified_reads(spark, d):
+    """The three taxa that agree best with each record of 1,000 letters or more."""
+    return _best_taxa(spark, d, 1000, LEAST_GENOMES)
+
+
+@query(f"{_reads_sql(0, 1)}, {_SCORES}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS place FROM scores) SELECT id, label, score FROM t WHERE place <= 3")
+def classified_records(spark, d):
+    """The three taxa, of all, that agree best with each record of any length."""
+    return _best_taxa(spark, d, 0, 1)
+
+
+_MATCH = "round(sum(4 - floor(round(abs(mean - value), 9))) / (4::DOUBLE * count(*)), 9)"
+
+
+@query(
+    f"""{_reads_sql(0, 1)}, top AS (SELECT marker, right(label, 6) AS label, avg(mean) AS mean FROM model GROUP BY ALL),
+  first AS (SELECT id, label, {_MATCH} AS score FROM vals JOIN top USING (marker) GROUP BY ALL),
+  second AS (SELECT v.id, right(m.label, 6) AS node, m.label, {_MATCH.replace('mean', 'm.mean').replace('value', 'v.value')} AS score FROM first f JOIN model m ON right(m.label, 6) = f.label JOIN vals v ON v.id = f.id AND v.marker = m.marker WHERE f.score >= 0.5 GROUP BY ALL),
+  hits AS (SELECT id, label AS taxon, score AS identity, 'Root' AS path, false AS species_level FROM first WHERE score >= 0.7
+    UNION ALL SELECT id, 'root', 0::DOUBLE, 'Root', false FROM first GROUP BY id HAVING max(score) < 0.5
+    UNION ALL SELECT id, label, score, 'Root.' || node, true FROM second WHERE score >= 0.7),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY species_level DESC, CASE WHEN species_level THEN 0 ELSE -len(string_split(path, '.')) END, identity DESC, taxon, path) AS place FROM hits)
+SELECT id, taxon, round(identity, 6) AS identity, path, species_level, place::INTEGER AS place FROM r WHERE species_level OR place = 1"""
+)
 def classified_descent(spark, d):
-    """Records descending a two-level tree: groups of taxa by name ending, then taxa."""
-    model = cut_lineage(_model(spark, d))
-    group = F.substr("label", F.length("label") - 5, F.lit(6))
+    """Records descending a two-level tree: groups of taxa by the last six letters of their names, then taxa."""
+    model = cut_lineage(_model(spark, d, 1))
+    group = F.right("label", F.lit(6))
     top = model.groupBy("marker", group.alias("label")).agg(F.avg("mean").alias("mean")).select(F.lit("root").alias("node"), "marker", "label", "mean")
     low = model.select(group.alias("node"), "marker", "label", "mean")
     edges = top.select("node", "label").distinct().withColumn("child", F.col("label")).unionByName(low.select("node", "label").distinct().withColumn("child", F.lit(None).cast("string")))
-    markers = cut_lineage(model.select("marker").distinct().withColumn("kmer", F.split("marker", r"\|")[0]))
-    records = table(spark, d, "fasta_records").where("seq is not null")
-    values = cut_lineage(classify.read_marker_values(records, "record_id", "seq", markers, (4,), shortest=1000))
-    hits = classify.descend(values, top.unionByName(low), cut_lineage(edges))
-    return classify.best_hits(hits, "id", "identity", "path", "species_level", "taxon")
+    counts, markers = _record_counts(spark, d, 0)
+    values = cut_lineage(classify.read_values(classify.present_counts(counts, markers), (4,)))
+    hits = classify.descend(values, cut_lineage(top.unionByName(low)), cut_lineage(edges), reads=counts.select("id").distinct())
+    best = classify.best_hits(hits.withColumn("identity", F.round("identity", 9)), "id", "identity", "path", "species_level", "taxon")
+    return best.withColumn("identity", F.round("identity", 6))
 
 
 @query()
 def forest_predictions(spark, d):
     """Held-out predictions of a random forest over the taxa, with class probabilities (M2, M7)."""
     sized = features(spark, d).where("taxon is not null")
-    model, test = models.train_node(sized, "forest", trees=30)
+    model, test = models.train_node(sized, "forest")
     p = classify.probability_report(models.class_probabilities(test, model), "name", "p")
     return p.select("name", "taxon", "label", "p", "odds_gap", "entropy")
 
 
-@query()
+_HEADER = r"regexp_replace(regexp_replace(lower(split_part(description, ' ', 1)), '\s+', '', 'g'), 'sp\.$', '')"
+
+
+@query(f"WITH {sql.SEQS}, {sql.counts(4)}, names AS (SELECT record_id AS id, t AS taxon FROM (SELECT record_id, {_HEADER} AS t FROM fasta_records) WHERE t NOT IN ('', 'none', 'na', 'nan', '-', 'unknown')) SELECT taxon, kmer, sum(cnt)::BIGINT AS cnt, round(avg({sql.level(4, 'cnt', 'length', L.THRESHOLDS[4])}), 6) AS level FROM counts4 JOIN names USING (id) GROUP BY ALL")
 def spectrum_of_taxa(spark, d):
     """4-letter words per taxon named in a record's description, with the mean level."""
     from strandloom.operators.vectors import taxon_form
 
     names = table(spark, d, "fasta_records").select(F.col("record_id").alias("id"), taxon_form(F.split("description", " ")[0]).alias("taxon")).where("taxon is not null")
     c = kmers.abundance(kmers.word_counts(table(spark, d, "fasta_records"), "record_id", "seq", (4,)), 4)
-    return c.join(names, "id").groupBy("taxon", "kmer").agg(F.sum("cnt").alias("cnt"), F.avg("level").alias("level"))
+    return c.join(names, "id").groupBy("taxon", "kmer").agg(F.sum("cnt").alias("cnt"), F.round(F.avg("level"), 6).alias("level"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import levels as L
 from strandloom.functions import seq as S
 from strandloom.functions.names import accession_form
-from strandloom.operators import kmers, reads
-from strandloom.operators.vectors import taxon_form
+from strandloom.operators import kmers
 from strandloom.plans import sql
 from strandloom.session import table, wide
 from strandloom.sources.sequences import SPACER, concatenate
@@ -140,21 +139,8 @@ def sequence_profile(spark, d):
     return s.select("record_id", F.length("seq").cast("bigint").alias("n"), left("[^GC]").alias("gc"), left("[ACGT]").alias("unknown"))
 
 
-def _quotas(spark, d):
-    rows = table(spark, d, "fasta_records").where("seq is not null").select(taxon_form(F.split("description", " ")[0]).alias("taxon"), "record_id", "seq").where("taxon is not null")
-    files = rows.select("taxon").distinct()
-    return rows, reads.read_quotas(files, "taxon", 1000)
-
-
-@query()
-def read_quotas(spark, d):
-    """Reads to simulate per taxon, together 1,000."""
-    return _quotas(spark, d)[1]
-
-
-@query()
-def simulated_reads(spark, d):
-    """1,000 simulated reads of 200 to 800 bases in FASTQ parts."""
-    rows, quotas = _quotas(spark, d)
-    r = reads.simulate_reads(rows, "taxon", "record_id", "seq", quotas)
-    return r.withColumn("quality", reads.qualities(F.col("seq")))
+@query(f"WITH {sql.SEQS} SELECT record_id, len(seq) AS n, len(regexp_replace(seq, '[^GC]', '', 'g')) AS gc, len(regexp_replace(seq, '[ACGT]', '', 'g')) AS unknown FROM seqs")
+def sequence_lengths(spark, d):
+    """Length, G and C, and unknown letters of every sequence (F28 without bounds)."""
+    left = lambda p: F.length(F.regexp_replace("seq", p, "")).cast("bigint")
+    return seqs(spark, d).select("record_id", F.length("seq").cast("bigint").alias("n"), left("[^GC]").alias("gc"), left("[ACGT]").alias("unknown"))

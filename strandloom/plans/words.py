@@ -310,3 +310,37 @@ def profile_distance(spark, d):
     x = o.join(small(e), "kmer").withColumn("m", F.when(F.col("e") >= 0.5, 0.0).otherwise(1.0))
     gap = lambda c: F.sum((1 + (F.col(c) - F.col("e")) / (2 - F.col("e"))) * (F.col(c) - F.col("e")) * (F.col(c) - F.col("e")))
     return x.groupBy("acc").agg(r6(10 * F.sqrt(gap("o") / gap("m"))).alias("distance"))
+
+
+@query(
+    f"""WITH {sql.WORDS}, s AS (SELECT kmer, sum(cnt)::BIGINT AS cnt FROM words GROUP BY kmer),
+  n AS (SELECT kmer, cnt, {sql.rc('kmer')} AS other FROM s
+    UNION SELECT kmer, cnt, left(kmer, i - 1) || c || substr(kmer, i + 1) FROM (SELECT kmer, cnt, unnest(range(1, len(kmer) + 1)) AS i FROM s), (SELECT unnest(['A', 'C', 'G', 'T']) AS c)
+    UNION SELECT kmer, cnt, substr(kmer, 2) || c FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS c)
+    UNION SELECT kmer, cnt, c || left(kmer, len(kmer) - 1) FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS c))
+SELECT kmer, cnt FROM s WHERE kmer NOT IN (SELECT n.kmer FROM n JOIN s AS o ON o.kmer = n.other WHERE n.other <> n.kmer AND (o.cnt > n.cnt OR (o.cnt = n.cnt AND o.kmer < n.kmer)))"""
+)
+def nonredundant_words_all(spark, d):
+    """Words of every length that no neighbour outnumbers (K6, as local maxima)."""
+    s = cut_lineage(words(spark, d).groupBy("kmer").agg(F.sum("cnt").alias("cnt")))
+    return wdb.without_dominated(s, "cnt")
+
+
+@query(
+    f"""WITH {sql.WORDS}, t AS (SELECT acc, k, sum(cnt)::DOUBLE AS total FROM words GROUP BY ALL),
+  o AS (SELECT acc, k, kmer, CASE WHEN p < 0.05 THEN 0 WHEN p > 0.95 THEN 1 ELSE p END AS o FROM (SELECT acc, k, kmer, (ln(1e5::DOUBLE * cnt / total) + 4.5 * ln(k) - 9) / 3 AS p FROM words JOIN t USING (acc, k) WHERE cnt > 0)),
+  e AS (SELECT k, kmer, avg({sql.scale('level', L.BORDERS)} - 1) / 10 AS e FROM words WHERE level IS NOT NULL GROUP BY ALL),
+  x AS (SELECT acc, k, sum((1 + (o - e) / (2 - e)) * (o - e) * (o - e)) AS c, sum((1 + (m - e) / (2 - e)) * (m - e) * (m - e)) AS w FROM (SELECT acc, k, o, e, CASE WHEN e >= 0.5 THEN 0 ELSE 1 END AS m FROM o JOIN e USING (k, kmer)) GROUP BY ALL)
+SELECT acc, k, round(10 * sqrt(c / nullif(w, 0)), 5) AS distance FROM x"""
+)
+def profile_distances(spark, d):
+    """Weighted distance of each genome's words to the mean profile, 0..10, for every word length."""
+    from pyspark.sql import Window as W
+
+    w = words(spark, d)
+    total = F.sum("cnt").over(W.partitionBy("acc", "k")).cast("double")
+    o = w.withColumn("total", total).where("cnt > 0").select("acc", "k", "kmer", L.percentile_of(F.lit(1e5) * F.col("cnt") / F.col("total"), F.col("k")).alias("o"))
+    e = w.where("level is not null").groupBy("k", "kmer").agg((F.avg(L.on_scale(F.col("level"), L.BORDERS) - 1) / 10).alias("e"))
+    x = o.join(e, ["k", "kmer"]).withColumn("m", F.when(F.col("e") >= 0.5, 0.0).otherwise(1.0))
+    gap = lambda c: F.sum((1 + (F.col(c) - F.col("e")) / (2 - F.col("e"))) * (F.col(c) - F.col("e")) * (F.col(c) - F.col("e")))
+    return x.groupBy("acc", "k").agg(F.round(10 * F.sqrt(F.try_divide(gap("o"), gap("m"))), 5).alias("distance"))

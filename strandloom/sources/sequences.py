@@ -32,24 +32,26 @@ def format_of(path: str) -> str:
 
 def _blocks(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
     rows = spark.read.option("lineSep", sep).text(paths if isinstance(paths, list) else [paths])
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.input_file_block_start()  # 0 for a file's first block only
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return rows.select(F.replace("value", F.lit("\r"), F.lit("")).alias("value"), name.alias("source_file"), at.alias("at"))
+    place = F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row"))  # rows of a file's block follow each other
+    return rows.select(F.replace("value", F.lit("\r"), F.lit("")).alias("value"), name.alias("source_file"), F.input_file_name().alias("file"), place.alias("at"))
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], check: bool = True) -> DataFrame:
     """Records of FASTA files; blank lines are skipped, a header without sequence has an empty one.
 
-    With ``check`` a file whose first text is no header is an error, else that text becomes a header.
+    With ``check`` a file whose first text is no header is an error, found by a first pass over the files, else that text becomes a header.
     """
-    rows = _blocks(spark, paths, "\n>").where(F.trim("value") != "")
-    # only a file's first block still has its '>'; a sequence line where a header belongs has no blank and only letters
+    rows = _blocks(spark, paths, "\n>")
+    if check:
+        # a file's first block still has its '>', or is blank and lost it to the separator
+        begin = rows.groupBy("file").agg(F.min_by(F.substr(F.trim(F.regexp_replace("value", r"^\s+", "")), F.lit(1), F.lit(1)), "at").alias("c"))
+        bad = begin.where(~F.col("c").isin("", ">")).limit(1).collect()
+        if bad:
+            raise ValueError(f"sequence before the first header in {bad[0]['file']}")
+    rows = rows.where(F.trim("value") != "")
     first = F.col("value").startswith(">")
     value = F.when(first, F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    if check:
-        # in a file's first block a header is marked; elsewhere the separator was the mark
-        loose = ~first & (F.col("at") == 0)
-        value = F.when(loose, F.raise_error(F.lit("sequence before the first header"))).otherwise(value)
     rows = rows.withColumn("value", value)
     lines = F.split("value", "\n")
     header = F.trim(lines[0])

@@ -102,3 +102,29 @@ def test_text_formats(spark):
     r = df.select(X.short_genome(*(F.col(c) for c in "gsra")).alias("l"), X.truncated(F.col("n"), 2).alias("n"), X.text_level(F.col("v")).alias("v"), X.ranged(F.col("t"), 0, 20).alias("t"), X.file_name(F.lit("a b|c?")).alias("f")).collect()
     assert r[0].l == "G.species strain 5 [AB..." and r[1].l == ".s  []" and [x.n for x in r] == [1.23, -1.23]
     assert [x.v for x in r] == ["+++", None] and [x.t for x in r] == [12.0, None] and r[0].f == "a_b_c_"
+
+
+def test_word_neighbourhoods(spark):
+    from itertools import product
+
+    from strandloom.functions import levels as V
+    from strandloom.functions import seq as Z
+    from strandloom.functions import text as X
+
+    df = spark.createDataFrame([("ACGTA",), ("AAA",)], "w string")
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    for r in df.select("w", Z.words_at_distance(F.col("w"), 1, 2).alias("n"), Z.shifts_within(F.col("w"), 2).alias("s"), Z.deletions(F.col("w")).alias("d"), Z.extensions(F.col("w")).alias("e")).collect():
+        every = ["".join(p) for p in product("ACGT", repeat=len(r.w))]
+        assert r.n == [w for w in every if 1 <= far(w, r.w) <= 2]
+        assert set(r.s) == {w for w in every if w[:-1] == r.w[1:] or w[:-2] == r.w[2:]}
+        assert sorted(r.d) == sorted({r.w[:i] + r.w[i + 1 :] for i in range(len(r.w))}) and r.e == [r.w + c for c in "ACGT"]
+    one = spark.createDataFrame([("NAn", "ACGT", "GTAC", "ACCA")], "n string, a string, b string, c string")
+    r = one.select(Z.expanded(F.col("n")).alias("x"), Z.joined_words(F.col("a"), F.col("b")).alias("j"), Z.mismatch_places(F.col("a"), F.col("c")).alias("m")).first()
+    assert sorted(r.x) == sorted(a + "A" + b for a in "ACGT" for b in "ACGT") and r.j == "ACGTAC" and r.m == [3, 4]
+    a = spark.createDataFrame([([0, 1, 2],)], "l array<int>")
+    lit = lambda *v: F.array(*[F.lit(x) for x in v])
+    l = F.col("l")  # noqa: E741
+    got = a.select(V.inserted(l, F.lit(1), F.lit(3)), V.inserted(l, F.lit(9), F.lit(3)), V.replaced(l, F.lit(2), F.lit(0)), V.without_places(l, lit(1, 3)), V.picked(l, lit(3, 1, 7)), V.merged(l, F.lit(None).cast("array<int>"))).first()
+    assert [list(x) for x in got] == [[3, 0, 1, 2], [0, 1, 2, 3], [0, 0, 2], [1], [2, 0, None], [0, 1, 2]]
+    t = spark.createDataFrame([("Yes",), (" 0 ",), ("maybe",), (None,)], "t string")
+    assert [r[0] for r in t.select(X.truth(F.col("t"))).collect()] == [True, False, None, None]

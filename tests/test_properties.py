@@ -1,43 +1,13 @@
 from __future__ import annotations
 
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandloom.operators import trees as T
 from strandloom.operators.markers import chi_square_tail
 
-names = st.text("abcXYZ _'():,;[]{}", min_size=1, max_size=8).filter(lambda s: s.strip() == s and s)
-
-
-@st.composite
-def newick_trees(draw, depth=3):
-    if depth == 0 or draw(st.booleans()):
-        return T.Node(draw(names), length=round(draw(st.floats(0, 9)), 3))
-    return T.Node(children=draw(st.lists(newick_trees(depth=depth - 1), min_size=1, max_size=3)), length=1.0)
-
-
-@settings(max_examples=150, deadline=None)
-@given(newick_trees())
-def test_newick_text_survives_a_round_trip(tree):
-    text = T.newick(tree, 3)
-    assert T.newick(T.parse_newick(text), 3) == text
-    assert len(T.pathways(tree)) == len([p for p in T.pathways(tree) if p.startswith("Root>")])
-
 
 @settings(max_examples=200, deadline=None)
 @given(st.floats(0, 2000), st.floats(0, 50), st.integers(1, 40))
 def test_tail_is_a_falling_probability(x, more, dof):
     a, b = chi_square_tail(x, dof), chi_square_tail(x + more, dof)
     assert 0 <= b <= a + 1e-12 <= 1 + 1e-9
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.integers(2, 12), st.integers(0, 10_000))
-def test_trees_keep_every_leaf(n, seed):
-    rng = np.random.default_rng(seed)
-    x = rng.random((n, 3))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    titles = [f"t{i}" for i in range(n)]
-    for build in (T.upgma, T.neighbour_joining, T.spectral_hierarchy):
-        assert sorted(p.rsplit(">", 1)[1] for p in T.pathways(build(titles, d))) == sorted(titles)

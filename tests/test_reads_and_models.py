@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.seq import reverse_complement
 from strandloom.operators import classify as C
-from strandloom.operators import models, reads
+from strandloom.operators import models
 from strandloom.streaming.classify import classify_stream
 
 
@@ -16,21 +16,6 @@ def _dna(n, seed):
     return "".join(random.choice("ACGT") for _ in range(n))
 
 
-def test_quotas_and_reads(spark):
-    rows = [(f"t{i % 3}", i, _dna(50 + 10 * i, i)) for i in range(9)] + [("t0", 99, None), (None, 98, "ACGT"), ("t1", 97, "")]
-    df = spark.createDataFrame(rows, "taxon string, rid int, seq string")
-    q = reads.read_quotas(df.where("taxon is not null").select("taxon"), "taxon", 60)
-    assert sum(r.quota for r in q.collect()) == 60 and min(r.quota for r in q.collect()) >= 1
-    out = reads.simulate_reads(df, "taxon", "rid", "seq", q, 10, 40).collect()
-    text = {r[1]: r[2] for r in rows}
-    assert len(out) == 60 and sorted(r.read_no for r in out) == list(range(1, 61))
-    assert all(r.seq in text[r.rid] * 2 and 10 <= len(r.seq) <= 40 for r in out)
-    assert all(r.stop == (r.start + len(r.seq)) % len(text[r.rid]) for r in out)
-    assert reads.species_subset(df, "taxon", 2).select("taxon").distinct().count() == 2
-    quality = df.where("rid = 0").select(reads.qualities(F.col("seq")).alias("q")).first().q
-    assert len(quality) == 50 and all(53 <= ord(c) <= 73 for c in quality)
-
-
 def _toy_model(spark):
     markers = spark.createDataFrame([("AAAA|4|0|0", "AAAA"), ("CCCC|4|0|0", "CCCC")], "marker string, kmer string")
     model = spark.createDataFrame([(m, t, v) for t, a, c in (("poly_a", 2.0, -2.0), ("poly_c", -2.0, 2.0)) for m, v in (("AAAA|4|0|0", a), ("CCCC|4|0|0", c))], "marker string, label string, mean double")

@@ -73,3 +73,36 @@ def test_matrix_round_trip(spark, tmp_path):
     assert "r\tt\t0.5000\tp\ttrue" in "".join(p.read_text() for p in (tmp_path / "h").glob("*.csv"))
     model = spark.createDataFrame([("n", "m", "b", 1.0), ("n", "m", "a", -0.25)], "node string, marker string, label string, mean double")
     assert W.model_text(model).first().value == "n\tm\ta=-0.2500\tb=1.0000"
+
+
+def test_sections_and_range_of_a_text_database(spark, tmp_path):
+    rows = [("g1", 4, 1, 1, "TTAA", 5, 2), ("g2", 4, 1, 1, "TTAA", 3, None), ("g1", 5, 2, 9, "CTATT", 1, 0), ("g3", 6, 2, 9, "CTATTA", 1, 0)]
+    df = spark.createDataFrame(rows, "acc string, k int, x int, y int, kmer string, cnt bigint, level int")
+    lineages = spark.createDataFrame([("g1", "a|b|g1"), ("g2", "a|c|g2")], "acc string, lineage string")
+    W.write_wdb_text(df, str(tmp_path / "t"), "my title", "2", min_k=4, max_k=5, supplementary="a note", lineages=lineages)
+    got = {(r.section, r.value) for r in W.read_wdb_sections(spark, str(tmp_path / "t")).collect()}
+    assert got == {("title", "my title"), ("version", "2"), ("supplementary", "a note"), ("lineages", "g1|a|b|g1"), ("lineages", "g2|a|c|g2"), ("accessions", "g1"), ("accessions", "g2")}
+    assert {r.k for r in W.read_wdb_text(spark, str(tmp_path / "t")).collect()} == {4, 5}
+
+
+def test_matrices_of_every_length_and_chunks(spark, tmp_path):
+    rows = [("a", "t", 4, f"m{i}", i % 3 - 1) for i in range(5)] + [("b", "u", 4, "m1", 2), ("a", "t", 5, "n", 1)]
+    df = spark.createDataFrame(rows, "Name string, Taxon string, k int, marker string, value int")
+    W.write_kmer_matrices(df, ["Name", "Taxon"], str(tmp_path), 4, 7, columns=3)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["4_mers.0", "4_mers.1", "5_mers.0"]
+    cells = {(r.Name, r.marker): r.value for r in W.read_matrix(spark, str(tmp_path / "4_mers.0"), ["Name", "Taxon"]).collect()}
+    assert cells == {("a", "m0"): -1, ("a", "m1"): 0, ("a", "m2"): 1, ("b", "m0"): -2, ("b", "m1"): 2, ("b", "m2"): -2}
+    values = spark.createDataFrame([("a", i, i * i) for i in range(7)], "name string, pos int, value int")
+    assert [(r.first, r.last, list(r.values_)) for r in W.genome_chunks(values, 3).withColumnRenamed("values", "values_").orderBy("first").collect()] == [(0, 2, [0, 1, 4]), (3, 5, [9, 16, 25]), (6, 6, [36])]
+    texts = spark.createDataFrame([(i, "x" * 10) for i in range(20)] + [(20, None)], "i int, t string")
+    sizes = W.sized_chunks(texts, "t", ["i"], 35).groupBy("chunk").count().collect()
+    assert sum(r["count"] for r in sizes) == 21 and max(r["count"] for r in sizes) <= 5
+
+
+def test_every_file_must_begin_with_a_header(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one\nACGT\n>two\nAC\n")
+    (tmp_path / "b.fa").write_text("ACGTACGT\n>three\nAC\n")
+    (tmp_path / "c.fa").write_text("\n\n>four\nAC\n")
+    with pytest.raises(ValueError, match="b.fa"):
+        Q.read_fasta(spark, [str(tmp_path / n) for n in ("a.fa", "b.fa", "c.fa")])
+    assert {r.read_id for r in Q.read_fasta(spark, [str(tmp_path / n) for n in ("a.fa", "c.fa")]).collect()} == {"one", "two", "four"}

@@ -47,3 +47,18 @@ def test_folders_follow_the_tree(spark, tmp_path):
     write_folders(words, paths, str(tmp_path / "t"))
     got = {(r.acc, str(r.folder)) for r in spark.read.option("recursiveFileLookup", False).parquet(str(tmp_path / "t")).collect()}
     assert got == {("a", "0_1"), ("b", "0_1"), ("c", "root")}
+
+
+def test_merge_and_delete(spark):
+    from strandloom.operators import wdb as D
+
+    a = spark.createDataFrame([("g1", 4, 1, 1, "TTAA", 2), ("g2", 4, 1, 1, "TTAA", 5)], "acc string, k int, x int, y int, kmer string, cnt bigint")
+    b = spark.createDataFrame([("g1", 4, 1, 1, "TTAA", 3), ("g3", 4, 1, 2, "TTAG", 1)], "acc string, k int, x int, y int, kmer string, cnt bigint")
+    assert {(r.acc, r.kmer, r.cnt) for r in D.merge_databases(a, b).collect()} == {("g1", "TTAA", 5), ("g2", "TTAA", 5), ("g3", "TTAG", 1)}
+    ids = D.delete_genomes(D.genome_ids(D.merge_databases(a, b)), spark.createDataFrame([("g2",)], "acc string"))
+    assert {(r.acc, r.genome_id) for r in ids.collect()} == {("g1", 1), ("g3", 2)}
+    found = {(r.kmer, r.acc, r.cnt, r.rc_cnt) for r in D.lookup(b, spark.createDataFrame([("TTAA",), ("CTAA",), (None,)], "kmer string")).collect()}
+    assert found == {("TTAA", "g1", 3, 3), ("CTAA", "g3", 0, 1)}
+    assert {(r.acc, r.kmer) for r in D.pop_words(b, a)[1].collect()} == {("g3", "TTAG")}
+    top = D.without_repeats(spark.createDataFrame([("AAC", 3.0), ("GTT", 2.0), ("CCC", 1.0)], "kmer string, v double"), "v", 5).collect()
+    assert [r.kmer for r in top] == ["AAC", "CCC"]
