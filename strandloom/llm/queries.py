@@ -49,6 +49,16 @@ SQL: dict[str, str] = {
   r AS (SELECT record_id, len(q) AS n, list_transform(string_split_regex(q, '[^ACGTacgt]{20,}'), lambda x: len(x)) AS bases, list_transform(regexp_extract_all(q, '[^ACGTacgt]{20,}'), lambda x: len(x)) AS runs FROM s WHERE len(q) > 4000),
   c AS (SELECT record_id, n, i, bases, list_sum(bases[:i]) + list_sum(runs[:i]) AS stop FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM r))
 SELECT record_id, (stop + 1)::BIGINT AS cut_pos FROM c WHERE stop < n AND NOT (i = 1 AND bases[1] = 0)""",
+    # plain greedy cutting, one piece of every item per round
+    "p3_pieces": r"""WITH RECURSIVE s AS (SELECT record_id, regexp_replace(seq, '\s+', '', 'g') AS q FROM fasta_records WHERE record_id IS NOT NULL AND seq IS NOT NULL),
+  r AS (SELECT record_id, len(q) AS n, list_transform(string_split_regex(q, '[^ACGTacgt]{20,}'), lambda x: len(x)) AS bases, list_transform(regexp_extract_all(q, '[^ACGTacgt]{20,}'), lambda x: len(x)) AS runs FROM s WHERE len(q) > 4000),
+  c AS (SELECT record_id, n, i, bases, list_sum(bases[:i]) + list_sum(runs[:i]) AS stop FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM r)),
+  items AS (SELECT 'record' AS kind, record_id AS id, n::BIGINT AS n FROM r UNION ALL SELECT 'genome', genome_key, seqlength FROM genomes WHERE seqlength > 4000 AND genome_key IS NOT NULL),
+  ends AS (SELECT 'record' AS kind, record_id AS id, list(stop::BIGINT) AS ends FROM c WHERE stop < n AND NOT (i = 1 AND bases[1] = 0) GROUP BY record_id),
+  base AS (SELECT items.*, list_concat(coalesce(ends, []), [n]) AS ends FROM items LEFT JOIN ends USING (kind, id)),
+  p AS (SELECT kind, id, n, ends, 0 AS piece, 0::BIGINT AS begun, 0::BIGINT AS stop FROM base
+    UNION ALL SELECT kind, id, n, ends, piece + 1, stop, coalesce(list_max(list_filter(ends, lambda e: e > stop AND e <= stop + CASE WHEN stop = 0 THEN 4000 ELSE 3900 END)), stop + CASE WHEN stop = 0 THEN 4000 ELSE 3900 END) FROM p WHERE stop < n)
+SELECT kind, id, piece::INTEGER AS piece, greatest(begun - 99, 1)::BIGINT AS start, stop, list_contains(ends, stop) AS natural FROM p WHERE piece > 0""",
     "p4_found": f"""WITH RECURSIVE keys AS (
     SELECT genome_key, 'a' || k AS k FROM (SELECT genome_key, {_ACC} AS k FROM genomes) WHERE k NOT IN {_PLACES}
     UNION SELECT genome_key, 'o' || k FROM (SELECT genome_key, {_ORGANISM} AS k FROM genomes) WHERE k NOT IN {_PLACES}),
