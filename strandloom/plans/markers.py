@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import levels as L
-from strandloom.operators import classify, distances, kmers, linkage, models
+from strandloom.operators import classify, distances, kmers, models
 from strandloom.operators import markers as M
 from strandloom.operators.vectors import vector_features, word_domain_size
 from strandloom.plans import sql
@@ -168,16 +168,6 @@ def nearest_profile(spark, d):
     return near.groupBy("name").agg(F.min_by("taxon", F.struct("steps", "taxon")).alias("nearest"), F.min("steps").alias("steps"))
 
 
-def _taxon_distances(spark, d):
-    return distances.level_distances(cut_lineage(taxon_levels(spark, d)))
-
-
-@query()
-def upgma_tree(spark, d):
-    """Average-linkage tree of the taxa."""
-    return linkage.linkage_tree(_taxon_distances(spark, d), "average")
-
-
 @query(f"{_BASE}, s AS (SELECT taxon, count(DISTINCT name) AS n FROM features WHERE taxon IS NOT NULL GROUP BY taxon), c AS (SELECT count(*) AS c, count(*) FILTER (level = 0) AS z FROM features WHERE taxon IS NOT NULL) SELECT sum(n)::BIGINT AS genomes, count(*) AS classes, round(max(n) / min(n)::DOUBLE, 6) AS balance, (SELECT count(*) FILTER (value = 0)::DOUBLE / count(*) FROM features WHERE taxon IS NOT NULL) AS sparsity, (SELECT count(*) FILTER (value IS NULL)::DOUBLE / count(*) FROM features WHERE taxon IS NOT NULL) AS missing FROM s")
 def class_statistics(spark, d):
     """Class balance, sparsity and missing cells of the feature table."""
