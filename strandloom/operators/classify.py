@@ -50,6 +50,13 @@ def _match(mean: Column, value: Column) -> Column:
     return (4 - F.floor(F.round(F.abs(mean - value), 9))).cast("bigint")
 
 
+def _changes(model: DataFrame) -> DataFrame:
+    """``model`` with a row per ``value`` above level 0 and the ``change`` of agreement against an absent marker, where there is any."""
+    each = model.withColumn("value", F.explode(F.array(*[F.lit(v) for v in L.VALUES[1:]])))
+    change = _match(F.col("mean"), F.col("value")) - _match(F.col("mean"), F.lit(L.VALUES[0]))
+    return each.withColumn("change", change).where("change <> 0").drop("mean")
+
+
 def read_agreement(counts: DataFrame, model: DataFrame, markers: DataFrame, ks: tuple[int, ...], method: str = "max") -> DataFrame:
     """``agreement`` straight from word counts: ``(id, label, score)`` for every read and label.
 
@@ -58,8 +65,7 @@ def read_agreement(counts: DataFrame, model: DataFrame, markers: DataFrame, ks:
     """
     lacking = model.groupBy("label").agg(F.sum(_match(F.col("mean"), F.lit(L.VALUES[0]))).alias("base"), F.count(F.lit(1)).alias("n"))
     values = read_values(present_counts(counts, markers, method), ks).where(F.col("value") > L.VALUES[0])
-    change = _match(F.col("mean"), F.col("value")) - _match(F.col("mean"), F.lit(L.VALUES[0]))
-    changed = values.join(small(model, 200_000), "marker").groupBy("id", "label").agg(F.sum(change).alias("change"))
+    changed = values.join(small(cut_lineage(_changes(model)), 200_000), ["marker", "value"]).groupBy("id", "label").agg(F.sum("change").alias("change"))
     each = each_of(counts.select("id").distinct(), lacking.select(F.struct("label", "base", "n").alias("_l")), "_l").select("id", "_l.label", "_l.base", "_l.n")
     score = (F.col("base") + F.coalesce("change", F.lit(0))) / (4.0 * F.col("n"))
     return each.join(changed, ["id", "label"], "left").select("id", "label", score.alias("score"))
