@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import words
 from strandloom.llm.levels import ENTRIES, as_binary, as_rows, bit_words, distances, packed_vectors, thermometer, unpacked
-from strandloom.llm.permutation import close_pairs, footrule_block, nearest_pivots, posting_keys
+from strandloom.llm.permutation import close_pairs, footrule_block, nearest_met, nearest_pivots, posting_keys
 from strandloom.llm.runs import by_key, run_bounds, run_pairs, salted, whole_keys
-from strandloom.session import cut_lineage, table, wide
+from strandloom.session import cut_lineage, small, table, wide
 
 NEIGHBOURS = 5
 LEVEL_LIMIT = 24  # 0.06 of 3 * 136 levels
 COSINE_LIMIT = 0.5
 FEW = 24  # rows up to which an inverted file is compared pair by pair
 CROWD = 4  # pivots within the limit of a pivot from which it stands in a crowd
-CROWDED = 32  # rows of a file of two pivots from which sequences count as a crowd
+CROWDED = 32  # rows from which a file of two pivots can tell a crowd of sequences
+PART = 8  # in a crowd half of ``CROWDED`` rows at least are close to more than one in ``PART`` of their file
 BLOCK = 2048  # rows of an inverted file beyond which it is cut into block pairs
 SINGLE = 0xFFFF  # second half of the key of a file of one pivot
 
@@ -236,12 +237,12 @@ def level_neighbours(vectors: DataFrame, pivots: int | None = None, depth: int =
         apart = np.sort(distances(pivot, pivot), axis=1)
         crowd = (apart <= limit).sum(1) > CROWD
         some = min(20, len(pivot) - 1)
-        own = apart[:, 1 : some + 1].sum(1).astype(np.int64)
+        own = apart[:, 1 : some + 1].sum(1, dtype=np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 t = thermometer(unpacked(as_rows(part.column(1), ENTRIES // 4)))
-                gap = (t.sum(1)[:, None] + ones[None, :] - 2 * (t @ pivot.T)).astype(np.int64)
+                gap = (t.sum(1)[:, None] + ones[None, :] - 2 * (t @ pivot.T)).astype(np.int32)
                 order = nearest_pivots(some * 3 * ENTRIES + 1 + own[None, :] - some * gap, reach)
                 far = np.take_along_axis(gap, order.astype(np.int64) % len(pivot), 1)  # -1: any, there is no pivot
                 alone = (order >= 0) & crowd[order] & (far <= limit * 3 // 2)
@@ -300,8 +301,8 @@ def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, s
     """
     rng = np.random.default_rng(seed)
     group = np.append(rng.permutation(words.WORDS) % pivots, pivots).astype(np.int32)
-    salt = np.vstack([rng.integers(0, 2**63, (words.WORDS, 2), np.int64), np.zeros((1, 2), np.int64)])
-    weight = np.append(4096 + rng.integers(0, 64, words.WORDS), 0).astype(np.float64)
+    salt = np.ascontiguousarray(np.vstack([rng.integers(0, 2**63, (words.WORDS, 2), np.int64), np.zeros((1, 2), np.int64)]).T)
+    weight = np.append(4096 + rng.integers(0, 64, words.WORDS), 0)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,15 +314,17 @@ def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, s
                 ends = np.cumsum(lengths)
                 rec = np.repeat(np.arange(n), lengths)[: len(word)]
                 word, rec = word[ok], rec[ok]
-                near = np.bincount(rec * pivots + group[word], weights=weight[word], minlength=n * pivots).reshape(n, pivots)
-                order = nearest_pivots(near, depth)
                 have = np.bincount(rec, minlength=n) > 0
                 if not have.any():
                     continue
-                first = np.searchsorted(rec, np.flatnonzero(have))
-                h = np.add.reduceat(salt[word], first, axis=0)
-                code = rec * words.WORDS + word
-                norm = np.add.reduceat(np.bincount(code, minlength=n * words.WORDS)[code], first)
+                code = np.sort(rec.astype(np.int32) << 16 | word)  # 64 rows, 16 bits a word
+                bounds = run_bounds(code)
+                count = np.diff(bounds)
+                at_rec, at_word = code[bounds[:-1]] >> 16, code[bounds[:-1]] & 0xFFFF
+                first = np.searchsorted(at_rec, np.flatnonzero(have))
+                norm = np.add.reduceat(count * count, first)
+                h1, h2 = (np.add.reduceat(count * one[at_word], first) for one in salt)
+                order = nearest_met(at_rec, group[at_word], count * weight[at_word], n, pivots, depth)
                 data, offsets = words.two_bits(good, lengths)
                 starts = ends - lengths
                 inner = breaks[~np.isin(breaks, starts) & (breaks < len(good))]
@@ -329,8 +332,8 @@ def sequence_sketches(records: DataFrame, pivots: int = 4096, depth: int = 12, s
                 cut_offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
                 cols = [
                     part.column(0).filter(pa.array(have)),
-                    pa.array(h[:, 0]),
-                    pa.array(h[:, 1]),
+                    pa.array(h1),
+                    pa.array(h2),
                     as_binary(order[have].view(np.uint8)),
                     pa.array(norm.astype(np.int64)),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).filter(pa.array(have)),
@@ -347,14 +350,38 @@ def _count_words(data: bytes, n: int, breaks: list[int]) -> np.ndarray:
     return word[ok]
 
 
+def crowded_pivots(keyed: DataFrame, depth: int, most_footrule: int) -> list[int]:
+    """Pivots of the files of two pivots that hold a crowd, from ``keyed(id, pivots, keys)`` (see ``sequence_neighbours``); at most one entry per pivot."""
+
+    def close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches):
+            keys, side = rows.column("key").to_numpy(), rows.column("side").to_numpy()
+            order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
+            close = np.zeros(len(keys), np.int64)
+            for i, j, _ in close_pairs(keys, side, order, most_footrule):
+                close += np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks() for c in ("file", "id")] + [pa.array(close)], ["file", "id", "close"])
+
+    first, second = F.shiftright("file", 16), F.col("file").bitwiseAND(F.lit(SINGLE))
+    files = keyed.select("id", "pivots", F.explode("keys").alias("file"))
+    long = cut_lineage(files.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > CROWDED) & (second != SINGLE)))
+    if long.isEmpty():
+        return []
+    some = salted(files.join(small(long.select("file"), 100_000), "file", "left_semi").withColumn("key", F.col("file")), "key", "id", BLOCK)
+    near = by_key(some.select("key", "side", "file", "id", "pivots")).mapInArrow(close_rows, "file bigint, id bigint, close bigint").groupBy("file", "id").agg(F.sum("close").alias("close"))
+    crowds = near.join(small(long, 100_000), "file").where(F.col("close") * PART > F.col("n")).groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= CROWDED)
+    return [r[0] for r in crowds.select(F.explode(F.array(first, second))).distinct().collect()]
+
+
 def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: int = 12, prefix: int = 6, reach: int = 10, most_footrule: int = 108, k: int = NEIGHBOURS, limit: float = COSINE_LIMIT) -> DataFrame:
     """Neighbour pairs of sequences ``(id, seq)`` with a word-count cosine of at least ``limit``.
 
     Every distinct count vector is indexed. Vectors that share two of their ``prefix`` nearest pivots share an inverted file; those within a
     footrule distance of ``most_footrule`` are candidates, all of which are reranked by the exact
-    cosine. By chance hardly two vectors share such a file; one of more than ``CROWDED`` rows tells that its pivots stand in a crowd of
+    cosine. One of more than ``CROWDED`` rows, many of which are close to more than one in ``PART`` of it, tells that its pivots stand in a crowd of
     variants, whose permutations differ by chance. All that have a pivot of a crowd among their ``reach`` nearest are posted under it
-    alone, and this file is reranked whole, by blocks inside the task, where only the best of each row leave it.
+    alone, and this file is reranked whole, by blocks inside the task, where only the best of each row leave it. A file that is long only because
+    the rows are many, or because words of its pivots overlap, holds rows that share little else: no crowd, but a file like any other.
     Equal count vectors are one point with its smallest ids. Null and empty sequences and
     those without a word take no part; repeats and ties are fine.
     """
@@ -377,9 +404,7 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
         return cut_lineage(reps.mapInArrow(lambda b: post(b, is_hot), "id bigint, pivots binary, hot int, keys array<bigint>"))
 
     keyed = posted_to(None)
-    crowds = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
-    ends = F.array(F.shiftright("key", 16), F.col("key").bitwiseAND(F.lit(0xFFFF)))
-    hot_pivots = [r[0] for r in crowds.select(F.explode(ends).alias("pivot")).where(F.col("pivot") != SINGLE).distinct().collect()]  # at most `pivots` rows
+    hot_pivots = crowded_pivots(keyed, depth, most_footrule)
     if hot_pivots:
         is_hot = np.zeros(pivots + 1, bool)
         is_hot[hot_pivots] = True
@@ -389,7 +414,7 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
         for rows in whole_keys(batches):
             keys, ids = rows.column("key").to_numpy(), rows.column("id").to_numpy()
             order = as_rows(rows.column("pivots"), 2 * depth).view(np.int16)
-            found = [np.zeros((2, 0), np.int64), *(ids[np.stack([i, j])] for i, j, _ in close_pairs(keys, np.full(len(keys), -1), order, most_footrule))]
+            found = [np.zeros((2, 0), np.int64), *(ids[np.stack([i, j])] for i, j, _ in close_pairs(keys, rows.column("side").to_numpy(), order, most_footrule))]
             pairs = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -422,7 +447,8 @@ def sequence_neighbours(records: DataFrame, pivots: int | None = None, depth: in
 
     posted = keyed.select(F.explode("keys").alias("key"), "id", "pivots")
     single = F.col("key").bitwiseAND(F.lit(SINGLE)) == SINGLE
-    pairs = cut_lineage(by_key(posted.where(~single)).mapInArrow(candidates, "a bigint, b bigint").distinct())  # no more than CROWDED rows a file
+    paired = salted(posted.where(~single), "key", "id", BLOCK)
+    pairs = cut_lineage(by_key(paired).mapInArrow(candidates, "a bigint, b bigint").distinct())
     crowded = cut_lineage(salted(posted.where(single).select("key", "id", F.col("key").alias("file")), "key", "id", BLOCK))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     body = cut_lineage(sketches.select("id", "norm", "bases", "n", "breaks").join(needed, "id", "left_semi"))

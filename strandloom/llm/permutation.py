@@ -15,7 +15,9 @@ def nearest_pivots(nearness: np.ndarray, depth: int) -> np.ndarray:
     ``nearness`` holds non-negative integers (rows by pivots).
     """
     pivots = nearness.shape[1]
-    score = np.asarray(nearness).astype(np.int64) * pivots + np.arange(pivots - 1, -1, -1)
+    narrow = nearness.size and (int(nearness.max()) + 1) * pivots < 2**31
+    exact = np.int32 if narrow else np.int64
+    score = np.asarray(nearness).astype(exact) * exact(pivots) + np.arange(pivots - 1, -1, -1, dtype=exact)
     have = min(depth, pivots)
     top = -np.sort(-np.partition(score, pivots - have, axis=1)[:, pivots - have :], axis=1)
     out = np.full((len(score), depth), -1, np.int16)
@@ -23,6 +25,29 @@ def nearest_pivots(nearness: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def nearest_met(row: np.ndarray, pivot: np.ndarray, nearness: np.ndarray, rows: int, pivots: int, depth: int) -> np.ndarray:
+    """``nearest_pivots`` of at most 64 ``rows`` from the parts of their nearness that are not 0: part ``nearness`` of ``row`` to ``pivot``.
+
+    Parts of one row and pivot are added. The cost grows with the parts, not with the pivots. Sums are below 2**43, pivots at most 2**14.
+    """
+    out = np.full((rows, depth), -1, np.int16)
+    if not len(row):
+        return out
+    part = np.sort((row.astype(np.int64) * pivots + pivot) << 43 | nearness)
+    key = part >> 43
+    start = run_bounds(key)[:-1]
+    near = np.add.reduceat(part & ((1 << 43) - 1), start)
+    row = key[start] // pivots
+    pivot = key[start] - row * pivots
+    score = np.sort(row << 57 | near * pivots + (pivots - 1 - pivot))
+    row = score >> 57
+    bounds = run_bounds(row)
+    back = np.repeat(bounds[1:], np.diff(bounds)) - 1 - np.arange(len(row))  # 0 for the nearest
+    best = back < depth
+    out[row[best], back[best]] = pivots - 1 - (score[best] & ((1 << 57) - 1)) % pivots
+    return out
+
+
 def posting_keys(order: np.ndarray, prefix: int, alone: np.ndarray | None = None) -> np.ndarray:
     """Keys of the inverted files a row is posted in: every pair of its ``prefix`` nearest pivots, smaller pivot first.
 

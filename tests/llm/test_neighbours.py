@@ -221,3 +221,27 @@ def test_dots_of_a_file_equal_plain_ones(mixed):
         np.fill_diagonal(want, 0)
         np.fill_diagonal(got, 0)
     assert (got == want).all()
+
+
+@pytest.mark.parametrize("pivots", [5, 300])
+def test_nearness_in_parts_gives_the_same_order(pivots):
+    rng = np.random.default_rng(3)
+    row, pivot, near = rng.integers(0, 40, 3000), rng.integers(0, pivots, 3000), rng.integers(1, 60, 3000)
+    row[row == 7] = 8  # a row without parts
+    dense = np.zeros((40, pivots), np.int64)
+    np.add.at(dense, (row, pivot), near)
+    assert (permutation.nearest_met(row, pivot, near, 40, pivots, 12) == permutation.nearest_pivots(dense, 12)).all()
+    assert (permutation.nearest_met(row[:0], pivot[:0], near[:0], 2, pivots, 12) == -1).all()
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_a_long_file_is_a_crowd_only_if_its_rows_are_close(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    by_chance = [[1, 2, *(3000 + rng.permutation(9000)[:10])] for _ in range(150)]  # two common pivots, nothing else
+    variants = [[11, 12, *(20 + rng.permutation(14)[:10])] for _ in range(150)]
+    order = np.array(by_chance + variants, np.int16)
+    keys = permutation.posting_keys(order, 6)
+    data = [(i, bytearray(o.tobytes()), [int(x) for x in k if x >= 0]) for i, (o, k) in enumerate(zip(order, keys, strict=True))]
+    hot = P.crowded_pivots(spark.createDataFrame(data, "id bigint, pivots binary, keys array<bigint>"), 12, 108)
+    assert {11, 12} <= set(hot) and not {1, 2} & set(hot)
