@@ -59,6 +59,22 @@ def successors(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     return near.groupBy("kind", "id", "n", "at", "hard").agg(F.max("to").alias("to"))
 
 
+def chain_ends(table_: DataFrame) -> DataFrame:
+    """``(kind, id, n, at, end)``: where the greedy cutting from each boundary of ``successors`` comes to its end.
+
+    Pointer doubling: each round replaces the end of a chain by the end of the chain that begins there, so the rounds are
+    the logarithm of the longest chain, for all items together. An end other than ``n`` would be a boundary without a successor.
+    """
+    base = cut_lineage(table_.select("kind", "id", "n", "at", F.col("to").alias("end")))
+    while True:
+        further = base.select("kind", "id", F.col("at").alias("end"), F.col("end").alias("further"))
+        base = cut_lineage(base.join(further, ["kind", "id", "end"], "left").select("kind", "id", "n", "at", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")))
+        moved = not base.where("moved").isEmpty()
+        base = base.drop("moved")
+        if not moved:
+            return base
+
+
 def greedy_cuts(table_: DataFrame) -> DataFrame:
     """The rows of ``successors`` that the greedy cutting from position 0 visits.
 
@@ -112,8 +128,8 @@ def oversized(spark: SparkSession, d: str, limit: int = LIMIT) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Natural boundaries of oversized records: the inner rows of the successor table."""
-    cuts = successors(oversized(spark, d)).where("kind = 'record' and at > 0")
+    """Natural boundaries of oversized records: those from which the cutting reaches the record's end."""
+    cuts = chain_ends(successors(oversized(spark, d).where("kind = 'record'"))).where("at > 0 and end = n")
     return cuts.select(F.col("id").alias("record_id"), (F.col("at") + 1).alias("cut_pos"))
 
 

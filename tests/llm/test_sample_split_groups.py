@@ -144,3 +144,14 @@ def test_nothing_to_group(spark):
     none = spark.createDataFrame([], "k bigint, x string")
     assert p4_splits.related_groups(none, "k", ["x"]).count() == 0
     assert p4_splits.grouped_split(none, "k", ["x"]).count() == 0
+
+
+def test_found_boundaries_are_those_whose_chain_ends(spark, sf, monkeypatch):
+    rng = random.Random(8)
+    items = [("record", i, rng.randint(60, 900), sorted(rng.sample(range(1, 60), rng.choice([0, 1, 3, 12])))) for i in range(20)]
+    df = spark.createDataFrame(items, "kind string, id bigint, n bigint, ends array<int>")
+    got = {(r.id, r.at): r.end for r in p3_split.chain_ends(p3_split.successors(df, 40, 5)).collect()}
+    assert got == {(i, at): n for _, i, n, ends in items for at in [0, *ends]}
+    chains = p3_split.chain_ends
+    monkeypatch.setattr(p3_split, "chain_ends", lambda t: chains(t).where("false"))
+    assert p3_split.p3_found(spark, sf).count() == 0
