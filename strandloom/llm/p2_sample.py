@@ -93,11 +93,11 @@ FIELDS = {"lineage": _lineage, "taxon": _taxon}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets that cannot be met: available < greatest(min_rows, target_share * n)."""
+    """Targets that cannot be met: available < greatest(min_rows, target_share * n), and the sample stays below them."""
     out = []
     for field, load in FIELDS.items():
-        report = target_report(*load(spark, d))
-        out.append(report.where("short").select(F.lit(field).alias("field_name"), "category"))
+        report = sample_to_targets(*load(spark, d))[1]
+        out.append(report.where("short and drawn < wanted").select(F.lit(field).alias("field_name"), "category"))
     return out[0].unionByName(out[1])
 
 

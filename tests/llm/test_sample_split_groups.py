@@ -155,3 +155,10 @@ def test_found_boundaries_are_those_whose_chain_ends(spark, sf, monkeypatch):
     chains = p3_split.chain_ends
     monkeypatch.setattr(p3_split, "chain_ends", lambda t: chains(t).where("false"))
     assert p3_split.p3_found(spark, sf).count() == 0
+
+
+def test_found_targets_come_from_the_sample(spark, sf, monkeypatch):
+    want = sorted(tuple(r) for r in p2_sample.p2_found(spark, sf).collect())
+    asked, draw = [], p2_sample.sample_to_targets
+    monkeypatch.setattr(p2_sample, "sample_to_targets", lambda *a: asked.append(a) or draw(*a))
+    assert sorted(tuple(r) for r in p2_sample.p2_found(spark, sf).collect()) == want and len(asked) == 2
